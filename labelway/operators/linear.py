@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Weights trained or broadcast at one time.
 MODEL_BYTES = 256 << 20
@@ -63,7 +64,7 @@ class _Fit:
         self.w -= lr * m_hat / (np.sqrt(v_hat) + 1e-8)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _pack(x: pa.Array) -> pa.Array:
     if len(x) == 0:
         return pa.array([], pa.binary())

@@ -137,10 +137,10 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``out_col``: train, val, test, or both where val and test are the same rows.
 
-    ``group`` (one model per group) and ``label`` must not be null.
+    Models are per ``group``; rows with a null ``label`` take no part and get null.
     """
     keys = [group, label] if group else [label]
-    narrow = rows.select(id_col, *keys)
+    narrow = rows.select(id_col, *keys).where(F.col(label).isNotNull())
     classes = stage_table(
         split_quotas(
             narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt")),
@@ -178,7 +178,7 @@ def stratified_split(
     in_test = at_or_below(id_col, test_seed, F.col("test_hash"), F.col("test_id"))
     return out.withColumn(
         out_col,
-        F.when(~in_hold, "train").when(F.col("shared"), "both").when(in_test, "test").otherwise("val"),
+        F.when(F.col(label).isNull(), F.lit(None).cast("string")).when(~in_hold, "train").when(F.col("shared"), "both").when(in_test, "test").otherwise("val"),
     ).drop("shared", "cut_hash", "cut_id", "test_hash", "test_id")
 
 
