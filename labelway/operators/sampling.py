@@ -125,7 +125,7 @@ def split_quotas(
     ).drop("__total", "__pool", "__draws", "__exact", "__base", "__rest", "__short", "__rank")
 
 
-def stratified_split(
+def split_table(
     rows: DataFrame,
     id_col: str,
     group: str | None,
@@ -133,11 +133,10 @@ def stratified_split(
     val_size: float,
     test_size: float,
     seed: int,
-    out_col: str = "split",
 ) -> DataFrame:
-    """Adds ``out_col``: train, val, test, or both where val and test are the same rows.
+    """One row per (group, label) with all that ``split_column`` needs.
 
-    Models are per ``group``; rows with a null ``label`` take no part and get null.
+    Models are per ``group``; rows with a null ``label`` take no part.
     """
     keys = [group, label] if group else [label]
     narrow = rows.select(id_col, *keys).where(F.col(label).isNotNull())
@@ -153,33 +152,54 @@ def stratified_split(
     )
     table = stage_table(classes.join(hold_cuts, keys, "left"), "split-cuts")
 
-    def held(df: DataFrame) -> DataFrame:
-        cut = table.select(*keys, "cnt", "shared", "cut_hash", "cut_id")
-        return attach(df, cut, keys, "cnt", [id_col])
-
-    test_seed = f"{seed}-test"
     outer = [group] if group else ["__all"]
-    hold_rows = held(narrow).where(at_or_below(id_col, seed, F.col("cut_hash"), F.col("cut_id")))
-    hold_rows = hold_rows.drop("cut_hash", "cut_id", "shared").withColumn("__all", F.lit(0))
-    quotas = (
-        table.withColumn("__all", F.lit(0)).groupBy(*outer).agg(F.max("test_n").alias("quota"))
+    cut = table.select(*keys, "cnt", "cut_hash", "cut_id")
+    held = attach(narrow, cut, keys, "cnt", [id_col]).where(
+        at_or_below(id_col, seed, F.col("cut_hash"), F.col("cut_id"))
     )
-    test_cuts = hash_cuts(hold_rows, id_col, quotas, outer, test_seed).select(
+    held = held.select(id_col, *keys, F.lit(0).alias("__all"))
+    table = table.withColumn("__all", F.lit(0))
+    quotas = table.groupBy(*outer).agg(F.max("test_n").alias("quota"))
+    test_cuts = hash_cuts(held, id_col, quotas, outer, f"{seed}-test").select(
         *outer, F.col("cut_hash").alias("test_hash"), F.col("cut_id").alias("test_id")
     )
-    both = stage_table(
-        table.withColumn("__all", F.lit(0))
-        .join(test_cuts, outer, "left")
-        .select(*keys, "cnt", "shared", "cut_hash", "cut_id", "test_hash", "test_id"),
+    return stage_table(
+        table.join(test_cuts, outer, "left").select(
+            *keys, "cnt", F.struct("shared", "cut_hash", "cut_id", "test_hash", "test_id").alias("cuts")
+        ),
         "split-table",
     )
-    out = attach(rows, both, keys, "cnt", [id_col])
-    in_hold = at_or_below(id_col, seed, F.col("cut_hash"), F.col("cut_id"))
-    in_test = at_or_below(id_col, test_seed, F.col("test_hash"), F.col("test_id"))
-    return out.withColumn(
-        out_col,
-        F.when(F.col(label).isNull(), F.lit(None).cast("string")).when(~in_hold, "train").when(F.col("shared"), "both").when(in_test, "test").otherwise("val"),
-    ).drop("shared", "cut_hash", "cut_id", "test_hash", "test_id")
+
+
+def split_column(id_col: str, seed: int, label: Column, cuts: Column) -> Column:
+    """train, val, test, or both where val and test are the same rows."""
+    in_hold = at_or_below(id_col, seed, cuts["cut_hash"], cuts["cut_id"])
+    in_test = at_or_below(id_col, f"{seed}-test", cuts["test_hash"], cuts["test_id"])
+    return (
+        F.when(label.isNull(), F.lit(None).cast("string"))
+        .when(~in_hold, "train")
+        .when(cuts["shared"], "both")
+        .when(in_test, "test")
+        .otherwise("val")
+    )
+
+
+def stratified_split(
+    rows: DataFrame,
+    id_col: str,
+    group: str | None,
+    label: str,
+    val_size: float,
+    test_size: float,
+    seed: int,
+    out_col: str = "split",
+) -> DataFrame:
+    """Adds ``out_col`` to all rows; null for rows with a null ``label``."""
+    keys = [group, label] if group else [label]
+    table = split_table(rows, id_col, group, label, val_size, test_size, seed)
+    out = attach(rows, table, keys, "cnt", [id_col])
+    column = split_column(id_col, seed, F.col(label), F.col("cuts"))
+    return out.withColumn(out_col, column).drop("cuts")
 
 
 def one_row_per_split(rows: DataFrame, split_col: str = "split") -> DataFrame:

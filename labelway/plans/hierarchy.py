@@ -94,45 +94,72 @@ def build_training_set(rows: DataFrame, x: Column, dim: int, cfg: HierConfig) ->
     the one exchange that lays out the training table.
     """
     sizes = stage_table(encoding.label_sizes(rows, "category", "label"), "label-sizes")
+    per_category = sizes.groupBy("category").agg(F.sum("cnt").alias("cnt"))
+    earlier = Window.orderBy("category").rowsBetween(Window.unboundedPreceding, -1)
     categories = stage_table(
-        encoding.class_table(
-            sizes.groupBy("category").agg(F.sum("cnt").alias("__n")), "category"
-        )
-        .drop("cnt")
-        .join(sizes.groupBy("category").agg(F.sum("cnt").alias("cnt")), "category")
-        .withColumn(
-            "before",
-            F.sum("cnt").over(Window.orderBy("class_idx").rowsBetween(Window.unboundedPreceding, -1)),
-        )
-        .select("category", F.col("class_idx").alias("cat_idx"), "cnt", F.coalesce("before", F.lit(0)).alias("before")),
+        per_category.select(
+            "category",
+            (F.row_number().over(Window.orderBy("category")) - 1).cast("int").alias("cat_idx"),
+            "cnt",
+            F.coalesce(F.sum("cnt").over(earlier), F.lit(0)).alias("before"),
+        ),
         "categories",
     )
     plan = stage_table(encoding.head_plan(sizes, "category", "label"), "head-plan")
     heads = stage_table(encoding.head_classes(sizes, plan, "category", "label"), "head-classes")
-    trained = heads.join(plan.where("kind = 'trained'").select("category"), "category")
-
+    trained = plan.where("kind = 'trained'").select("category")
+    codes = stage_table(
+        sizes.join(categories.select("category", "cat_idx", F.col("cnt").alias("cat_rows"), "before"), "category")
+        .join(
+            heads.join(trained, "category").select(
+                "category", "label", F.col("class_idx").alias("head_idx")
+            ),
+            ["category", "label"],
+            "left",
+        ),
+        "label-codes",
+    )
     total = sizes.agg(F.sum("cnt")).first()[0] or 0
     sc = rows.sparkSession.sparkContext
     parts = max(sc.defaultParallelism, math.ceil(total * dim * 4 / PART_BYTES))
 
-    coded = attach(rows, categories, ["category"], "cnt", ["row_id"])
-    coded = encoding.encode_labels(coded, trained, "label", "head_idx", "row_id", group="category")
-    split = sampling.stratified_split(
-        coded, "row_id", None, "cat_idx", cfg.val_size, cfg.test_size, cfg.seed, "router_split"
+    coded = attach(rows, codes, ["category", "label"], "cnt", ["row_id"])
+    # Both levels are split in the same passes: model -1 is the router.
+    roles = stage_table(
+        coded.select(
+            "row_id",
+            F.inline(
+                F.array(
+                    F.struct(F.lit(-1).alias("model"), F.col("cat_idx").alias("cls")),
+                    F.struct(F.col("cat_idx").alias("model"), F.col("head_idx").alias("cls")),
+                )
+            ),
+        ).where("cls is not null"),
+        "roles",
+    )
+    cuts = sampling.split_table(roles, "row_id", "model", "cls", cfg.val_size, cfg.test_size, cfg.seed)
+    router_cuts = cuts.where("model = -1").select(
+        F.col("cls").alias("cat_idx"), "cnt", F.col("cuts").alias("router_cuts")
     )
-    split = sampling.stratified_split(
-        split, "row_id", "cat_idx", "head_idx", cfg.val_size, cfg.test_size, cfg.seed, "head_split"
+    head_cuts = cuts.where("model >= 0").select(
+        F.col("model").alias("cat_idx"), F.col("cls").alias("head_idx"), "cnt", F.col("cuts").alias("head_cuts")
     )
+    split = attach(coded, router_cuts, ["cat_idx"], "cnt", ["row_id"])
+    split = attach(split, head_cuts, ["cat_idx", "head_idx"], "cnt", ["row_id"])
     # Equal parts, ordered by category: part = position of the row's category
     # in the table plus a hash of the row inside it.
     inside = F.pmod(F.xxhash64("row_id"), F.lit(1 << 20)) / float(1 << 20)
-    weight = attach(split, categories.select("cat_idx", "cnt", F.col("cnt").alias("__cnt")), ["cat_idx"], "cnt", ["row_id"])
-    part = F.floor((F.col("before") + inside * F.col("__cnt")) * parts / max(total, 1)).cast("int")
+    part = F.floor((F.col("before") + inside * F.col("cat_rows")) * parts / max(total, 1)).cast("int")
+    column = sampling.split_column
     table = (
-        weight.withColumn("__part", F.least(part, F.lit(parts - 1)))
-        .select(
-            "row_id", "cat_idx", "head_idx", "router_split", "head_split",
-            linear.pack_vectors(x).alias("x"), "__part",
+        split.select(
+            "row_id",
+            "cat_idx",
+            "head_idx",
+            column("row_id", cfg.seed, F.col("cat_idx"), F.col("router_cuts")).alias("router_split"),
+            column("row_id", cfg.seed, F.col("head_idx"), F.col("head_cuts")).alias("head_split"),
+            linear.pack_vectors(x).alias("x"),
+            F.least(part, F.lit(parts - 1)).alias("__part"),
         )
         .repartitionById(parts, F.col("__part"))
         .drop("__part")

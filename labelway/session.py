@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +30,27 @@ def build_session(master: str = "local[*]", app_name: str = "labelway", **conf:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="labelway-zip-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.addPyFile(
+        shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+    )
+    _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only for a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
