@@ -17,39 +17,65 @@ NOT_OBJECT = "JSON body must be an object"
 BAD_TEXT = "Field 'text' must be a non-empty string"
 NO_MODEL = "Artifacts directory not found: "
 NOT_INT = "int() argument must be a string, a bytes-like object or a real number, not '{}'"
+WHOLE = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
 BAD_INT = "invalid literal for int() with base 10: '"
 
 
-def _kind(body: Column, name: str) -> Column:
-    """Type name of a field; null when absent, VOID for a JSON null."""
-    return F.schema_of_variant(F.try_variant_get(body, f"$.{name}", "variant"))
+FIELDS = ("text", "art_dir", "device", "topk_cat", "topk_sub")
 
 
-def _int_field(body: Column, name: str, default: int) -> tuple[Column, Column]:
-    """(value, error) of an integer parameter: numbers truncate, booleans are
-    0 or 1, strings must be whole numbers, all else is an error."""
-    path = f"$.{name}"
-    kind = _kind(body, name)
-    text = F.try_variant_get(body, path, "string")
-    real = F.try_variant_get(body, path, "double")
-    clamped = F.greatest(F.least(real, F.lit(9.2e18)), F.lit(-9.2e18))
+def _with_fields(df: DataFrame, body: str) -> DataFrame:
+    """Adds ``__<field>`` (text form) and ``__<field>_kind`` (type name: null
+    when absent, VOID for a JSON null) for every known field.
+
+    Columns of their own, so later rules refer to them instead of repeating
+    the extraction.
+    """
+    b = F.col(body)
+    columns = {"__root_kind": F.schema_of_variant(b)}
+    for name in FIELDS:
+        columns[f"__{name}"] = F.try_variant_get(b, f"$.{name}", "string")
+        columns[f"__{name}_kind"] = F.schema_of_variant(F.try_variant_get(b, f"$.{name}", "variant"))
+    return df.withColumns(columns)
+
+
+def _int_value(name: str, default: int) -> Column:
+    """Integer parameter: numbers truncate, booleans are 0 or 1, strings must
+    be whole numbers; null for all else. Saturates at 64 bits."""
+    kind, text = F.col(f"__{name}_kind"), F.col(f"__{name}")
+    real = F.greatest(F.least(text.try_cast("double"), F.lit(9.2e18)), F.lit(-9.2e18))
     digits = F.regexp_replace(text, r"[\s_]", "")
-    whole = text.rlike(r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$")
-    limit = F.when(F.startswith(digits, F.lit("-")), F.lit(-LONG_MAX)).otherwise(F.lit(LONG_MAX))
-    value = (
+    limit = F.when(F.startswith(text, F.lit("-")), F.lit(-LONG_MAX)).otherwise(F.lit(LONG_MAX))
+    return (
         F.when(kind.isNull(), F.lit(default).cast("bigint"))
-        .when(kind == "BIGINT", F.try_variant_get(body, path, "bigint"))
-        .when(kind == "BOOLEAN", F.try_variant_get(body, path, "boolean").cast("bigint"))
-        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), clamped.cast("bigint"))
-        .when((kind == "STRING") & whole, F.coalesce(digits.try_cast("bigint"), limit))
+        .when(kind == "BIGINT", text.try_cast("bigint"))
+        .when(kind == "BOOLEAN", (text == "true").cast("bigint"))
+        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), real.cast("bigint"))
+        .when((kind == "STRING") & text.rlike(WHOLE), F.coalesce(digits.try_cast("bigint"), limit))
     )
-    error = (
+
+
+def _int_error(name: str) -> Column:
+    kind, text = F.col(f"__{name}_kind"), F.col(f"__{name}")
+    return (
         F.when(kind == "VOID", NOT_INT.format("NoneType"))
         .when(F.startswith(kind, F.lit("ARRAY")), NOT_INT.format("list"))
         .when(F.startswith(kind, F.lit("OBJECT")), NOT_INT.format("dict"))
-        .when((kind == "STRING") & ~whole, F.concat(F.lit(BAD_INT), text, F.lit("'")))
+        .when((kind == "STRING") & ~text.rlike(WHOLE), F.concat(F.lit(BAD_INT), text, F.lit("'")))
+    )
+
+
+def _model_name(default_model: str) -> Column:
+    """The requested model, or the default for absent and empty values."""
+    kind, text = F.col("__art_dir_kind"), F.col("__art_dir")
+    empty = (
+        kind.isNull()
+        | kind.isin("VOID", "OBJECT<>", "ARRAY<VOID>")
+        | ((kind == "STRING") & (text == ""))
+        | ((kind == "BOOLEAN") & (text == "false"))
+        | (kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & (text.try_cast("double") == 0))
     )
-    return value, error
+    return F.when(empty, F.lit(default_model)).otherwise(F.coalesce(text, F.lit("")))
 
 
 def validate_requests(
@@ -60,53 +86,36 @@ def validate_requests(
     400 for bad bodies, 500 for bad integers, 404 for unknown models, in this
     order. ``topk_cat`` is raised to 1, ``topk_sub`` is kept as given.
     """
-    body = F.try_parse_json(F.col(value))
-    parsed = df.withColumn("__body", body)
-    b = F.col("__body")
-    text = F.try_variant_get(b, "$.text", "string")
-    k_cat, cat_error = _int_field(b, "topk_cat", DEFAULT_TOPK_CAT)
-    k_sub, sub_error = _int_field(b, "topk_sub", DEFAULT_TOPK_SUB)
-    model_text = F.try_variant_get(b, "$.art_dir", "string")
-    model_kind = _kind(b, "art_dir")
-    empty = (
-        model_kind.isNull()
-        | model_kind.isin("VOID", "OBJECT<>", "ARRAY<VOID>")
-        | ((model_kind == "STRING") & (model_text == ""))
-        | ((model_kind == "BOOLEAN") & (model_text == "false"))
-        | (model_kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & (model_text.try_cast("double") == 0))
-    )
-    model = F.when(empty, F.lit(default_model)).otherwise(model_text)
-    device = F.when(_kind(b, "device").isNull(), "auto").otherwise(
-        F.coalesce(F.try_variant_get(b, "$.device", "string"), F.lit("None"))
-    )
-    bad_body = (
-        F.when(b.isNull(), BAD_JSON)
-        .when(~F.startswith(F.schema_of_variant(b), F.lit("OBJECT")), NOT_OBJECT)
-        .when(~F.coalesce(_kind(b, "text") == "STRING", F.lit(False)) | is_blank(text), BAD_TEXT)
-    )
-    known = F.coalesce(model.isin(model_ids), F.lit(False))
-    typed = parsed.select(
-        *[c for c in df.columns if c != value],
-        bad_body.alias("__bad"),
-        F.coalesce(cat_error, sub_error).alias("__int"),
-        F.when(~known, F.concat(F.lit(NO_MODEL), F.coalesce(model, F.lit("")))).alias("__missing"),
-        text.alias("text"),
-        model.alias("model_id"),
-        device.alias("device"),
-        F.greatest(k_cat, F.lit(1).cast("bigint")).alias("topk_cat"),
-        k_sub.alias("topk_sub"),
+    keep = [c for c in df.columns if c != value]
+    fields = _with_fields(df.select(*keep, F.try_parse_json(F.col(value)).alias("__body")), "__body")
+    is_text = F.coalesce(F.col("__text_kind") == "STRING", F.lit(False))
+    checked = fields.select(
+        *keep,
+        F.when(F.col("__root_kind").isNull(), BAD_JSON)
+        .when(~F.startswith("__root_kind", F.lit("OBJECT")), NOT_OBJECT)
+        .when(~is_text | is_blank(F.col("__text")), BAD_TEXT)
+        .alias("__bad"),
+        F.coalesce(_int_error("topk_cat"), _int_error("topk_sub")).alias("__not_int"),
+        F.col("__text").alias("text"),
+        _model_name(default_model).alias("model_id"),
+        F.when(F.col("__device_kind").isNull(), "auto")
+        .otherwise(F.coalesce("__device", F.lit("None")))
+        .alias("device"),
+        F.greatest(_int_value("topk_cat", DEFAULT_TOPK_CAT), F.lit(1).cast("bigint")).alias("topk_cat"),
+        _int_value("topk_sub", DEFAULT_TOPK_SUB).alias("topk_sub"),
     )
-    error = F.coalesce("__bad", "__int", "__missing")
+    missing = F.when(~F.col("model_id").isin(model_ids), F.concat(F.lit(NO_MODEL), "model_id"))
     status = (
         F.when(F.col("__bad").isNotNull(), 400)
-        .when(F.col("__int").isNotNull(), 500)
-        .when(F.col("__missing").isNotNull(), 404)
+        .when(F.col("__not_int").isNotNull(), 500)
+        .when(missing.isNotNull(), 404)
         .otherwise(200)
     )
-    ok = error.isNull()
-    return typed.select(
-        *[c for c in df.columns if c != value],
-        status.alias("status"),
-        error.alias("error"),
+    judged = checked.withColumns({"status": status, "error": F.coalesce("__bad", "__not_int", missing)})
+    ok = F.col("status") == 200
+    return judged.select(
+        *keep,
+        "status",
+        "error",
         *[F.when(ok, F.col(c)).alias(c) for c in ("text", "model_id", "device", "topk_cat", "topk_sub")],
     )

@@ -23,6 +23,8 @@ def build_session(master: str = "local[*]", app_name: str = "labelway", **conf:
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "12g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # the last of repeated JSON fields counts
+        "spark.sql.variant.allowDuplicateKeys": "true",
     }
     settings.update(conf)
     builder = SparkSession.builder.master(master).appName(app_name)

@@ -64,10 +64,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payload strings, one per conversation turn: most valid, some bad or odd."""
-    turns = table(spark, sf_dir, "conversations")
-    text = F.to_json(F.struct("text"))
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        "role",
+        F.to_json(F.struct("text")).alias("json"),
+        F.pmod(F.col("conv_id") * 7 + F.col("turn") * 3, F.lit(20)).alias("kind"),
+    )
+    text, kind = F.col("json"), F.col("kind")
     body = F.substr(text, F.lit(2))
-    kind = F.pmod(F.col("conv_id") * 7 + F.col("turn") * 3, F.lit(20))
     valid = F.concat(
         F.lit('{"topk_cat":'), (1 + F.col("turn") % 3).cast("string"),
         F.lit(',"topk_sub":'), (1 + F.col("turn") % 5).cast("string"), F.lit(","), body,
