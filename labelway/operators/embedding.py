@@ -31,7 +31,8 @@ class HashedTfIdf:
         self.encoder_id = f"hashed-tfidf-{self.dim}-{digest[:8]}"
 
     @staticmethod
-    def _counts(df: DataFrame, text_col: str, dim: int) -> DataFrame:
+    def token_counts(df: DataFrame, text_col: str, dim: int) -> DataFrame:
+        """Adds ``__tf``, the sparse vector of token counts per hash slot."""
         tokens = F.array_remove(F.split(F.col(text_col), " "), "")
         df = df.withColumn("__tokens", tokens)
         return HashingTF(numFeatures=dim, inputCol="__tokens", outputCol="__tf").transform(df)
@@ -39,12 +40,12 @@ class HashedTfIdf:
     @classmethod
     def fit(cls, df: DataFrame, text_col: str, dim: int = 1024) -> "HashedTfIdf":
         """``text_col`` holds cleaned text."""
-        counts = cls._counts(df.select(text_col), text_col, dim).select("__tf")
+        counts = cls.token_counts(df.select(text_col), text_col, dim).select("__tf")
         model = IDF(inputCol="__tf", outputCol="__w").fit(counts)
         return cls(model.idf.toArray().tolist())
 
     def encode(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
-        counts = self._counts(df, text_col, self.dim)
+        counts = self.token_counts(df, text_col, self.dim)
         scaled = ElementwiseProduct(
             scalingVec=Vectors.dense(self.weights), inputCol="__tf", outputCol="__w"
         ).transform(counts)

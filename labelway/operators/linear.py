@@ -21,6 +21,9 @@ from pyspark.sql import types as T
 # Weights trained or broadcast at one time.
 MODEL_BYTES = 256 << 20
 
+# From this many partitions on, gradients are added in two stages.
+FAN_IN_PARTS = 1024
+
 Weights = tuple[np.ndarray, np.ndarray]  # [classes, dim], [classes]
 
 
@@ -110,11 +113,14 @@ def _ints(batch: pa.RecordBatch, name: str) -> np.ndarray:
 _PARTIAL = "task int, grp int, class_idx int, grad array<double>, n long"
 
 
-def _gradient_sums(rows: DataFrame, x_col: str, tasks: list[LinearTask], weights) -> DataFrame:
+def _gradient_sums(
+    rows: DataFrame, x_col: str, tasks: list[LinearTask], weights, fan_in: int = 1
+) -> DataFrame:
     """Sum of (P − Y)ᵀ[X 1] and row count per (task, group, class).
 
     Each task of the job adds up its own rows, so only partitions × classes
-    short rows are shuffled, however large a group is.
+    short rows are shuffled, however large a group is. With very many
+    partitions the sums of a class are added in two stages of ``fan_in``.
     """
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
@@ -157,14 +163,16 @@ def _gradient_sums(rows: DataFrame, x_col: str, tasks: list[LinearTask], weights
                 names=["task", "grp", "class_idx", "grad", "n"],
             )
 
-    return (
-        rows.mapInArrow(partial, _PARTIAL)
-        .groupBy("task", "grp", "class_idx")
-        .agg(
+    def add_up(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy("task", "grp", "class_idx", *keys).agg(
             vector_to_array(Summarizer.sum(array_to_vector(F.col("grad")))).alias("grad"),
             F.sum("n").alias("n"),
         )
-    )
+
+    sums = rows.mapInArrow(partial, _PARTIAL)
+    if fan_in > 1:
+        sums = add_up(sums.withColumn("part", F.spark_partition_id() % fan_in), "part")
+    return add_up(sums)
 
 
 def _waves(tasks: list[LinearTask], dim: int) -> list[list[LinearTask]]:
@@ -207,7 +215,10 @@ def softmax_fit(
     fewer epochs drop out. ``rows`` should be staged: it is read once per pass.
     """
     result: dict[tuple[str, int], Weights] = {}
-    for wave in _waves(tasks, dim):
+    waves = _waves(tasks, dim)
+    parts = rows.rdd.getNumPartitions()
+    fan_in = math.isqrt(parts) if parts >= FAN_IN_PARTS else 1
+    for wave in waves:
         fits = {
             (t, grp): _Fit(task, np.zeros((k, dim + 1)))
             for t, task in enumerate(wave)
@@ -215,11 +226,16 @@ def softmax_fit(
         }
         used = sorted({c for task in wave for c in (task.label_col, task.group_col) if c})
         data = rows.select(x_col, *used)
+        if len(waves) > 1 and all(task.group_col for task in wave):
+            keep = F.lit(False)
+            for task in wave:
+                keep = keep | F.col(task.group_col).between(min(task.classes), max(task.classes))
+            data = data.where(keep)
         for epoch in range(max(task.epochs for task in wave)):
             active = {key: f.w for key, f in fits.items() if epoch < f.task.epochs}
             grads = {key: np.zeros_like(w) for key, w in active.items()}
             counts = dict.fromkeys(active, 0)
-            for part in _gradient_sums(data, x_col, wave, active).toArrow().to_batches():
+            for part in _gradient_sums(data, x_col, wave, active, fan_in).toArrow().to_batches():
                 keys = zip(*(part.column(c).to_pylist() for c in ("task", "grp", "class_idx", "n")))
                 for (t, grp, c, n), g in zip(keys, _matrix(part.column("grad"))):
                     grads[(t, grp)][c] = g

@@ -1,8 +1,8 @@
 """Seeded choices of exact size: samples and stratified splits.
 
 Rows are ordered by ``md5(seed|row_id)``. The first n of a group are found as
-a threshold: a histogram over hash prefixes shows in which prefix the n-th row
-lies, only rows of that prefix are ranked, and the choice itself is a
+a threshold: a histogram over hash prefixes shows in which bucket the n-th row
+lies, only the rows of that bucket are ranked, and the choice itself is a
 comparison with the threshold. No group is ever sorted or gathered as a whole.
 ``row_id`` must be unique.
 """
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from labelway.operators.joins import attach
 from labelway.session import stage_table
 
-PREFIX_DIGITS = 4
+# Aim for the rows of one bucket; prefixes grow with the size of the group.
+BUCKET_ROWS = 1 << 16
 
 
 def rank_hash(id_col: str, seed: int | str) -> Column:
@@ -29,40 +30,61 @@ def at_or_below(id_col: str, seed: int | str, cut_hash: Column, cut_id: Column)
 
 
 def hash_cuts(
-    rows: DataFrame, id_col: str, quotas: DataFrame, groups: list[str], seed: int | str
+    rows: DataFrame,
+    id_col: str,
+    quotas: DataFrame,
+    groups: list[str],
+    seed: int | str,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """(groups, cut_hash, cut_id): the ``quota``-th row of each group in hash order.
 
-    ``quotas`` has the group columns (not null) and ``quota``; groups with
-    quota 0 or with fewer rows than the quota have no cut.
+    ``quotas`` has the group columns (not null), the group's rows ``cnt`` and
+    ``quota``; groups with quota 0 or with fewer rows than that have no cut.
     """
+    digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("cnt") / bucket_rows))).cast("int")
+    table = quotas.where("quota > 0").select(
+        *groups, "cnt", F.col("cnt").alias("__rows"), "quota", digits.alias("__digits")
+    )
     keyed = rows.select(*groups, rank_hash(id_col, seed).alias("__h"), F.col(id_col).alias("__id"))
-    keyed = keyed.withColumn("__p", F.substring("__h", 1, PREFIX_DIGITS))
-    histogram = keyed.groupBy(*groups, "__p").agg(F.count(F.lit(1)).alias("__n"))
-    # at most 16**PREFIX_DIGITS rows per group
+    keyed = attach(keyed, table, groups, "cnt", ["__id"], how="inner").withColumn(
+        "__p", F.substr("__h", F.lit(1), F.col("__digits"))
+    )
+    histogram = keyed.groupBy(*groups, "__p", "quota", "__rows").agg(F.count(F.lit(1)).alias("__n"))
+    # about cnt / bucket_rows rows per group
     running = Window.partitionBy(*groups).orderBy("__p")
     upto = histogram.withColumn("__upto", F.sum("__n").over(running))
-    crossing = (
-        upto.join(quotas.select(*groups, "quota"), groups)
-        .where((F.col("__upto") >= F.col("quota")) & (F.col("__upto") - F.col("__n") < F.col("quota")))
-        .select(*groups, "__p", (F.col("quota") - F.col("__upto") + F.col("__n")).alias("__need"))
+    before = F.col("__upto") - F.col("__n")
+    crossing = stage_table(
+        upto.where((F.col("__upto") >= F.col("quota")) & (before < F.col("quota"))).select(
+            *groups,
+            F.col("__rows").alias("cnt"),
+            F.col("__p").alias("__cross"),
+            (F.col("quota") - before).alias("__need"),
+        ),
+        "crossing",
     )
+    inside = attach(keyed, crossing, groups, "cnt", ["__id"], how="inner").where("__p = __cross")
     ranked = Window.partitionBy(*groups).orderBy("__h", "__id")
     return (
-        keyed.join(crossing, [*groups, "__p"])
-        .withColumn("__rank", F.row_number().over(ranked))
+        inside.withColumn("__rank", F.row_number().over(ranked))
         .where(F.col("__rank") == F.col("__need"))
         .select(*groups, F.col("__h").alias("cut_hash"), F.col("__id").alias("cut_id"))
     )
 
 
-def sample_rows(rows: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
+def sample_rows(
+    rows: DataFrame, id_col: str, n: int, seed: int, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """Exactly n rows if there are more, else all rows."""
-    one = rows.select(F.col(id_col), F.lit(0).alias("__all"))
-    quotas = rows.sparkSession.range(1).select(
-        F.lit(0).alias("__all"), F.lit(n).cast("bigint").alias("quota")
+    keyed = rows.select(F.col(id_col), F.lit(0).alias("__all"))
+    quotas = keyed.agg(F.count(F.lit(1)).alias("cnt")).select(
+        F.lit(0).alias("__all"), "cnt", F.lit(n).cast("bigint").alias("quota")
+    )
+    cuts = stage_table(
+        hash_cuts(keyed, id_col, stage_table(quotas, "sample-quota"), ["__all"], seed, bucket_rows),
+        "sample-cut",
     )
-    cuts = stage_table(hash_cuts(one, id_col, quotas, ["__all"], seed), "sample-cut")
     cut_hash = cuts.select("cut_hash").scalar()
     cut_id = cuts.select("cut_id").scalar()
     # without a cut the table has fewer than n rows
@@ -133,6 +155,7 @@ def split_table(
     val_size: float,
     test_size: float,
     seed: int,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One row per (group, label) with all that ``split_column`` needs.
 
@@ -148,7 +171,7 @@ def split_table(
         "split-classes",
     )
     hold_cuts = hash_cuts(
-        narrow, id_col, classes.select(*keys, F.col("hold_n").alias("quota")), keys, seed
+        narrow, id_col, classes.select(*keys, "cnt", F.col("hold_n").alias("quota")), keys, seed, bucket_rows
     )
     table = stage_table(classes.join(hold_cuts, keys, "left"), "split-cuts")
 
@@ -159,8 +182,10 @@ def split_table(
     )
     held = held.select(id_col, *keys, F.lit(0).alias("__all"))
     table = table.withColumn("__all", F.lit(0))
-    quotas = table.groupBy(*outer).agg(F.max("test_n").alias("quota"))
-    test_cuts = hash_cuts(held, id_col, quotas, outer, f"{seed}-test").select(
+    quotas = table.groupBy(*outer).agg(
+        F.max("hold_all").alias("cnt"), F.max("test_n").alias("quota")
+    )
+    test_cuts = hash_cuts(held, id_col, quotas, outer, f"{seed}-test", bucket_rows).select(
         *outer, F.col("cut_hash").alias("test_hash"), F.col("cut_id").alias("test_id")
     )
     return stage_table(

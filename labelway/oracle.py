@@ -7,6 +7,7 @@ over (row, dimension, value).
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 SPACE = r"\p{Z}\t-\r\x{1c}-\x{1f}\x{85}"
@@ -277,6 +278,32 @@ f_held AS MATERIALIZED (SELECT row_id, grp, cls AS y, split FROM split WHERE spl
 {held_ranks("f", f"f_w{epochs}", "f_held")}"""
 
 
+def tuned(n_trials: int, seed: int = 42) -> str:
+    """Validation top-1 of router trials; parameters by hash of the trial number."""
+    parts, picks = [], []
+    for t in range(n_trials):
+        u = {
+            name: int(hashlib.md5(f"{seed}|{t}|{name}".encode()).hexdigest()[:8], 16) / 2**32
+            for name in ("router_lr", "router_epochs")
+        }
+        lr = math.exp(math.log(5e-5) + u["router_lr"] * (math.log(5e-3) - math.log(5e-5)))
+        epochs = 3 + math.floor(u["router_epochs"] * 8)
+        parts.append(f"t{t}_tr AS (SELECT * FROM f_tr), t{t}_k AS (SELECT * FROM f_k)")
+        parts.append(fit(f"t{t}", epochs, lr))
+        parts.append(held_ranks(f"t{t}", f"t{t}_w{epochs}", "f_val"))
+        picks.append(
+            f"SELECT CAST({t} AS INT) AS trial, CAST({epochs} AS INT) AS router_epochs,"
+            f" round(avg(CASE WHEN rk = 1 THEN 1.0 ELSE 0.0 END), 6) AS score FROM t{t}_rk"
+        )
+    return f"""{TRAINED},
+f_tr AS MATERIALIZED (SELECT row_id, grp, cls AS y FROM split WHERE split = 'train' AND grp = -1),
+f_k AS (SELECT DISTINCT grp, cls AS c FROM roles WHERE grp = -1),
+f_val AS MATERIALIZED (
+  SELECT row_id, grp, cls AS y, split FROM split WHERE split IN ('val', 'both') AND grp = -1),
+{", ".join(parts)}
+{" UNION ALL ".join(picks)}"""
+
+
 def request_fixture() -> str:
     return """
 turns AS (
@@ -518,6 +545,20 @@ FROM r_w3""",
 SELECT {four_rates()} FROM f_rk""",
         "train_heads": f"""{trained("heads", 4, 0.05)}
 SELECT 'c' || grp AS category, {four_rates()} FROM f_rk GROUP BY 1""",
+        "train_summary": f"""{trained("router", 3, 0.05)}
+SELECT 'vectors' AS model_id,
+  {four_rates().replace("_top1_acc", "_top1").replace("_top3_acc", "_top3").replace("AS ", "AS router_")},
+  (SELECT string_agg('c' || category, '|' ORDER BY category) FROM (SELECT DISTINCT category FROM vec)) AS kept_categories,
+  (SELECT string_agg('c' || category, '|' ORDER BY category) FROM (SELECT DISTINCT category FROM vec)) AS heads_saved
+FROM f_rk""",
+        "tune_router": tuned(2),
+        "score_requests": f"""
+WITH v AS ({validate()}),
+k AS (SELECT count(DISTINCT CAST(replace(source, 'src', '') AS INT) % 4) AS n FROM documents)
+SELECT req_id, status, error,
+  CASE WHEN status = 200 THEN CAST(least(topk_cat, k.n) AS INT) END AS n_categories,
+  CASE WHEN status = 200 THEN TRUE END AS best_first
+FROM v CROSS JOIN k""",
         "trial_table": f"{TRIALS} SELECT * FROM scored",
         "best_trial": f"{TRIALS} SELECT * FROM scored ORDER BY score DESC, trial LIMIT 1",
         "validate_requests": validate(),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -244,11 +245,15 @@ def q_embed_texts(spark, sf):
         F.col("doc_id").alias("row_id"), clean_text(F.col("text")).alias("text")
     )
     encoder = HashedTfIdf.fit(docs, "text", 1024)
-    encoded = encoder.encode(docs, "text", "x")
-    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    tokens = F.size(F.array_remove(F.split("text", " "), "")).cast("double")
+    counted = HashedTfIdf.token_counts(docs, "text", 1024).drop("__tokens")
+    encoded = encoder.encode(counted.withColumnRenamed("__tf", "tf"), "text", "x")
+    add = lambda a, v: a + v
+    squares = F.transform("x", lambda v: v.cast("double") * v)
     return encoded.select(
-        "row_id", tokens.alias("n_tokens"), F.size("x").alias("dim"), F.round(F.sqrt(total), 5).alias("norm")
+        "row_id",
+        F.aggregate(vector_to_array("tf"), F.lit(0.0), add).alias("n_tokens"),
+        F.size("x").alias("dim"),
+        F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), add)), 5).alias("norm"),
     )
 
 
@@ -432,16 +437,22 @@ def q_best_trial(spark, sf):
 
 @query
 def q_tune_router(spark, sf):
-    return tune.run_trials(_vector_set(spark, sf), HierConfig(), 4)
-
-
-# --- whole jobs ------------------------------------------------------------
+    """Two trials of the router trained in the same passes."""
+    trials = tune.run_trials(_vector_set(spark, sf), HierConfig(), 2)
+    return trials.select("trial", "router_epochs", F.round("score", 6).alias("score"))
 
 
 @query
 def q_train_summary(spark, sf):
-    cfg = HierConfig(model_id="docs", router_epochs=10, head_epochs=10)
-    return hierarchy.train_summary(hierarchy.fit_hierarchy(fixtures.tickets_docs(spark, sf), cfg))
+    data = _vector_set(spark, sf)
+    cfg = HierConfig(model_id="vectors", router_epochs=3, head_epochs=2)
+    given = type("Given", (), {"encoder_id": "given", "weights": None})
+    tables = hierarchy.model_tables(data, hierarchy.fit_weights(data, cfg), cfg, given)
+    out = hierarchy.train_summary(tables)
+    return out.withColumns({c: F.array_join(c, "|") for c in ("kept_categories", "heads_saved")})
+
+
+# --- whole jobs ------------------------------------------------------------
 
 
 @query
@@ -462,6 +473,13 @@ def q_score_requests(spark, sf):
     root = scratch_path(spark, "models")
     model_store.save_model(tables, root)
     model = model_store.load_model(model_store.open_tables(spark, root, cfg.model_id))
-    return score_requests(fixtures.requests(spark, sf), [model], cfg.model_id).select(
-        "req_id", "status", "error", "response"
+    scored = score_requests(fixtures.requests(spark, sf), [model], cfg.model_id)
+    answer = F.from_json("response", "predictions array<struct<category:string,proba:double>>")
+    best_first = F.sort_array(F.col("a.predictions.proba"), asc=False) == F.col("a.predictions.proba")
+    return scored.withColumn("a", F.when(F.col("status") == 200, answer)).select(
+        "req_id",
+        "status",
+        F.get_json_object("response", "$.error").alias("error"),
+        F.when(F.col("status") == 200, F.size("a.predictions")).alias("n_categories"),
+        best_first.alias("best_first"),
     )
