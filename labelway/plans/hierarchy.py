@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from labelway.config import UNIQUE_RULE, HierConfig
 from labelway.functions.labels import compose_label, is_good_grade, or_nan, split_label
-from labelway.functions.text import clean_text, is_blank, safe_key
+from labelway.functions.text import clean_text, safe_key
 from labelway.operators import encoding, linear, metrics, sampling, taxonomy
 from labelway.operators.embedding import HashedTfIdf
 from labelway.operators.joins import attach
@@ -49,7 +49,11 @@ def prepare_rows(rows: DataFrame, cfg: HierConfig) -> DataFrame:
     if cfg.id_col not in rows.columns:
         # fixed by the write below
         graded = graded.withColumn(cfg.id_col, F.monotonically_increasing_id())
-    cleaned = stage_table(drop_empty_texts(graded, cfg.text_col), "cleaned")
+    # the blank test runs on the written column, so each text is cleaned once
+    text = clean_text(F.col(cfg.text_col))
+    cleaned = stage_table(graded.withColumn(cfg.text_col, text), "cleaned").where(
+        F.col(cfg.text_col) != " "
+    )
     curated = taxonomy.curate(cleaned, cfg)
     if cfg.max_rows:
         curated = sampling.sample_rows(curated, cfg.id_col, cfg.max_rows, cfg.seed)

@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPLIT_BYTES = 128 << 20
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -88,3 +90,16 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 def planned_bytes(df: DataFrame) -> int:
     """Size the optimizer expects for ``df``; exact for a staged table."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Spreads a small input with few splits over all cores.
+
+    One file or one row group is one task. Only inputs below one scan split per
+    core are moved, so a large table is never shuffled by this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if planned_bytes(df) < cores * SPLIT_BYTES:
+        return df.repartition(cores, key)
+    return df
