@@ -79,6 +79,30 @@ def head_plan(sizes: DataFrame, cat: str, label: str) -> DataFrame:
     )
 
 
+def label_codes(sizes: DataFrame) -> DataFrame:
+    """One row per (category, label) with everything training needs to know:
+    ``cat_idx``, ``cat_rows``, ``before`` (rows of earlier categories), the
+    kind of head and ``head_idx`` (null where the label trains no head).
+
+    Windows run over the label table, which is as long as the models.
+    """
+    inside = Window.partitionBy("category")
+    usable = F.col("cnt") >= 2
+    kind = (
+        F.when(F.col("cat_rows") < 2, "none").when(F.col("__labels") < 2, "single").otherwise("trained")
+    )
+    number = F.count_if(usable).over(inside.orderBy("label")) - 1
+    return (
+        sizes.withColumn("cat_rows", F.sum("cnt").over(inside))
+        .withColumn("__labels", F.count_if(usable).over(inside))
+        .withColumn("kind", kind)
+        .withColumn("head_idx", F.when((F.col("kind") == "trained") & usable, number).cast("int"))
+        .withColumn("cat_idx", (F.dense_rank().over(Window.orderBy("category")) - 1).cast("int"))
+        .withColumn("before", F.sum("cnt").over(Window.orderBy("category")) - F.col("cat_rows"))
+        .drop("__labels")
+    )
+
+
 def head_classes(sizes: DataFrame, plan: DataFrame, cat: str, label: str) -> DataFrame:
     """Class dictionary of every head: usable labels, or one ``__single__`` class."""
     order = Window.partitionBy(cat).orderBy(label)

@@ -156,20 +156,18 @@ def split_table(
     test_size: float,
     seed: int,
     bucket_rows: int = BUCKET_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (group, label) with all that ``split_column`` needs.
 
     Models are per ``group``; rows with a null ``label`` take no part.
+    ``sizes`` (group, label, cnt) saves counting them again.
     """
     keys = [group, label] if group else [label]
     narrow = rows.select(id_col, *keys).where(F.col(label).isNotNull())
-    classes = stage_table(
-        split_quotas(
-            narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt")),
-            group, label, val_size, test_size,
-        ),
-        "split-classes",
-    )
+    if sizes is None:
+        sizes = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
+    classes = stage_table(split_quotas(sizes, group, label, val_size, test_size), "split-classes")
     hold_cuts = hash_cuts(
         narrow, id_col, classes.select(*keys, "cnt", F.col("hold_n").alias("quota")), keys, seed, bucket_rows
     )

@@ -97,37 +97,14 @@ def build_training_set(rows: DataFrame, x: Column, dim: int, cfg: HierConfig) ->
     Label columns are joined from small dictionaries, so no row moves before
     the one exchange that lays out the training table.
     """
-    sizes = stage_table(encoding.label_sizes(rows, "category", "label"), "label-sizes")
-    per_category = sizes.groupBy("category").agg(F.sum("cnt").alias("cnt"))
-    earlier = Window.orderBy("category").rowsBetween(Window.unboundedPreceding, -1)
-    categories = stage_table(
-        per_category.select(
-            "category",
-            (F.row_number().over(Window.orderBy("category")) - 1).cast("int").alias("cat_idx"),
-            "cnt",
-            F.coalesce(F.sum("cnt").over(earlier), F.lit(0)).alias("before"),
-        ),
-        "categories",
-    )
-    plan = stage_table(encoding.head_plan(sizes, "category", "label"), "head-plan")
-    heads = stage_table(encoding.head_classes(sizes, plan, "category", "label"), "head-classes")
-    trained = plan.where("kind = 'trained'").select("category")
     codes = stage_table(
-        sizes.join(categories.select("category", "cat_idx", F.col("cnt").alias("cat_rows"), "before"), "category")
-        .join(
-            heads.join(trained, "category").select(
-                "category", "label", F.col("class_idx").alias("head_idx")
-            ),
-            ["category", "label"],
-            "left",
-        ),
-        "label-codes",
+        encoding.label_codes(encoding.label_sizes(rows, "category", "label")), "label-codes"
     )
-    total = sizes.agg(F.sum("cnt")).first()[0] or 0
+    total = codes.agg(F.sum("cnt")).first()[0] or 0
     sc = rows.sparkSession.sparkContext
     parts = max(sc.defaultParallelism, math.ceil(total * dim * 4 / PART_BYTES))
 
-    coded = attach(rows, codes, ["category", "label"], "cnt", ["row_id"])
+    coded = attach(rows, codes.drop("kind"), ["category", "label"], "cnt", ["row_id"])
     # Both levels are split in the same passes: model -1 is the router.
     roles = stage_table(
         coded.select(
@@ -141,7 +118,15 @@ def build_training_set(rows: DataFrame, x: Column, dim: int, cfg: HierConfig) ->
         ).where("cls is not null"),
         "roles",
     )
-    cuts = sampling.split_table(roles, "row_id", "model", "cls", cfg.val_size, cfg.test_size, cfg.seed)
+    categories = codes.select("category", "cat_idx", F.col("cat_rows").alias("cnt")).distinct()
+    sizes = categories.select(F.lit(-1).alias("model"), F.col("cat_idx").alias("cls"), "cnt").unionByName(
+        codes.where("head_idx is not null").select(
+            F.col("cat_idx").alias("model"), F.col("head_idx").alias("cls"), "cnt"
+        )
+    )
+    cuts = sampling.split_table(
+        roles, "row_id", "model", "cls", cfg.val_size, cfg.test_size, cfg.seed, sizes=sizes
+    )
     router_cuts = cuts.where("model = -1").select(
         F.col("cls").alias("cat_idx"), "cnt", F.col("cuts").alias("router_cuts")
     )
@@ -168,6 +153,8 @@ def build_training_set(rows: DataFrame, x: Column, dim: int, cfg: HierConfig) ->
         .repartitionById(parts, F.col("__part"))
         .drop("__part")
     )
+    plan = encoding.head_plan(codes, "category", "label")
+    heads = encoding.head_classes(codes, plan, "category", "label")
     return TrainingSet(stage_table(table, "training-set"), categories, plan, heads, dim)
 
 
