@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labelway.session import planned_bytes
 
 # A staged table below this file size is broadcast.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 # Beyond it, a key is hot when it holds more than 1/HOT_SHARE of the rows, so
 # there are at most HOT_SHARE hot keys and as many extra salted copies.
 HOT_SHARE = 50_000

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -231,6 +232,8 @@ def softmax_fit(
             for task in wave:
                 keep = keep | F.col(task.group_col).between(min(task.classes), max(task.classes))
             data = data.where(keep)
+        # read from shared storage once; lost blocks are read again
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
         for epoch in range(max(task.epochs for task in wave)):
             active = {key: f.w for key, f in fits.items() if epoch < f.task.epochs}
             grads = {key: np.zeros_like(w) for key, w in active.items()}
@@ -243,6 +246,7 @@ def softmax_fit(
             for key in active:
                 if counts[key]:
                     fits[key].step(epoch, grads[key] / counts[key])
+        data.unpersist()
         for (t, grp), f in fits.items():
             result[(wave[t].name, grp)] = (f.w[:, :-1].copy(), f.w[:, -1].copy())
     return result

@@ -89,13 +89,17 @@ def hier_predict(
 
     @F.arrow_udf(PREDICTIONS_TYPE)
     def predict(x: pa.Array, model_id: pa.Array, kc: pa.Array, ks: pa.Array) -> pa.Array:
-        ids = np.asarray(model_id.to_pylist(), dtype=object)
+        names = model_id.dictionary_encode()
+        code = {v: i for i, v in enumerate(names.dictionary.to_pylist())}
+        ids = names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
         has_x = x.is_valid().to_numpy(zero_copy_only=False)
         want_c = kc.cast(pa.int64()).fill_null(1).to_numpy(zero_copy_only=False)
         want_s = ks.cast(pa.int64()).fill_null(1).to_numpy(zero_copy_only=False)
         found, picks = [], []
         for name, model in shared.value.items():
-            pick = np.flatnonzero(has_x & (ids == name))
+            pick = np.flatnonzero(has_x & (ids == code.get(name, -2)))
+            if len(pick) == len(x) and len(x):
+                return _predict_rows(model, _matrix(x), want_c, want_s)
             if len(pick):
                 found.append(_predict_rows(model, _matrix(x.take(pa.array(pick))), want_c[pick], want_s[pick]))
                 picks.append(pick)

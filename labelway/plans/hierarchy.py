@@ -49,11 +49,12 @@ def prepare_rows(rows: DataFrame, cfg: HierConfig) -> DataFrame:
     if cfg.id_col not in rows.columns:
         # fixed by the write below
         graded = graded.withColumn(cfg.id_col, F.monotonically_increasing_id())
-    # the blank test runs on the written column, so each text is cleaned once
-    text = clean_text(F.col(cfg.text_col))
-    cleaned = stage_table(graded.withColumn(cfg.text_col, text), "cleaned").where(
-        F.col(cfg.text_col) != " "
+    # The blank test is written as a column of its own: each text is cleaned
+    # once, and later passes over the labels need not read the text to filter.
+    written = graded.withColumn(cfg.text_col, clean_text(F.col(cfg.text_col))).withColumn(
+        "__filled", F.col(cfg.text_col) != " "
     )
+    cleaned = stage_table(written, "cleaned").where("__filled").drop("__filled")
     curated = taxonomy.curate(cleaned, cfg)
     if cfg.max_rows:
         curated = sampling.sample_rows(curated, cfg.id_col, cfg.max_rows, cfg.seed)

@@ -103,3 +103,11 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     if planned_bytes(df) < cores * SPLIT_BYTES:
         return df.repartition(cores, key)
     return df
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application, for when its
+    results are saved. DataFrames that read them can no longer run."""
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
