@@ -84,22 +84,21 @@ def label_codes(sizes: DataFrame) -> DataFrame:
     ``cat_idx``, ``cat_rows``, ``before`` (rows of earlier categories), the
     kind of head and ``head_idx`` (null where the label trains no head).
 
-    Windows run over the label table, which is as long as the models.
+    Categories are numbered on a table of one row per category, labels inside
+    their category. ``sizes`` should be staged: it is read twice.
     """
-    inside = Window.partitionBy("category")
     usable = F.col("cnt") >= 2
-    kind = (
-        F.when(F.col("cat_rows") < 2, "none").when(F.col("__labels") < 2, "single").otherwise("trained")
+    by_name = Window.orderBy("category")
+    earlier = by_name.rowsBetween(Window.unboundedPreceding, -1)
+    categories = (
+        head_plan(sizes, "category", "label")
+        .withColumn("cat_idx", (F.row_number().over(by_name) - 1).cast("int"))
+        .withColumn("before", F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)))
+        .select("category", "kind", "cat_idx", F.col("n_rows").alias("cat_rows"), "before")
     )
-    number = F.count_if(usable).over(inside.orderBy("label")) - 1
-    return (
-        sizes.withColumn("cat_rows", F.sum("cnt").over(inside))
-        .withColumn("__labels", F.count_if(usable).over(inside))
-        .withColumn("kind", kind)
-        .withColumn("head_idx", F.when((F.col("kind") == "trained") & usable, number).cast("int"))
-        .withColumn("cat_idx", (F.dense_rank().over(Window.orderBy("category")) - 1).cast("int"))
-        .withColumn("before", F.sum("cnt").over(Window.orderBy("category")) - F.col("cat_rows"))
-        .drop("__labels")
+    number = F.count_if(usable).over(Window.partitionBy("category").orderBy("label")) - 1
+    return sizes.join(categories, "category").withColumn(
+        "head_idx", F.when((F.col("kind") == "trained") & usable, number).cast("int")
     )
 
 

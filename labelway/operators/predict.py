@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,7 +86,7 @@ def hier_predict(
     """
     size = sum(m.nbytes() for m in models)
     if size > MODEL_BYTES:
-        raise ValueError(f"{size} bytes of weights exceed MODEL_BYTES; load fewer models")
+        raise ValueError(f"{size} bytes of weights exceed MODEL_BYTES; use hier_predict_by_id")
     shared = df.sparkSession.sparkContext.broadcast({m.model_id: m for m in models})
 
     @F.arrow_udf(PREDICTIONS_TYPE)
@@ -114,6 +116,52 @@ def hier_predict(
     )
 
 
+def _portions(model: HierModel) -> list[HierModel]:
+    """The model in parts that each fit ``MODEL_BYTES``: all have the router,
+    every head is in one of them."""
+    base = HierModel(model.model_id, model.encoder_id, model.encoder_weights, model.router, {})
+    parts, free = [replace(base, heads={})], MODEL_BYTES - base.nbytes()
+    room = free
+    for name, head in sorted(model.heads.items()):
+        size = head.weights[0].nbytes + head.weights[1].nbytes
+        if size > room:
+            raise ValueError(f"head {name} of {size} bytes exceeds MODEL_BYTES")
+        if size > free:
+            parts.append(replace(base, heads={}))
+            free = room
+        free -= size
+        parts[-1].heads[name] = head
+    return parts
+
+
+def hier_predict_by_id(
+    df: DataFrame,
+    model: HierModel,
+    id_col: str,
+    x_col: str = "x",
+    model_col: str = "model_id",
+    k_cat: str = "topk_cat",
+    k_sub: str = "topk_sub",
+) -> DataFrame:
+    """(id, predictions) of a model too large for one broadcast; batch only.
+
+    Each portion of the heads predicts on its own, and the portion that has a
+    category's head supplies its labels. Only predictions are shuffled, by id.
+    """
+    found = None
+    for part in _portions(model):
+        one = hier_predict(df, [part], x_col, model_col, k_cat, k_sub, out="__p").select(
+            id_col, F.posexplode("__p").alias("__pos", "__c")
+        )
+        found = one if found is None else found.unionByName(one)
+    richest = F.max_by("__c", F.size("__c.subissues"))
+    merged = found.groupBy(id_col, "__pos").agg(richest.alias("__c"))
+    in_order = F.sort_array(F.collect_list(F.struct("__pos", "__c")))
+    return merged.groupBy(id_col).agg(
+        F.transform(in_order, lambda s: s["__c"]).alias("predictions")
+    )
+
+
 def _predict_type() -> pa.DataType:
     sub = pa.struct(
         [("label", pa.string()), ("issue", pa.string()), ("subissue_unique", pa.string()), ("proba", pa.float64())]

@@ -98,9 +98,8 @@ def build_training_set(rows: DataFrame, x: Column, dim: int, cfg: HierConfig) ->
     Label columns are joined from small dictionaries, so no row moves before
     the one exchange that lays out the training table.
     """
-    codes = stage_table(
-        encoding.label_codes(encoding.label_sizes(rows, "category", "label")), "label-codes"
-    )
+    label_sizes = stage_table(encoding.label_sizes(rows, "category", "label"), "label-sizes")
+    codes = stage_table(encoding.label_codes(label_sizes), "label-codes")
     total = codes.agg(F.sum("cnt")).first()[0] or 0
     sc = rows.sparkSession.sparkContext
     parts = max(sc.defaultParallelism, math.ceil(total * dim * 4 / PART_BYTES))

@@ -13,7 +13,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelway.operators.linear import MODEL_BYTES, Weights
+from labelway.operators.linear import Weights
+
+# What the driver holds of one model.
+LOAD_BYTES = 2 << 30
 
 TABLES = ("weights", "classes", "stats", "mapping", "meta")
 
@@ -66,17 +69,15 @@ def save_model(tables: ModelTables, root: str) -> None:
 
 def open_tables(spark: SparkSession, root: str, model_id: str) -> ModelTables:
     """The tables of one model; only its partitions are read."""
-    try:
-        found = {
-            name: spark.read.parquet(f"{root}/{name}").where(
-                F.col("model_id").cast("string") == model_id
-            )
-            for name in TABLES
-        }
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in (e.getCondition() or ""):
-            raise FileNotFoundError(f"Artifacts directory not found: {root}") from e
-        raise
+    found = {}
+    for name in TABLES:
+        try:
+            table = spark.read.parquet(f"{root}/{name}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in (e.getCondition() or ""):
+                raise FileNotFoundError(f"Model table not found: {root}/{name}") from e
+            raise
+        found[name] = table.where(F.col("model_id").cast("string") == model_id)
     tables = ModelTables(**found)
     if tables.meta.isEmpty():
         raise FileNotFoundError(f"Artifacts directory not found: {model_id}")
@@ -84,10 +85,10 @@ def open_tables(spark: SparkSession, root: str, model_id: str) -> ModelTables:
 
 
 def load_model(tables: ModelTables) -> HierModel:
-    """Brings one model of checked size to the driver, ready to broadcast."""
+    """Brings one model of checked size to the driver."""
     size = tables.weights.agg(F.sum(F.size("weights") * 8 + 8)).first()[0] or 0
-    if size > MODEL_BYTES:
-        raise ValueError(f"{size} bytes of weights exceed MODEL_BYTES")
+    if size > LOAD_BYTES:
+        raise ValueError(f"{size} bytes of weights exceed LOAD_BYTES")
     rows = (
         tables.weights.alias("w")
         .join(

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from labelway.operators import predict
 from labelway.operators.embedding import HashedTfIdf, PluginEncoder
 from labelway.operators.predict import hier_predict
 from labelway.operators.requests import BAD_INT, BAD_JSON, BAD_TEXT, NO_MODEL, NOT_INT, NOT_OBJECT, validate_requests
@@ -121,6 +122,21 @@ def test_prediction_matches_brute_force(spark, models):
             np.testing.assert_allclose([s["proba"] for s in g["subissues"]], [s[3] for s in subs], atol=1e-12)
 
 
+def test_large_model_predicts_in_portions(spark, models, monkeypatch):
+    rng = np.random.default_rng(4)
+    heads = {c: head(rng, [f"i__SEP__{c}{k}" for k in range(3)]) for c in "abcd" if c != "c"}
+    model = HierModel("one", "e", None, head(rng, list("abcd")), heads)
+    rows = [(i, rng.normal(size=DIM).tolist(), "one", i % 4 + 1, i % 3 + 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, x array<double>, model_id string, topk_cat int, topk_sub int")
+    want = {r["id"]: r["predictions"] for r in predict.hier_predict(df, [model]).collect()}
+    monkeypatch.setattr(predict, "MODEL_BYTES", (4 + 3) * (DIM + 1) * 8)
+    assert len(predict._portions(model)) == 3
+    with pytest.raises(ValueError, match="hier_predict_by_id"):
+        predict.hier_predict(df, [model])
+    got = {r["id"]: r["predictions"] for r in predict.hier_predict_by_id(df, model, "id").collect()}
+    assert got == want
+
+
 PAYLOADS = [c[0] for c in CASES] + ['{"text":"Как дела на дороге","art_dir":"two","topk_cat":1}']
 
 
