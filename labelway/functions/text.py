@@ -27,6 +27,16 @@ _EMAIL = f"(?<!{_SOLID}){_SOLID}+@{_SOLID}+"
 _FILLER = f"[[^{string.ascii_letters}_]&&[^{WORD_NOT_DIGIT_SET}]]+"
 
 
+def _without_links(text: Column) -> Column:
+    """URLs and e-mail-like runs to blanks; texts without either are not scanned."""
+    no_url = F.when(
+        F.contains(text, F.lit("://")), F.regexp_replace(text, _URL, " ")
+    ).otherwise(text)
+    return F.when(
+        F.contains(no_url, F.lit("@")), F.regexp_replace(no_url, _EMAIL, " ")
+    ).otherwise(no_url)
+
+
 def clean_text(text: Column) -> Column:
     """URLs, e-mail-like runs, digits and punctuation to blanks; lower case;
     single blanks; one blank for null or empty results.
@@ -34,17 +44,18 @@ def clean_text(text: Column) -> Column:
     Digits, punctuation and white space all end up as one blank per run, so a
     single pass over the three classes replaces three.
     """
-    no_url = F.when(
-        F.contains(text, F.lit("://")), F.regexp_replace(text, _URL, " ")
-    ).otherwise(text)
-    no_mail = F.when(
-        F.contains(no_url, F.lit("@")), F.regexp_replace(no_url, _EMAIL, " ")
-    ).otherwise(no_url)
-    flat = F.trim(F.lower(F.regexp_replace(no_mail, _FILLER, " ")))
+    flat = F.trim(F.lower(F.regexp_replace(_without_links(text), _FILLER, " ")))
     # every kept character sorts after the blank, so only null and '' lose
     return F.greatest(flat, F.lit(" "))
 
 
+def has_words(text: Column) -> Column:
+    """Whether the cleaned text is more than a blank, without cleaning it: the
+    search ends at the first kept character."""
+    found = F.rlike(_without_links(text), F.lit(f"[{string.ascii_letters}{WORD_NOT_DIGIT_SET}]"))
+    return F.coalesce(found, F.lit(False))
+
+
 def is_blank(text: Column) -> Column:
     """True for null and for strings of white space only."""
     return F.coalesce(F.regexp_replace(text, f"{_SPACE}+", "") == "", F.lit(True))

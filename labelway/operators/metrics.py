@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelway.functions.arrays import best_class, in_top_k
 from labelway.functions.labels import is_good_grade
-from labelway.functions.text import clean_text, is_blank
+from labelway.functions.text import has_words
 
 SPLITS = ("val", "test")
 
@@ -49,7 +49,7 @@ def head_stats(hits: DataFrame, by: list[str], split: str = "split") -> DataFram
 def stage_counts(rows: DataFrame, grade: str, text: str, max_rows: int | None = None) -> DataFrame:
     """Rows after each filter stage, in one scan."""
     good = is_good_grade(F.col(grade))
-    filled = good & ~is_blank(clean_text(F.col(text)))
+    filled = good & has_words(F.col(text))
     kept = F.col("filled") if max_rows is None else F.least(F.col("filled"), F.lit(max_rows))
     counts = rows.agg(
         F.count(F.lit(1)).alias("loaded"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from labelway.config import UNIQUE_RULE, HierConfig
 from labelway.functions.labels import compose_label, is_good_grade, or_nan, split_label
-from labelway.functions.text import clean_text, safe_key
+from labelway.functions.text import clean_text, has_words, safe_key
 from labelway.operators import encoding, linear, metrics, sampling, taxonomy
 from labelway.operators.embedding import HashedTfIdf
 from labelway.operators.joins import attach
@@ -35,9 +35,12 @@ def graded_rows(rows: DataFrame, cfg: HierConfig) -> DataFrame:
 
 
 def drop_empty_texts(rows: DataFrame, text_col: str) -> DataFrame:
-    """Replaces the text by its cleaned form and drops blank ones."""
-    cleaned = rows.withColumn(text_col, clean_text(F.col(text_col)))
-    return cleaned.where(F.col(text_col) != " ")
+    """Replaces the text by its cleaned form and drops blank ones.
+
+    A filter on the cleaned text would be pushed down and clean everything
+    twice, so blank texts are told by the cheaper test.
+    """
+    return rows.where(has_words(F.col(text_col))).withColumn(text_col, clean_text(F.col(text_col)))
 
 
 def prepare_rows(rows: DataFrame, cfg: HierConfig) -> DataFrame:
@@ -49,12 +52,7 @@ def prepare_rows(rows: DataFrame, cfg: HierConfig) -> DataFrame:
     if cfg.id_col not in rows.columns:
         # fixed by the write below
         graded = graded.withColumn(cfg.id_col, F.monotonically_increasing_id())
-    # The blank test is written as a column of its own: each text is cleaned
-    # once, and later passes over the labels need not read the text to filter.
-    written = graded.withColumn(cfg.text_col, clean_text(F.col(cfg.text_col))).withColumn(
-        "__filled", F.col(cfg.text_col) != " "
-    )
-    cleaned = stage_table(written, "cleaned").where("__filled").drop("__filled")
+    cleaned = stage_table(drop_empty_texts(graded, cfg.text_col), "cleaned")
     curated = taxonomy.curate(cleaned, cfg)
     if cfg.max_rows:
         curated = sampling.sample_rows(curated, cfg.id_col, cfg.max_rows, cfg.seed)

@@ -29,7 +29,12 @@ def prepared(spark):
 def test_label_passes_do_not_read_texts(prepared):
     text = plan(encoding.label_sizes(prepared[1], "category", "label"))
     assert "text_obr" not in text and "UDF" not in text
-    assert "PushedFilters" in text and "__filled" in text
+
+
+def test_texts_are_cleaned_once(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    text = plan(hierarchy.drop_empty_texts(docs, "text"))
+    assert text.count("lower(") == 1
 
 
 def test_sampling_reads_ids_only(prepared):

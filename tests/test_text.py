@@ -3,7 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from labelway.functions.labels import compose_label, is_good_grade, split_label
-from labelway.functions.text import clean_text, is_blank, safe_key
+from labelway.functions.text import clean_text, has_words, is_blank, safe_key
 from labelway.plans.hierarchy import drop_empty_texts
 
 CLEAN = [
@@ -35,8 +35,10 @@ CLEAN = [
 
 def test_clean_text_cases(spark):
     df = spark.createDataFrame(CLEAN, "text string, expected string")
-    for row in df.select("*", clean_text(F.col("text")).alias("got")).collect():
+    text = F.col("text")
+    for row in df.select("*", clean_text(text).alias("got"), has_words(text).alias("words")).collect():
         assert row["got"] == row["expected"], row
+        assert row["words"] == (row["expected"] != " "), row
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -44,8 +46,10 @@ def test_clean_text_cases(spark):
 def test_clean_text_properties(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     once = clean_text(F.col("text"))
-    for row in df.select(once.alias("a"), clean_text(once).alias("b")).collect():
+    words = has_words(F.col("text"))
+    for row in df.select(once.alias("a"), clean_text(once).alias("b"), words.alias("words")).collect():
         a = row["a"]
+        assert row["words"] == (a != " ")
         assert a == " " or (a == a.strip() and "  " not in a)
         assert not any(c.isdecimal() for c in a)
         assert row["b"].replace("̇", "") == a.replace("̇", "")
