@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelway.functions.vectors import softmax, to_matrix
+
 # Weights trained or broadcast at one time.
 MODEL_BYTES = 256 << 20
 
@@ -89,24 +91,6 @@ def pack_vectors(x: Column) -> Column:
     return _pack(x)
 
 
-def _matrix(x: pa.Array) -> np.ndarray:
-    """Rows of equal length, packed or as lists, to [n, dim] float64."""
-    n = len(x)
-    if pa.types.is_binary(x.type) or pa.types.is_large_binary(x.type):
-        size = np.dtype(np.int64 if pa.types.is_large_binary(x.type) else np.int32)
-        ends = np.frombuffer(x.buffers()[1], dtype=size)[x.offset : x.offset + n + 1]
-        data = x.buffers()[2]
-        flat = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view("<f4") if n else np.zeros(0)
-    else:
-        flat = x.flatten().to_numpy(zero_copy_only=False)
-    return np.asarray(flat, dtype=np.float64).reshape(n, -1)
-
-
-def softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
-
-
 def _ints(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
 
@@ -114,7 +98,7 @@ def _ints(batch: pa.RecordBatch, name: str) -> np.ndarray:
 _PARTIAL = "task int, grp int, class_idx int, grad array<double>, n long"
 
 
-def _gradient_sums(
+def gradient_sums(
     rows: DataFrame, x_col: str, tasks: list[LinearTask], weights, fan_in: int = 1
 ) -> DataFrame:
     """Sum of (P − Y)ᵀ[X 1] and row count per (task, group, class).
@@ -130,7 +114,7 @@ def _gradient_sums(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = _matrix(batch.column(x_col))
+            x = to_matrix(batch.column(x_col))
             x = np.hstack([x, np.ones((len(x), 1))])
             for t, task in enumerate(tasks):
                 y = _ints(batch, task.label_col)
@@ -238,9 +222,9 @@ def softmax_fit(
             active = {key: f.w for key, f in fits.items() if epoch < f.task.epochs}
             grads = {key: np.zeros_like(w) for key, w in active.items()}
             counts = dict.fromkeys(active, 0)
-            for part in _gradient_sums(data, x_col, wave, active, fan_in).toArrow().to_batches():
+            for part in gradient_sums(data, x_col, wave, active, fan_in).toArrow().to_batches():
                 keys = zip(*(part.column(c).to_pylist() for c in ("task", "grp", "class_idx", "n")))
-                for (t, grp, c, n), g in zip(keys, _matrix(part.column("grad"))):
+                for (t, grp, c, n), g in zip(keys, to_matrix(part.column("grad"))):
                     grads[(t, grp)][c] = g
                     counts[(t, grp)] = n
             for key in active:
@@ -262,7 +246,7 @@ def _group_scores(weights: dict[int, Weights], x: pa.Array, grp: pa.Array, finis
     for v in groups:
         pick = np.flatnonzero(has_x & (g == v))
         w, b = weights[v]
-        blocks.append((pick, finish(_matrix(x.take(pa.array(pick))) @ w.T + b)))
+        blocks.append((pick, finish(to_matrix(x.take(pa.array(pick))) @ w.T + b)))
         width[pick] = len(b)
     starts = np.concatenate([[0], np.cumsum(width)])
     flat = np.zeros(starts[-1])

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelway.config import PREDICTIONS_TYPE
-from labelway.operators.linear import MODEL_BYTES, _matrix, softmax
+from labelway.functions.vectors import softmax, to_matrix
+from labelway.operators.linear import MODEL_BYTES
 from labelway.sources.model_store import Head, HierModel
 
 
@@ -101,9 +102,9 @@ def hier_predict(
         for name, model in shared.value.items():
             pick = np.flatnonzero(has_x & (ids == code.get(name, -2)))
             if len(pick) == len(x) and len(x):
-                return _predict_rows(model, _matrix(x), want_c, want_s)
+                return _predict_rows(model, to_matrix(x), want_c, want_s)
             if len(pick):
-                found.append(_predict_rows(model, _matrix(x.take(pa.array(pick))), want_c[pick], want_s[pick]))
+                found.append(_predict_rows(model, to_matrix(x.take(pa.array(pick))), want_c[pick], want_s[pick]))
                 picks.append(pick)
         if not found:
             return pa.nulls(len(x), _predict_type())

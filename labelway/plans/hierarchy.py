@@ -211,7 +211,7 @@ def evaluate(data: TrainingSet, weights: dict[tuple[str, int], linear.Weights])
     return metrics.head_stats(hits, ["cat_idx"])
 
 
-def _weights_frame(spark, weights: dict[tuple[str, int], linear.Weights]) -> DataFrame:
+def weights_frame(spark, weights: dict[tuple[str, int], linear.Weights]) -> DataFrame:
     """Weights as rows; as many as there are classes."""
     grp, cls, flat, bias = [], [], [], []
     for (name, g), (w, b) in sorted(weights.items()):
@@ -249,7 +249,7 @@ def model_tables(
         model_id, "category", F.lit(0).alias("class_idx"), zero.alias("weights"), F.lit(0.0).alias("bias")
     )
     fitted = (
-        _weights_frame(spark, weights)
+        weights_frame(spark, weights)
         .join(names, "cat_idx", "left")
         .select(model_id, "category", "class_idx", "weights", "bias")
     )

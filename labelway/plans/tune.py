@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelway.config import HierConfig
+from labelway.functions.vectors import to_matrix
 from labelway.operators import linear
 from labelway.plans import hierarchy
 from labelway.sources.model_store import ModelTables
@@ -76,7 +77,7 @@ def trial_scores(held: DataFrame, label: str, weights: list[linear.Weights]) ->
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def best_per_model(x: pa.Array) -> pa.Array:
-        m = linear._matrix(x)
+        m = to_matrix(x)
         best = [np.argmax(m @ w.T + b, axis=1) for w, b in shared.value]
         flat = np.stack(best, axis=1).astype(np.int32)
         offsets = np.arange(0, flat.size + 1, len(shared.value), dtype=np.int32)

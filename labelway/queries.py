@@ -368,13 +368,13 @@ def q_softmax_gradient_step(spark, sf):
     rows = fixtures.vectors(spark, sf).select(linear.pack_vectors(F.col("x")).alias("x"), "label")
     k = rows.select("label").distinct().count()
     task = linear.LinearTask("one", "label", {0: k})
-    sums = linear._gradient_sums(rows, "x", [task], {(0, 0): np.zeros((k, 65))})
+    sums = linear.gradient_sums(rows, "x", [task], {(0, 0): np.zeros((k, 65))})
     grad = sums.select("class_idx", "n", F.posexplode("grad").alias("dim", "g")).where("dim < 64")
     return grad.select("class_idx", "dim", F.round(F.col("g") / F.col("n"), 9).alias("grad"))
 
 
 def _weights_long(spark, weights: dict) -> DataFrame:
-    frame = hierarchy._weights_frame(spark, weights)
+    frame = hierarchy.weights_frame(spark, weights)
     return frame.select(
         F.coalesce("cat_idx", F.lit(-1)).alias("model"),
         "class_idx",

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 SPLIT_BYTES = 128 << 20
+SMALL_BYTES = 1 << 30
 
 _local_dirs: dict[str, str] = {}
 
@@ -96,11 +97,11 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     """Spreads a small input with few splits over all cores.
 
     One file or one row group is one task. Only inputs below one scan split per
-    core are moved, so a large table is never shuffled by this.
+    core and below ``SMALL_BYTES`` are moved, so a large table never is.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if planned_bytes(df) < cores * SPLIT_BYTES:
+    if planned_bytes(df) < min(cores * SPLIT_BYTES, SMALL_BYTES):
         return df.repartition(cores, key)
     return df
 
