@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from labelway.llm import quality, toxicity
+from labelway.llm import neardup, packing, quality, toxicity
 
 QUERIES = {
+    "op2_packing": packing.q_packing,
     "op3_toxicity_crf": toxicity.q_toxicity_crf,
+    "op5_order_minhash": neardup.q_order_minhash,
     "op7_quality_rules": quality.q_quality_rules,
 }
 
