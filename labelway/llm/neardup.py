@@ -11,9 +11,10 @@ the band that the bound allows) are at least 0.8 of all k-mers of both:
 
 Texts with the same words are copies: they share a node (digest of the words)
 and are collapsed first. Each bucket compares its members with its least and its
-greatest node only. Members linked to neither go on to buckets of two common
-sketches, compared in rounds with more and more chosen nodes, until no bucket is
-left with two unmatched members. So pairs grow with members, not with their
+greatest node only. Texts that match neither somewhere are joined exactly: in the
+order of rarity any two similar ones share a k-mer in a short prefix. Buckets of
+those k-mers are compared in rounds with more and more chosen nodes, until none
+is left with unmatched members of two components. So pairs grow with members, not with their
 square, whatever the size of a group of copies, and there is no cap.
 
 Defined cases: null, empty and blank texts have the same (no) words and form one
@@ -26,7 +27,6 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -189,46 +189,62 @@ def sketches(docs: DataFrame, cfg: OrderMinHash) -> DataFrame:
     return found.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
 
 
-def bucket_pairs(rows: DataFrame, cfg: OrderMinHash, ends: int) -> DataFrame:
-    """Each member (bucket, node, n) of a bucket of two or more with up to ``ends``
-    nodes of the bucket: the least and the greatest one of each of ``ends / 2`` parts."""
+def bucket_members(rows: DataFrame, cfg: OrderMinHash, ends: int) -> DataFrame:
+    """Members (bucket, node, n, root) of buckets with two roots or more, each with the
+    nodes ``others`` to compare it with, and whether it is ``chosen`` itself.
+
+    A bucket chooses at most ``ends`` nodes: the least and the greatest one of each
+    of ``ends / 2`` parts of all nodes, so overlapping buckets choose the same ones.
+    """
     part = F.pmod(F.xxhash64("node", F.lit(ends)), F.lit(ends // 2))
+    whole = F.struct("node", "n", "root")
     chosen = (
         rows.groupBy("bucket", part.alias("part"))
-        .agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi"))
-        .groupBy("bucket")
-        .agg(F.array_distinct(F.flatten(F.collect_list(F.array("lo", "hi")))).alias("others"))
-        .filter(F.size("others") > 1)
-    )
-    return (
-        rows.join(chosen, "bucket")
-        .select(
-            "bucket", "node", "n", F.explode("others").alias("other"),
-            F.exists("others", lambda x: x["node"] == F.col("node")).alias("chosen"),
+        .agg(
+            F.min(whole).alias("lo"), F.max(whole).alias("hi"),
+            F.min("root").alias("first"), F.max("root").alias("last"),
         )
-        .filter("node != other.node")
-        .select(
-            "bucket",
-            "node",
-            "chosen",
-            F.least("node", "other.node").alias("a"),
-            F.greatest("node", "other.node").alias("b"),
-            (F.least("n", "other.n") >= cfg.similarity * F.greatest("n", "other.n")).alias("near"),
+        .groupBy("bucket")
+        .agg(
+            F.array_distinct(F.flatten(F.collect_list(F.array("lo", "hi")))).alias("all"),
+            F.min("first").alias("first"), F.max("last").alias("last"),
         )
+        .filter("first < last")
     )
+    size, least = F.col("n"), cfg.similarity
+    partners = F.filter(
+        "all",
+        lambda x: (x["root"] != F.col("root"))
+        & (F.least(size, x["n"]) >= least * F.greatest(size, x["n"])),
+    )
+    own = F.exists("all", lambda x: x["node"] == F.col("node"))
+    return rows.join(chosen.select("bucket", "all"), "bucket").select(
+        "bucket", "node", "n", "root", own.alias("chosen"), partners["node"].alias("others")
+    )
+
+
+CACHED_KMERS = 4_000_000
 
 
 def verified(pairs: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
-    """(a, b, similarity) of those pairs whose alignment reaches the bound."""
+    """(node, pivot, similarity) of those pairs whose alignment reaches the bound.
+
+    A pivot can stand in very many pairs, a member in few: texts of pivots come
+    first, so after the second join the pairs lie spread by member.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, np.ndarray] = {}
+        held = 0
 
         def grams(node: bytes, text: str | None) -> np.ndarray:
+            nonlocal held
             if node not in cache:
-                if len(cache) >= 64:
+                if held > CACHED_KMERS:
                     cache.clear()
+                    held = 0
                 cache[node] = kmers(text, cfg.words)
+                held += len(cache[node]) + 100
             return cache[node]
 
         for batch in batches:
@@ -237,57 +253,109 @@ def verified(pairs: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFrame
                 alignment(grams(x.as_py(), s.as_py()), grams(y.as_py(), t.as_py()), cfg.similarity)
                 for x, y, s, t in zip(a, b, text_a, text_b)
             ]
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(found, pa.float64())], ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(found, pa.float64())], ["node", "pivot", "similarity"])
+
+    pivots = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
+    full = pairs.join(pivots, "pivot").join(texts, "node").select("node", "pivot", "text", "pivot_text")
+    return full.mapInArrow(run, "node binary, pivot binary, similarity double").filter("similarity > 0")
+
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    full = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(run, "a binary, b binary, similarity double").filter("similarity > 0")
+def compared(pairs: DataFrame) -> DataFrame:
+    """Different pairs, each once whichever of the two was chosen."""
+    a, b = F.least("node", "pivot"), F.greatest("node", "pivot")
+    once = pairs.groupBy(a.alias("a"), b.alias("b")).agg(F.max(F.col("pivot") == a).alias("first"))
+    pivot = F.when(F.col("first"), F.col("a")).otherwise(F.col("b"))
+    node = F.when(F.col("first"), F.col("b")).otherwise(F.col("a"))
+    return once.select(node.alias("node"), pivot.alias("pivot"))
 
 
 def links(docs: DataFrame, cfg: OrderMinHash = OrderMinHash()) -> DataFrame:
-    """Verified links (a, b) between nodes."""
+    """Verified links (a, b) between nodes, enough of them to connect each class."""
     base = stage_table(sketches(docs, cfg), "sketches")
-    rows = base.select(F.explode("keys").alias("bucket"), "node", "n")
-    found: DataFrame | None = None
-    texts: DataFrame | None = None
+    rows = base.select(F.explode("keys").alias("bucket"), "node", "n", F.col("node").alias("root"))
+    members = stage_table(bucket_members(rows, cfg, 2), "members")
+    # one text of each node in a bucket, written once for all rounds
+    every = docs.select(node_of(F.col("text")).alias("node"), F.col("text").alias("text"))
+    one = every.groupBy("node").agg(F.first("text").alias("text"))
+    texts = stage_table(one.join(members.select("node").distinct(), "node", "left_semi"), "texts")
+    pairs = members.select("bucket", "node", "chosen", F.explode("others").alias("pivot"))
+    found = _linked(pairs, texts, cfg)
+    roots = components(found)
+    # texts that match none of the chosen ones in some bucket are joined exactly
+    matched = pairs.select("*", *_ordered()).join(found, ["a", "b"], "left_semi").select("bucket", "node").distinct()
+    rest = members.filter("not chosen").join(matched, ["bucket", "node"], "left_anti").select("node").distinct()
+    rows = stage_table(prefixes(texts.join(rest, "node", "left_semi"), cfg), "prefixes")
+    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ends = 2
-    for number in count():
-        pairs = stage_table(bucket_pairs(rows, cfg, ends), "pairs")
-        todo = pairs.filter("near").select("a", "b").distinct()
-        if found is None:
-            # one text of each node in a pair, written once for all rounds
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            every = docs.select(node_of(F.col("text")).alias("node"), F.col("text").alias("text"))
-            one = every.groupBy("node").agg(F.first("text").alias("text"))
-            texts = stage_table(one.join(wanted, "node", "left_semi"), "texts")
-            found = stage_table(verified(todo, texts, cfg), "links").select("a", "b")
-        else:
-            new = verified(todo.join(found, ["a", "b"], "left_anti"), texts, cfg).select("a", "b")
-            found = found.unionAll(stage_table(new, "links"))
-        # members of a bucket that match none of its chosen nodes, those left out
-        alone = (
-            pairs.filter("not chosen")
-            .join(found.distinct().withColumn("linked", F.lit(1)), ["a", "b"], "left")
-            .groupBy("bucket", "node")
-            .agg(F.max("linked").alias("linked"))
-            .filter("linked is null")
-        )
-        if number:
-            rows = alone.join(base, "node").select("bucket", "node", "n")
-            ends *= 4
-        else:  # from now on a bucket holds texts with two common sketches
-            key = F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second"))
-            rows = (
-                alone.join(base, "node")
-                .select("bucket", "node", "n", F.explode("keys").alias("second"))
-                .filter("bucket != second")
-                .select(key.alias("bucket"), "node", "n")
-                .distinct()
+    while not rows.isEmpty():
+        members = bucket_members(rows, cfg, ends)
+        each = members.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+        new = _linked(each.select("node", F.explode("others").alias("pivot")), texts, cfg)
+        found = found.unionAll(new)
+        done = new.select("a").unionAll(new.select("b")).toDF("node").distinct()
+        left = members.filter("not chosen").join(done, "node", "left_anti")
+        rows = stage_table(left.select("bucket", "node", "n", "root"), "rest")
+        ends *= 4
+    return found
+
+
+def _ordered() -> list[Column]:
+    return [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
+    return stage_table(verified(compared(pairs), texts, cfg).select(*_ordered()), "links")
+
+
+def prefixes(texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
+    """(bucket, node, n): the rarest k-mers of each text, as many as any partner must share one of.
+
+    Texts of similarity ``s`` have at least ``s * n`` common k-mers, so in one
+    order of all k-mers two such texts meet within their first ``n - s * n + 1``.
+    With rare k-mers first, passages and phrases of many texts cause no buckets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [kmers(t.as_py(), cfg.words).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["node", "grams"]
             )
-        rows = stage_table(rows, "rest")
-        if rows.isEmpty():
-            return found
+
+    grams = texts.select("node", "text").mapInArrow(run, "node binary, grams array<long>")
+    each = stage_table(
+        grams.select("node", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram")), "grams"
+    )
+    common = each.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    # k-mers of one text come first and make no bucket: they only use up the prefix
+    ranked = (
+        each.join(common, "gram")
+        .groupBy("node", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("texts", "gram"))).alias("shared"))
+    )
+    taken = F.col("n") - F.ceil(F.lit(cfg.similarity) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+    prefix = F.slice(F.col("shared")["gram"], 1, F.greatest(taken, F.lit(0)).cast("int"))
+    return ranked.select(F.explode(prefix).alias("bucket"), "node", "n")
+
+
+def _round(pairs: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
+    new = verified(compared(pairs.filter("near")), texts, cfg)
+    return stage_table(
+        new.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "links"
+    )
+
+
+def _unmatched(pairs: DataFrame, new: DataFrame) -> DataFrame:
+    """Members linked to none of the chosen nodes of their bucket, the chosen left out."""
+    return (
+        pairs.filter("not chosen")
+        .select("*", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        .join(new.withColumn("linked", F.lit(1)), ["a", "b"], "left")
+        .groupBy("bucket", "node", "n", "root")
+        .agg(F.max("linked").alias("linked"))
+        .filter("linked is null")
+        .drop("linked")
+    )
 
 
 def classes(docs: DataFrame, cfg: OrderMinHash = OrderMinHash()) -> DataFrame:
