@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from labelway.llm import neardup, packing, quality, toxicity
+from labelway.llm import langid, neardup, packing, quality, toxicity, winnow
 
 QUERIES = {
     "op2_packing": packing.q_packing,
     "op3_toxicity_crf": toxicity.q_toxicity_crf,
     "op5_order_minhash": neardup.q_order_minhash,
     "op7_quality_rules": quality.q_quality_rules,
+    "op9_winnowing": winnow.q_winnowing,
+    "op10_language_id": langid.q_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
