@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from labelway.llm import langid, neardup, packing, quality, toxicity, winnow
+from labelway.llm import (
+    attribution,
+    html,
+    langid,
+    neardup,
+    packing,
+    quality,
+    pieces,
+    toxicity,
+    warc,
+    winnow,
+)
 
 QUERIES = {
+    "op1_sentencepiece": pieces.q_sentencepiece,
     "op2_packing": packing.q_packing,
     "op3_toxicity_crf": toxicity.q_toxicity_crf,
+    "op4_html_text": html.q_html_text,
     "op5_order_minhash": neardup.q_order_minhash,
+    "op6_token_attribution": attribution.q_token_attribution,
     "op7_quality_rules": quality.q_quality_rules,
+    "op8_warc": warc.q_warc,
     "op9_winnowing": winnow.q_winnowing,
     "op10_language_id": langid.q_language_id,
 }
