@@ -6,14 +6,14 @@ toxic than clean training documents. A two-state CRF over sentences is trained
 on these labelled tokens: emissions are weights of the lower-case word, its
 prefixes and its suffix, transitions are free. Every text is then tagged
 as a whole: forward-backward gives each token's toxic marginal; the document's
-score is a logistic function of the log of their sum, and runs of tokens with a
-marginal of at least one half are the offending spans (code point offsets).
+score is a logistic function of the log odds of the largest, and runs of tokens
+with a marginal of at least one half are the offending spans (code point offsets).
 
 Training rows are a sample whose bounds are parameters; the model is a table of
 weights bounded by ``max_features`` and broadcast. Scoring reads every row.
 
 Defined cases: null, empty and wordless texts have no token and get the score of
-zero toxic mass. If one of the two labels has no training row, nothing can be
+a least marginal. If one of the two labels has no training row, nothing can be
 learned and every score is 0. Repeated labels of one document: the largest
 counts. Repeated rows are scored each.
 """
@@ -194,10 +194,8 @@ def fit(rows: Iterable[tuple[str, int]], cfg: ToxicityConfig = ToxicityConfig())
         hard = np.argsort(-found, kind="stable")[: 2 * len(toxic) + 1_000]
         chosen.update(int(i) for i in hard if found[i] > 0.01)
     train(model, toxic + [plain[i] for i in sorted(chosen)], cfg)
-    found = [own.sum() for own in token_marginals(model, [d[:2] for d in docs])]
-    model.slope, model.shift = calibrate(
-        np.log(np.array(found) + FLOOR), np.array([d[2] for d in docs], float)
-    )
+    found = [evidence(own) for own in token_marginals(model, [d[:2] for d in docs])]
+    model.slope, model.shift = calibrate(np.array(found), np.array([d[2] for d in docs], float))
     return model
 
 
@@ -267,11 +265,17 @@ def token_marginals(model: Crf, docs: list[tuple[list[str], list[int]]]) -> list
     return np.split(sigmoid(forward + backward), np.cumsum([len(d[0]) for d in docs])[:-1])
 
 
+def evidence(marginal: np.ndarray) -> float:
+    """Log odds of the most toxic token: a long clean text gathers no evidence by its length."""
+    top = np.clip(marginal.max() if len(marginal) else 0.0, FLOOR, 1 - FLOOR)
+    return float(np.log(top / (1 - top)))
+
+
 def tag(model: Crf, texts: list[str | None]) -> Iterator[tuple[float, list[dict]]]:
     """Score and offending spans of each text."""
     docs = [sentences(TOKENS.findall(t or "")) for t in texts]
     for text, own in zip(texts, token_marginals(model, docs)):
-        logit = model.slope * np.log(own.sum() + FLOOR) + model.shift
+        logit = model.slope * evidence(own) + model.shift
         yield float(sigmoid(logit)), spans(text or "", own)
 
 
