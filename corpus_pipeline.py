@@ -19,7 +19,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ship_package(spark)
     cfg = quality.QualityConfig()
     weights = quality.ngram_weights(docs, table(spark, sf_dir, "labels"), cfg)
-    return quality.score(docs, weights, cfg).filter("kept").select("row.*")
+    return quality.score(docs, weights, cfg).filter("quality.kept").select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def repeat_words(hashes: Column) -> Column:
     return F.when(F.size(hashes) < WINDOW, F.lit(0).cast("long")).otherwise(let(windows, covered))
 
 
-def base_columns(text: Column, hashes: Column, cfg: QualityConfig) -> list[Column]:
+def base_columns(text: Column, hashes: Column) -> list[Column]:
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     n_words = F.size(hashes).cast("long")
@@ -151,34 +151,38 @@ def ngram_weights(docs: DataFrame, labels: DataFrame, cfg: QualityConfig) -> str
 
 
 def score(docs: DataFrame, weights: str, cfg: QualityConfig = QualityConfig()) -> DataFrame:
-    """``row`` (the input row), the base columns, ``llr`` and ``kept``."""
+    """``row`` (the input row) and ``quality``: the base columns, ``llr``, ``base_failed``, ``kept``."""
     log_ratio = F.split(F.lit(weights), ",").cast("array<double>")  # folded once by the optimizer
-    hashed = packed(docs, F.col("text").alias("text"), word_hashes(F.col("text")).alias("h"))
-    counted = hashed.select(
-        "row",
-        *base_columns(F.col("text"), F.col("h"), cfg),
-        let(
-            ngram_buckets(F.col("h"), cfg.buckets),
+
+    def verdict(q: Column) -> Column:
+        failed = (q["n_words"] < cfg.min_words) | (
+            100 * q["n_repeat_words"] > cfg.repeat_percent * q["n_words"]
+        )
+        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"]
+        return F.struct(
+            *[q[n].alias(n) for n in names],
+            failed.alias("base_failed"),
+            (~failed & (q["llr"] >= cfg.threshold)).alias("kept"),
+        )
+
+    def measured(h: Column) -> Column:
+        llr = let(
+            ngram_buckets(h, cfg.buckets),
             lambda b: F.aggregate(
                 b,
                 F.lit(0.0),
                 lambda acc, x: acc + F.get(log_ratio, x),
                 lambda acc: acc / F.greatest(F.size(b), F.lit(1)),
             ),
-        ).alias("llr"),
-    )
-    failed = (F.col("n_words") < cfg.min_words) | (
-        100 * F.col("n_repeat_words") > cfg.repeat_percent * F.col("n_words")
-    )
-    return counted.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("llr") >= cfg.threshold)
-    )
+        )
+        return let(F.struct(*base_columns(F.col("text"), h), llr.alias("llr")), verdict)
+
+    # one expression per row, bound step by step: a filter on it never repeats its parts
+    return packed(docs, let(word_hashes(F.col("text")), measured).alias("quality"))
 
 
 def q_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     cfg = QualityConfig()
-    return score(docs.select("doc_id", "text"), ngram_weights(docs, labels, cfg), cfg).select(
-        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "llr", "kept",
-    )
+    found = score(docs.select("doc_id", "text"), ngram_weights(docs, labels, cfg), cfg)
+    return found.select("row.doc_id", "quality.*")
