@@ -216,7 +216,8 @@ def read_archives(paths: DataFrame, folder: str, cfg: WarcConfig = WarcConfig(),
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, FIELDS)
 
-    return paths.select("path").repartition("path").mapInArrow(
+    # paths are few bytes but much work: a given number of partitions is not coalesced
+    return paths.select("path").repartition(max(1, paths.count()), "path").mapInArrow(
         run,
         "record_id string, record_type string, refers_to string, uri string, payload_digest string, "
         "chunk long, data binary, bytes_so_far long, digest_so_far string, last boolean",
