@@ -338,26 +338,6 @@ def prefixes(texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
     return ranked.select(F.explode(prefix).alias("bucket"), "node", "n")
 
 
-def _round(pairs: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
-    new = verified(compared(pairs.filter("near")), texts, cfg)
-    return stage_table(
-        new.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "links"
-    )
-
-
-def _unmatched(pairs: DataFrame, new: DataFrame) -> DataFrame:
-    """Members linked to none of the chosen nodes of their bucket, the chosen left out."""
-    return (
-        pairs.filter("not chosen")
-        .select("*", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        .join(new.withColumn("linked", F.lit(1)), ["a", "b"], "left")
-        .groupBy("bucket", "node", "n", "root")
-        .agg(F.max("linked").alias("linked"))
-        .filter("linked is null")
-        .drop("linked")
-    )
-
-
 def classes(docs: DataFrame, cfg: OrderMinHash = OrderMinHash()) -> DataFrame:
     """(node, class_id, class_size, copies, first_id): class of each different text.
 
