@@ -17,12 +17,13 @@ learned from. Repeated rows count as often as they occur.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelway.llm.common import crc_mod, packed, table
@@ -84,8 +85,32 @@ class LanguageModel:
         return self.languages[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
 
-def letters(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
+HELD_WORDS = 300_000
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, lang, n) of all rows of (lang, text). Each task adds up what it reads, and
+    passes its sums on whenever it holds more than ``HELD_WORDS`` of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: defaultdict[str, Counter[str]] = defaultdict(Counter)
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for lang, own in held.items():
+                columns = [pa.array(list(own)), pa.array([lang] * len(own)), pa.array(list(own.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "lang", "n"])
+            held.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if words := WORD.findall(text.as_py().lower()):
+                    held[lang].update(words)
+            if sum(map(len, held.values())) > HELD_WORDS:
+                yield from sums()
+        yield from sums()
+
+    found = rows.select("lang", "text").mapInArrow(run, "word string, lang string, n long")
+    return found.groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
 
 def per_language(counts: DataFrame, key: str, limit: int, least: int) -> list:
@@ -103,11 +128,11 @@ def per_language(counts: DataFrame, key: str, limit: int, least: int) -> list:
 def learn(train: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> LanguageModel:
     """Model of the rows of ``train`` (text, lang)."""
     rows = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    words = rows.select("lang", F.explode(letters(F.col("text"))).alias("word"))
-    counts = stage_table(words.groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n")), "words")
+    counts = stage_table(word_counts(rows), "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(cfg.languages)
     totals = {r["lang"]: r["n"] for r in totals.collect()}
     languages = sorted(totals)
+    counts = counts.filter(F.col("lang").isin(languages))
     # n-grams of word types, each as often as it has languages: rare words are what backoff is for
     padded = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
     each = [

@@ -21,9 +21,9 @@ counts. Repeated rows are scored each.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,9 @@ from labelway.llm.common import crc_mod, packed, table
 
 TOKENS = re.compile(r"[^\W_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
+WORDS = re.compile(r"[^\W_]+")
+SENTENCE_END = re.compile(r"[.!?\n]")
+WIDTH = 6  # features of a word, at most
 FLOOR = 1e-6
 
 
@@ -78,19 +81,32 @@ def features(word: str) -> list[str]:
     return [f"w{word}", *[f"p{word[:n]}" for n in range(3, min(6, len(word)) + 1)], f"s{word[-3:]}"]
 
 
-def sentences(tokens: list[str]) -> tuple[list[str], list[int]]:
-    """Words, and the index of the sentence of each."""
-    words, chain, k = [], [], 0
-    for t in tokens:
-        if t in ENDS:
-            k += 1
-        else:
-            words.append(t)
-            chain.append(k)
-    return words, chain
+def sentences(text: str) -> tuple[list[str], list[int]]:
+    """Words, and how many of them each sentence has."""
+    parts = list(map(WORDS.findall, SENTENCE_END.split(text)))
+    return list(chain.from_iterable(parts)), list(map(len, parts))
 
 
-def messages(emission: np.ndarray, chain: np.ndarray, start: float, trans) -> tuple[np.ndarray, np.ndarray]:
+class Lexicon:
+    """Different words by number, each with the numbers of its features (-1: none)."""
+
+    def __init__(self, words: list[str]):
+        own = [features(w) for w in words]
+        self.names = sorted({f for x in own for f in x})
+        number = {f: i for i, f in enumerate(self.names)}
+        self.table = np.full((len(words), WIDTH), -1)
+        for row, x in zip(self.table, own):
+            row[: len(x)] = [number[f] for f in x]
+
+    def emissions(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        return bias + np.append(weights, 0.0)[self.table].sum(1)
+
+    def totals(self, by_word: np.ndarray) -> np.ndarray:
+        """Sums over the words that have each feature."""
+        return np.bincount(self.table.ravel() + 1, np.repeat(by_word, WIDTH), len(self.names) + 1)[1:]
+
+
+def messages(emission: np.ndarray, sentence: np.ndarray, start: float, trans) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward messages as log odds (toxic over clean) of each token.
 
     Tokens of a chain are adjacent and in order. All chains advance together:
@@ -101,7 +117,7 @@ def messages(emission: np.ndarray, chain: np.ndarray, start: float, trans) -> tu
     forward, backward = np.zeros(n), np.zeros(n)
     if not n:
         return forward, backward
-    first = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]])
+    first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
     length = np.diff(np.r_[first, n])
     order = np.argsort(-length, kind="stable")
     first, length = first[order], length[order]
@@ -134,24 +150,18 @@ def edge_counts(emission, forward, backward, trans, inner) -> np.ndarray:
     return (q / q.sum(0)).sum(1)
 
 
-def label_tokens(docs: list[tuple[list[str], list[int], int]], cfg: ToxicityConfig) -> set[str]:
-    """Words and prefixes (as features) that mark toxic documents."""
-    toxic, clean = Counter(), Counter()
-    n_toxic = n_clean = 0
-    for words, _, label in docs:
-        seen = {f for w in set(map(str.lower, words)) for f in features(w) if f[0] == "w" or f[0] == "p" and len(f) > 4}
-        if label:
-            toxic.update(seen)
-            n_toxic += 1
-        else:
-            clean.update(seen)
-            n_clean += 1
+def marking_words(docs: list[tuple[np.ndarray, int]], lexicon: Lexicon, cfg: ToxicityConfig) -> np.ndarray:
+    """Words that are, or begin with, a feature that marks toxic documents."""
+    seen = np.zeros((2, len(lexicon.names) + 1))
+    for words, label in docs:
+        seen[label, np.unique(lexicon.table[np.unique(words)])] += 1
+    clean, toxic = seen[:, :-1]
+    n_toxic = sum(label for _, label in docs)
+    n_clean = len(docs) - n_toxic
+    long = np.array([f[0] == "w" or f[0] == "p" and len(f) > 4 for f in lexicon.names], bool)
     least = max(4, round(0.015 * n_toxic))
-    return {
-        f
-        for f, n in toxic.items()
-        if n >= least and n / n_toxic >= cfg.min_ratio * (clean[f] + 0.5) / max(n_clean, 1)
-    }
+    marks = long & (toxic >= least) & (toxic / n_toxic >= cfg.min_ratio * (clean + 0.5) / max(n_clean, 1))
+    return np.append(marks, False)[lexicon.table].any(1)
 
 
 def distinct_texts(rows: Iterable[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -170,72 +180,72 @@ def fit(rows: Iterable[tuple[str, int]], cfg: ToxicityConfig = ToxicityConfig())
     All sentences with a toxic token count, and a sample of the others. After
     each training the other sentences that the model finds most toxic join it.
     """
-    docs = [(*sentences(TOKENS.findall(t)), y) for t, y in distinct_texts(rows)]
+    number: dict[str, int] = {}
+    docs, sizes = [], []
+    for text, label in distinct_texts(rows):
+        words, own = sentences(text)
+        docs.append((np.array([number.setdefault(w, len(number)) for w in map(str.lower, words)], int), int(label)))
+        sizes += own
     model = Crf()
-    if len({y for *_, y in docs}) < 2:
+    labels = np.array([y for _, y in docs])
+    if len(set(labels.tolist())) < 2 or not number:
         return model
-    marks = label_tokens(docs, cfg)
-    toxic: list[tuple[list[str], list[int]]] = []
-    plain: list[tuple[list[str], list[int]]] = []
-    for words, chain, label in docs:
-        parts = defaultdict(list)
-        for w, k in zip(words, chain):
-            parts[k].append(w.lower())
-        for part in parts.values():
-            y = [int(bool(label) and not marks.isdisjoint(features(w))) for w in part]
-            (toxic if any(y) else plain).append((part, y))
-    if not toxic:
+    lexicon = Lexicon(list(number))
+    ends = np.cumsum([len(w) for w, _ in docs])
+    word = np.concatenate([w for w, _ in docs])
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    y = marking_words(docs, lexicon, cfg)[word] & np.repeat(labels == 1, np.diff(ends, prepend=0))
+    toxic = np.bincount(sentence, y, len(sizes)) > 0
+    plain = np.flatnonzero(~toxic & (np.array(sizes) > 0))
+    if not toxic.any():
         return model
     rng = np.random.default_rng(cfg.seed)
-    chosen = set(rng.permutation(len(plain))[: 4 * len(toxic) + 2_000].tolist())
+    chosen = toxic.copy()
+    chosen[plain[rng.permutation(len(plain))[: 4 * toxic.sum() + 2_000]]] = True
+
+    def learned() -> np.ndarray:
+        use = chosen[sentence]
+        weights = train(model, lexicon, word[use], sentence[use], y[use], cfg)
+        e = lexicon.emissions(weights, model.bias)[word]
+        return sigmoid(np.add(*messages(e, sentence, model.start, model.trans)))
+
     for _ in range(cfg.rounds):
-        train(model, toxic + [plain[i] for i in sorted(chosen)], cfg)
-        found = sentence_mass(model, [part for part, _ in plain])
-        hard = np.argsort(-found, kind="stable")[: 2 * len(toxic) + 1_000]
-        chosen.update(int(i) for i in hard if found[i] > 0.01)
-    train(model, toxic + [plain[i] for i in sorted(chosen)], cfg)
-    found = [evidence(own) for own in token_marginals(model, [d[:2] for d in docs])]
-    model.slope, model.shift = calibrate(np.array(found), np.array([d[2] for d in docs], float))
+        mass = np.bincount(sentence, learned(), len(sizes))[plain]
+        hard = np.argsort(-mass, kind="stable")[: 2 * toxic.sum() + 1_000]
+        chosen[plain[hard[mass[hard] > 0.01]]] = True
+    found = [evidence(own) for own in np.split(learned(), ends[:-1])]
+    model.slope, model.shift = calibrate(np.array(found), labels.astype(float))
     return model
 
 
-def train(model: Crf, chains: list[tuple[list[str], list[int]]], cfg: ToxicityConfig) -> None:
-    """Full-batch Adam on the negative log likelihood of labelled chains."""
-    words = [w for part, _ in chains for w in part]
-    y = np.array([v for _, part in chains for v in part])
-    chain = np.repeat(np.arange(len(chains)), [len(p) for p, _ in chains])
-    counts = Counter(f for w in words for f in features(w))
-    best = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: cfg.max_features]
-    index = {f: i for i, (f, _) in enumerate(best)}
-    pairs = [(i, index[f]) for i, w in enumerate(words) for f in features(w) if f in index]
-    token, column = np.array(pairs).T
-    first = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]])
-    inner = np.flatnonzero(chain[1:] == chain[:-1]) + 1
-    size = len(index) + 6  # feature weights, bias, start, four transitions
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+def train(model: Crf, lexicon: Lexicon, word: np.ndarray, sentence: np.ndarray, y: np.ndarray, cfg: ToxicityConfig) -> np.ndarray:
+    """Full-batch Adam on the negative log likelihood of labelled sentences; returns the feature weights."""
+    n = len(lexicon.names)
+    counts = lexicon.totals(np.bincount(word, minlength=len(lexicon.table)))
+    used = np.ones(n + 6)  # then bias, start, four transitions
+    used[np.argsort(-counts, kind="stable")[cfg.max_features :]] = 0
+    first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+    inner = np.flatnonzero(sentence[1:] == sentence[:-1]) + 1
+    w, m, v = np.zeros(n + 6), np.zeros(n + 6), np.zeros(n + 6)
     w[-6] = -2.0
     real = np.bincount(2 * y[inner - 1] + y[inner], minlength=4)
     for step in range(1, cfg.steps + 1):
         trans = ((w[-4], w[-3]), (w[-2], w[-1]))
-        e = w[-6] + np.bincount(token, w[column], len(words))
-        forward, backward = messages(e, chain, w[-5], trans)
+        e = lexicon.emissions(w[:n], w[-6])[word]
+        forward, backward = messages(e, sentence, w[-5], trans)
         off = sigmoid(forward + backward) - y
-        g = np.empty(size)
-        g[: len(index)] = np.bincount(column, off[token], len(index))
+        g = np.empty(n + 6)
+        g[:n] = lexicon.totals(np.bincount(word, off, len(lexicon.table)))
         g[-6], g[-5] = off.sum(), off[first].sum()
         g[-4:] = edge_counts(e, forward, backward, trans, inner) - real
-        g += cfg.decay * w
+        g = (g + cfg.decay * w) * used
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= cfg.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    model.weights = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}
+    model.weights = {lexicon.names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w[:n]) > 1e-3)}
     model.bias, model.start = float(w[-6]), float(w[-5])
     model.trans = ((float(w[-4]), float(w[-3])), (float(w[-2]), float(w[-1])))
     model.cache = {}
-
-
-def sentence_mass(model: Crf, parts: list[list[str]]) -> np.ndarray:
-    """Expected number of toxic tokens of each sentence."""
-    return np.array([p.sum() for p in token_marginals(model, [(w, [0] * len(w)) for w in parts])])
+    return np.where(np.abs(w[:n]) > 1e-3, w[:n], 0.0)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -250,19 +260,15 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def token_marginals(model: Crf, docs: list[tuple[list[str], list[int]]]) -> list[np.ndarray]:
-    """For each document (words, sentence of each word) its tokens' toxic marginals."""
-    cache, emission = model.cache, model.emission
-    values, chain, base = [], [], 0
-    for words, ks in docs:
-        for w in words:
-            x = cache.get(w)
-            values.append(emission(w) if x is None else x)
-        if ks:
-            chain.append(np.array(ks) + base)
-            base += ks[-1] + 1
-    chain = np.concatenate(chain) if chain else np.zeros(0, int)
-    forward, backward = messages(np.array(values, float), chain, model.start, model.trans)
-    return np.split(sigmoid(forward + backward), np.cumsum([len(d[0]) for d in docs])[:-1])
+    """For each document (words, words of each sentence) its tokens' toxic marginals."""
+    words = list(chain.from_iterable(d[0] for d in docs))
+    values = list(map(model.cache.get, words))
+    if None in values:
+        values = [model.emission(w) if x is None else x for w, x in zip(words, values)]
+    sizes = list(chain.from_iterable(d[1] for d in docs))
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    found = sigmoid(np.add(*messages(np.array(values, float), sentence, model.start, model.trans)))
+    return np.split(found, np.cumsum([len(d[0]) for d in docs])[:-1])
 
 
 def evidence(marginal: np.ndarray) -> float:
@@ -273,7 +279,7 @@ def evidence(marginal: np.ndarray) -> float:
 
 def tag(model: Crf, texts: list[str | None]) -> Iterator[tuple[float, list[dict]]]:
     """Score and offending spans of each text."""
-    docs = [sentences(TOKENS.findall(t or "")) for t in texts]
+    docs = [sentences(t or "") for t in texts]
     for text, own in zip(texts, token_marginals(model, docs)):
         logit = model.slope * evidence(own) + model.shift
         yield float(sigmoid(logit)), spans(text or "", own)
