@@ -51,40 +51,56 @@ class LanguageModel:
     gram_scores: np.ndarray
     longest: int
 
-    def __post_init__(self):
-        self.unseen: dict[str, np.ndarray] = {}
-
-    def backoff(self, word: str) -> np.ndarray:
-        """Mean over positions of the longest known n-gram's scores."""
-        found = self.unseen.get(word)
-        if found is None:
-            padded, rows = f"<{word}>", []
-            for i in range(len(padded) - 1):
-                for n in range(self.longest, 0, -1):
-                    k = self.grams.get(padded[i : i + n])
-                    if k is not None:
-                        rows.append(k)
-                        break
-            found = self.gram_scores[rows].mean(0) if rows else np.zeros(len(self.languages))
-            if len(self.unseen) > 200_000:
-                self.unseen.clear()
-            self.unseen[word] = found
-        return found
+    def backoff(self, words: list[str]) -> np.ndarray:
+        """For each word the mean, over its positions, of the longest known n-gram's scores."""
+        get, parts = self.grams.get, [np.zeros((0, len(self.languages)))]
+        for at in range(0, len(words), PART // 10):
+            rows, starts = [], []
+            for word in words[at : at + PART // 10]:
+                padded = f"<{word}>"
+                keys = [padded[i : i + self.longest] for i in range(len(padded) - 1)]
+                found = list(map(get, keys))
+                if None in found:
+                    found = [self.shorter(key) if k is None else k for key, k in zip(keys, found)]
+                    found = [k for k in found if k is not None] or [len(self.grams)]  # a row of zeros
+                starts.append(len(rows))
+                rows += found
+            sizes = np.diff([*starts, len(rows)])[:, None]
+            parts.append(np.add.reduceat(self.gram_scores[rows], starts) / sizes)
+        return np.concatenate(parts)
+
+    def shorter(self, key: str) -> int | None:
+        return next((k for n in range(len(key) - 1, 0, -1) if (k := self.grams.get(key[:n])) is not None), None)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
-        if not self.languages or not any(c.isalpha() for w in words for c in w):
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        known, unseen, indices = len(self.words), {}, []
+        for text in texts:
+            words = WORD.findall((text or "").lower())
+            index = list(map(self.words.get, words))
+            if None in index:
+                index = [unseen.setdefault(w, known + len(unseen)) if k is None else k for w, k in zip(words, index)]
+            indices.append(np.array(index if any(c.isalpha() for w in words for c in w) else [], int))
+        extra = self.backoff(list(unseen)) if self.languages else None
+        return [self.decide(x[x < known], x[x >= known] - known, extra) for x in indices]
+
+    def decide(self, known: np.ndarray, unseen: np.ndarray, extra: np.ndarray) -> tuple[str, float]:
+        if not self.languages or not len(known) + len(unseen):
             return UNKNOWN, 0.0
-        index = list(map(self.words.get, words))
-        if None in index:
-            extra = [self.backoff(w) for w, k in zip(words, index) if k is None]
-            total = np.sum(extra, axis=0) + self.word_scores[[k for k in index if k is not None]].sum(0)
-        else:
-            total = self.word_scores[index].sum(0)
+        total = summed(self.word_scores, known) + summed(extra, unseen)
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
 
+def summed(scores: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of those rows, some thousands at a time."""
+    return sum((scores[rows[at : at + PART]].sum(0) for at in range(0, len(rows), PART)), np.zeros(scores.shape[1]))
+
+
+PART = 20_000
+SLICE = 100
 HELD_WORDS = 300_000
 
 
@@ -154,7 +170,7 @@ def learn(train: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> LanguageM
         {r["word"]: i for i, r in enumerate(kept_words)},
         scores(kept_words),
         {r["gram"]: i for i, r in enumerate(kept_grams)},
-        scores(kept_grams),
+        np.vstack([scores(kept_grams), np.zeros(len(languages))]),
         cfg.longest,
     )
 
@@ -165,16 +181,18 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            found = [own.predict(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([x for x, _ in found], pa.string()),
-                    pa.array([s for _, s in found], pa.float64()),
-                ],
-                ["row", "lang_pred", "score"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                found = own.predict_all(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array([x for x, _ in found], pa.string()),
+                        pa.array([s for _, s in found], pa.float64()),
+                    ],
+                    ["row", "lang_pred", "score"],
+                )
 
     source = packed(docs, F.col(text_col).alias("text"))
     kind = source.schema["row"].dataType.simpleString()
