@@ -129,16 +129,25 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
 
-def per_language(counts: DataFrame, key: str, limit: int, least: int) -> list:
-    """The most frequent keys with their counts by language: a sorted limit, cut on the map side."""
-    return (
-        counts.groupBy(key)
-        .agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        .filter(F.col("total") >= least)
-        .orderBy(F.desc("total"), key)
-        .limit(limit)
-        .collect()
+def per_language(counts: DataFrame, key: str, limit: int, least: int) -> tuple[list[str], pa.Array]:
+    """The most frequent keys, at most ``limit``, with their counts by language as maps.
+
+    The cut is a total, found in the histogram of totals, so only kept keys reach
+    the driver; keys of the total at which the limit would be passed stay out.
+    """
+    by = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
+    sums = stage_table(
+        counts.groupBy(key).agg(F.sum("n").alias("total"), by.alias("by")).filter(F.col("total") >= least), "sums"
     )
+    histogram = sums.groupBy("total").agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("total")).limit(limit)
+    cut, room = None, limit
+    for row in histogram.collect():
+        room -= row["keys"]
+        if room < 0:
+            break
+        cut = row["total"]
+    kept = sums.filter(F.col("total") >= F.lit(cut)).select(key, "by").orderBy(key).toArrow()
+    return kept.column(key).to_pylist(), kept.column("by").combine_chunks()
 
 
 def learn(train: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> LanguageModel:
@@ -157,20 +166,23 @@ def learn(train: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> LanguageM
     ]
     grams = counts.select("lang", F.explode(F.concat(*each)).alias("gram"))
     grams = grams.groupBy("gram", "lang").agg(F.count(F.lit(1)).alias("n"))
-    kept_words = per_language(counts, "word", cfg.known_words, 2)
-    kept_grams = per_language(grams, "gram", cfg.known_grams, 1)
+    words, words_by = per_language(counts, "word", cfg.known_words, 2)
+    known_grams, grams_by = per_language(grams, "gram", cfg.known_grams, 1)
 
-    def scores(kept: list) -> np.ndarray:
-        out = np.array([[r["by"].get(x, 0) for x in languages] for r in kept], float)
-        out = out.reshape(len(kept), len(languages)) + cfg.smoothing
+    number = {x: i for i, x in enumerate(languages)}
+
+    def scores(by: pa.Array) -> np.ndarray:
+        out = np.full((len(by), len(languages)), cfg.smoothing)
+        rows = np.repeat(np.arange(len(by)), np.diff(by.offsets.to_numpy()))
+        out[rows, [number[x] for x in by.keys.to_pylist()]] += by.items.to_numpy()
         return np.log(out / np.maximum(out.sum(0), 1.0))
 
     return LanguageModel(
         languages,
-        {r["word"]: i for i, r in enumerate(kept_words)},
-        scores(kept_words),
-        {r["gram"]: i for i, r in enumerate(kept_grams)},
-        np.vstack([scores(kept_grams), np.zeros(len(languages))]),
+        {w: i for i, w in enumerate(words)},
+        scores(words_by),
+        {g: i for i, g in enumerate(known_grams)},
+        np.vstack([scores(grams_by), np.zeros(len(languages))]),
         cfg.longest,
     )
 
