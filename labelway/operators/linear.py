@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.core.broadcast import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -74,17 +75,24 @@ class _Fit:
 def _pack(x: pa.Array) -> pa.Array:
     if len(x) == 0:
         return pa.array([], pa.binary())
-    flat = np.ascontiguousarray(x.flatten().to_numpy(zero_copy_only=False), dtype="<f4")
-    width = flat.nbytes // len(x)
-    offsets = np.arange(0, flat.nbytes + 1, width, dtype=np.int32)
+    valid = np.asarray(x.is_valid())
+    lengths = np.asarray(x.value_lengths().fill_null(0), np.int64)
+    values = x.flatten()  # without the null vectors
+    if values.null_count or len(np.unique(lengths[valid])) > 1:
+        raise ValueError("vectors must have one length and no null entries")
+    flat = np.ascontiguousarray(values.to_numpy(zero_copy_only=False), dtype="<f4")
+    offsets = np.r_[0, np.cumsum(4 * lengths)].astype(np.int32)
+    bits = np.packbits(valid, bitorder="little")
     return pa.Array.from_buffers(
-        pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())]
+        pa.binary(), len(x), [pa.py_buffer(b.tobytes()) for b in (bits, offsets, flat)]
     )
 
 
 def pack_vectors(x: Column) -> Column:
     """Vectors of one length as little-endian float32 bytes: the training format.
 
+    A null vector stays null; differing lengths and null entries are an error.
+
     Moving a byte string through Arrow on every pass is a memory copy; moving
     an array goes element by element.
     """
@@ -107,7 +115,7 @@ def gradient_sums(
     short rows are shuffled, however large a group is. With very many
     partitions the sums of a class are added in two stages of ``fan_in``.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+    shared = weights if isinstance(weights, Broadcast) else rows.sparkSession.sparkContext.broadcast(weights)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], list] = {}
@@ -191,6 +199,28 @@ def _waves(tasks: list[LinearTask], dim: int) -> list[list[LinearTask]]:
     return waves
 
 
+def _epochs(data: DataFrame, x_col: str, wave: list[LinearTask], fits: dict, fan_in: int) -> None:
+    """One pass per epoch; each pass's copy of the weights is released when it ends."""
+    sc = data.sparkSession.sparkContext
+    for epoch in range(max(task.epochs for task in wave)):
+        active = {key: f.w for key, f in fits.items() if epoch < f.task.epochs}
+        grads = {key: np.zeros_like(w) for key, w in active.items()}
+        counts = dict.fromkeys(active, 0)
+        shared = sc.broadcast(active)
+        try:
+            sums = gradient_sums(data, x_col, wave, shared, fan_in).toArrow()
+        finally:
+            shared.destroy()
+        for part in sums.to_batches():
+            keys = zip(*(part.column(c).to_pylist() for c in ("task", "grp", "class_idx", "n")))
+            for (t, grp, c, n), g in zip(keys, to_matrix(part.column("grad"))):
+                grads[(t, grp)][c] = g
+                counts[(t, grp)] = n
+        for key in active:
+            if counts[key]:
+                fits[key].step(epoch, grads[key] / counts[key])
+
+
 def softmax_fit(
     rows: DataFrame, x_col: str, dim: int, tasks: list[LinearTask]
 ) -> dict[tuple[str, int], Weights]:
@@ -218,19 +248,10 @@ def softmax_fit(
             data = data.where(keep)
         # read from shared storage once; lost blocks are read again
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
-        for epoch in range(max(task.epochs for task in wave)):
-            active = {key: f.w for key, f in fits.items() if epoch < f.task.epochs}
-            grads = {key: np.zeros_like(w) for key, w in active.items()}
-            counts = dict.fromkeys(active, 0)
-            for part in gradient_sums(data, x_col, wave, active, fan_in).toArrow().to_batches():
-                keys = zip(*(part.column(c).to_pylist() for c in ("task", "grp", "class_idx", "n")))
-                for (t, grp, c, n), g in zip(keys, to_matrix(part.column("grad"))):
-                    grads[(t, grp)][c] = g
-                    counts[(t, grp)] = n
-            for key in active:
-                if counts[key]:
-                    fits[key].step(epoch, grads[key] / counts[key])
-        data.unpersist()
+        try:
+            _epochs(data, x_col, wave, fits, fan_in)
+        finally:
+            data.unpersist()
         for (t, grp), f in fits.items():
             result[(wave[t].name, grp)] = (f.w[:, :-1].copy(), f.w[:, -1].copy())
     return result

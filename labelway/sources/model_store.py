@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelway.functions.vectors import to_matrix
 from labelway.operators.linear import Weights
 
 # What the driver holds of one model.
@@ -100,15 +101,16 @@ def load_model(tables: ModelTables) -> HierModel:
         .orderBy("category", "class_idx")
         .toArrow()
     )
+    if not rows.num_rows:
+        raise FileNotFoundError("Router not found in the weights table")
     category = rows.column("category").to_pylist()
-    w = np.asarray(rows.column("weights").to_pylist(), dtype=np.float64)
-    b = np.asarray(rows.column("bias").to_pylist(), dtype=np.float64)
+    w = to_matrix(rows.column("weights").combine_chunks())
+    b = rows.column("bias").to_numpy()
     label, issue, sub = (rows.column(c).to_pylist() for c in ("label", "issue", "subissue_unique"))
     heads: dict[str | None, Head] = {}
-    for cat in dict.fromkeys(category):
-        at = [i for i, c in enumerate(category) if c == cat]
-        lo, hi = at[0], at[-1] + 1
-        heads[cat] = Head((w[lo:hi], b[lo:hi]), label[lo:hi], issue[lo:hi], sub[lo:hi])
+    cuts = [i for i, c in enumerate(category) if not i or c != category[i - 1]]  # sorted by category
+    for lo, hi in zip(cuts, [*cuts[1:], len(category)]):
+        heads[category[lo]] = Head((w[lo:hi], b[lo:hi]), label[lo:hi], issue[lo:hi], sub[lo:hi])
     router = heads.pop(None, None)
     if router is None:
         raise FileNotFoundError("Router not found in the weights table")

@@ -155,3 +155,13 @@ def test_converges_to_the_mllib_optimum(spark):
     model = LogisticRegression(family="multinomial", maxIter=200).fit(vec)
     theirs = x @ model.coefficientMatrix.toArray().T + model.interceptVector.toArray()
     np.testing.assert_allclose(softmax(x @ w.T + b), softmax(theirs), atol=0.02)
+
+
+def test_pack_keeps_null_vectors_and_refuses_other_lengths(spark):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [3.0, 4.0])], "id int, x array<double>").coalesce(1)
+    packed = {r["id"]: r["p"] for r in rows.select("id", linear.pack_vectors(F.col("x")).alias("p")).collect()}
+    assert packed[1] is None
+    assert np.frombuffer(packed[0], "<f4").tolist() == [1, 2] and np.frombuffer(packed[2], "<f4").tolist() == [3, 4]
+    ragged = spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "x array<double>").coalesce(1)
+    with pytest.raises(Exception, match="one length"):
+        ragged.select(linear.pack_vectors(F.col("x"))).collect()
