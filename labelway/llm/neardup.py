@@ -11,7 +11,8 @@ the band that the bound allows) are at least 0.8 of all k-mers of both:
 
 Texts with the same words are copies: they share a node (digest of the words)
 and are collapsed first. Each bucket compares its members with its least and its
-greatest node only. Texts that match neither somewhere are joined exactly: in the
+greatest node only. Texts of buckets that are still of two components after that,
+linked ones included, are joined exactly: in the
 order of rarity any two similar ones share a k-mer in a short prefix. Buckets of
 those k-mers are compared in rounds with more and more chosen nodes, until none
 is left with unmatched members of two components. So pairs grow with members, not with their
@@ -190,18 +191,19 @@ def sketches(docs: DataFrame, cfg: OrderMinHash) -> DataFrame:
 
 
 def bucket_members(rows: DataFrame, cfg: OrderMinHash, ends: int) -> DataFrame:
-    """Members (bucket, node, n, root) of buckets with two roots or more, each with the
+    """Members (bucket, node, n, root, own) of buckets with two roots or more, each with the
     nodes ``others`` to compare it with, and whether it is ``chosen`` itself.
 
-    A bucket chooses at most ``ends`` nodes: the least and the greatest one of each
-    of ``ends / 2`` parts of all nodes, so overlapping buckets choose the same ones.
+    A bucket chooses at most ``ends`` nodes: the one with the fewest k-mers of its own
+    (the original among edited copies) and the greatest one of each of ``ends / 2``
+    parts of all nodes, so overlapping buckets choose the same ones.
     """
     part = F.pmod(F.xxhash64("node", F.lit(ends)), F.lit(ends // 2))
     whole = F.struct("node", "n", "root")
     chosen = (
         rows.groupBy("bucket", part.alias("part"))
         .agg(
-            F.min(whole).alias("lo"), F.max(whole).alias("hi"),
+            F.min_by(whole, F.struct("own", "node")).alias("lo"), F.max(whole).alias("hi"),
             F.min("root").alias("first"), F.max("root").alias("last"),
         )
         .groupBy("bucket")
@@ -219,7 +221,7 @@ def bucket_members(rows: DataFrame, cfg: OrderMinHash, ends: int) -> DataFrame:
     )
     own = F.exists("all", lambda x: x["node"] == F.col("node"))
     return rows.join(chosen.select("bucket", "all"), "bucket").select(
-        "bucket", "node", "n", "root", own.alias("chosen"), partners["node"].alias("others")
+        "bucket", "node", "n", "root", "own", own.alias("chosen"), partners["node"].alias("others")
     )
 
 
@@ -272,7 +274,8 @@ def compared(pairs: DataFrame) -> DataFrame:
 def links(docs: DataFrame, cfg: OrderMinHash = OrderMinHash()) -> DataFrame:
     """Verified links (a, b) between nodes, enough of them to connect each class."""
     base = stage_table(sketches(docs, cfg), "sketches")
-    rows = base.select(F.explode("keys").alias("bucket"), "node", "n", F.col("node").alias("root"))
+    own = F.lit(0).cast("long").alias("own")
+    rows = base.select(F.explode("keys").alias("bucket"), "node", "n", F.col("node").alias("root"), own)
     members = stage_table(bucket_members(rows, cfg, 2), "members")
     # one text of each node in a bucket, written once for all rounds
     every = docs.select(node_of(F.col("text")).alias("node"), F.col("text").alias("text"))
@@ -281,11 +284,12 @@ def links(docs: DataFrame, cfg: OrderMinHash = OrderMinHash()) -> DataFrame:
     pairs = members.select("bucket", "node", "chosen", F.explode("others").alias("pivot"))
     found = _linked(pairs, texts, cfg)
     roots = components(found)
-    # texts that match none of the chosen ones in some bucket are joined exactly
-    matched = pairs.select("*", *_ordered()).join(found, ["a", "b"], "left_semi").select("bucket", "node").distinct()
-    rest = members.filter("not chosen").join(matched, ["bucket", "node"], "left_anti").select("node").distinct()
+    # buckets whose members are still of two components: their texts, linked or not, are joined exactly
+    rest = _rooted(members.select("bucket", "node"), roots)
+    open_buckets = rest.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last"))
+    rest = rest.join(open_buckets.filter("first < last"), "bucket", "left_semi").select("node").distinct()
     rows = stage_table(prefixes(texts.join(rest, "node", "left_semi"), cfg), "prefixes")
-    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = _rooted(rows, roots)
     ends = 2
     while not rows.isEmpty():
         members = bucket_members(rows, cfg, ends)
@@ -294,11 +298,16 @@ def links(docs: DataFrame, cfg: OrderMinHash = OrderMinHash()) -> DataFrame:
         found = found.unionAll(new)
         done = new.select("a").unionAll(new.select("b")).toDF("node").distinct()
         left = members.filter("not chosen").join(done, "node", "left_anti")
-        rows = stage_table(left.select("bucket", "node", "n", "root"), "rest")
+        rows = stage_table(left.select("bucket", "node", "n", "root", "own"), "rest")
         ends *= 4
     return found
 
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the ``root`` of each node; nodes without a link are their own."""
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def _ordered() -> list[Column]:
     return [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
 
@@ -308,11 +317,12 @@ def _linked(pairs: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
-    """(bucket, node, n): the rarest k-mers of each text, as many as any partner must share one of.
+    """(bucket, node, n, own): the rarest k-mers of each text, as many as any partner must share one of.
 
     Texts of similarity ``s`` have at least ``s * n`` common k-mers, so in one
     order of all k-mers two such texts meet within their first ``n - s * n + 1``.
     With rare k-mers first, passages and phrases of many texts cause no buckets.
+    ``own`` is the number of k-mers that no other text has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,9 +343,10 @@ def prefixes(texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
         .groupBy("node", "n")
         .agg(F.array_sort(F.collect_list(F.struct("texts", "gram"))).alias("shared"))
     )
-    taken = F.col("n") - F.ceil(F.lit(cfg.similarity) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+    own = F.col("n") - F.size("shared")
+    taken = F.col("n") - F.ceil(F.lit(cfg.similarity) * F.col("n") - 1e-9) + 1 - own
     prefix = F.slice(F.col("shared")["gram"], 1, F.greatest(taken, F.lit(0)).cast("int"))
-    return ranked.select(F.explode(prefix).alias("bucket"), "node", "n")
+    return ranked.select(F.explode(prefix).alias("bucket"), "node", "n", own.alias("own"))
 
 
 def classes(docs: DataFrame, cfg: OrderMinHash = OrderMinHash()) -> DataFrame:

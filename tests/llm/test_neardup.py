@@ -77,6 +77,30 @@ def test_hot_groups_against_all_pairs(spark):
     assert [got[bytes(nodes[i])] for i, _ in rows] == brute(rows)
 
 
+def check_all_pairs(spark, texts):
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {bytes(r.node): r.class_id for r in N.classes(docs).collect()}
+    nodes = docs.select("doc_id", N.node_of(docs.text).alias("node")).collect()
+    want = brute(rows)
+    assert [got[bytes(r.node)] for r in sorted(nodes)] == want
+    return want
+
+
+def edited(words, changes, rng):
+    out = list(words)
+    for at in rng.sample(range(len(out)), changes):
+        out[at] = f"e{rng.randrange(10**9)}"
+    return out
+
+
+def test_star_of_one_original(spark):
+    rng = random.Random(7)
+    original = [f"o{i}" for i in range(400)]
+    copies = [edited(original, 6, rng) for _ in range(250)]
+    assert set(check_all_pairs(spark, map(" ".join, [*copies, original]))) == {0}
+
+
 def test_one_row_of_each_class_stays(spark, odd_docs):
     kept = N.deduplicate(odd_docs)
     assert kept.columns == odd_docs.columns
