@@ -14,8 +14,8 @@ and are collapsed first. Each bucket compares its members with its least and its
 greatest node only. Texts of buckets that are still of two components after that,
 linked ones included, are joined exactly: in the
 order of rarity any two similar ones share a k-mer in a short prefix. Buckets of
-those k-mers are compared in rounds with more and more chosen nodes, until none
-is left with unmatched members of two components. So pairs grow with members, not with their
+those k-mers are compared in rounds with more and more chosen nodes, until the members
+not yet compared with all others of their bucket are of one component. So pairs grow with members, not with their
 square, whatever the size of a group of copies, and there is no cap.
 
 Defined cases: null, empty and blank texts have the same (no) words and form one
@@ -296,9 +296,12 @@ def links(docs: DataFrame, cfg: OrderMinHash = OrderMinHash()) -> DataFrame:
         each = members.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
         new = _linked(each.select("node", F.explode("others").alias("pivot")), texts, cfg)
         found = found.unionAll(new)
-        done = new.select("a").unionAll(new.select("b")).toDF("node").distinct()
-        left = members.filter("not chosen").join(done, "node", "left_anti")
-        rows = stage_table(left.select("bucket", "node", "n", "root", "own"), "rest")
+        # a chosen node was compared with all of its bucket; others stay until one component is left
+        left = members.filter("not chosen").select("bucket", "node", "n", "own", "root")
+        if not new.isEmpty():
+            roots = components(roots.toDF("a", "b").unionAll(new))
+            left = _rooted(left.drop("root"), roots)
+        rows = stage_table(left, "rest")
         ends *= 4
     return found
 

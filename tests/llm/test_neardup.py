@@ -101,6 +101,17 @@ def test_star_of_one_original(spark):
     assert set(check_all_pairs(spark, map(" ".join, [*copies, original]))) == {0}
 
 
+def test_links_between_settled_texts(spark):
+    """Many small stars around one text: a leg is alike to the middle of its star only."""
+    rng = random.Random(11)
+    base, texts = [f"c{i}" for i in range(300)], []
+    for _ in range(40):
+        middle = edited(base, 4, rng)
+        texts += [middle, *(edited(middle, 5, rng) for _ in range(4))]
+    rng.shuffle(texts)
+    check_all_pairs(spark, map(" ".join, texts))
+
+
 def test_one_row_of_each_class_stays(spark, odd_docs):
     kept = N.deduplicate(odd_docs)
     assert kept.columns == odd_docs.columns
