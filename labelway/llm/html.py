@@ -1,11 +1,12 @@
 """Main text of pages: site templates removed by counted subtrees.
 
-Each page is cut into elements. Subtrees outside the article are hashed and
-counted per host in Spark, copies of a page counting once; those that recur
-across many pages of the host are its template and are deleted. Elements whose
-kind says so (menus, headers, footers, asides, forms, scripts, adverts, notices,
-comments) are deleted as well. If a page marks its article, the text is taken
-from there, and passages that articles share stay.
+Each page is cut into elements. Subtrees outside and inside the article are
+hashed and counted per host in Spark, copies of a page or of an article counting
+once; those that recur across many pages of the host are its template and are
+deleted. Elements whose kind says so (menus, headers, footers, asides, forms,
+scripts, adverts, notices, comments) are deleted as well. If a page marks its
+article, the text is taken from there, and passages that some articles share
+stay: inside an article only what far more pages have is template.
 
 Defined cases: a null or empty html gives an empty text. Markup that never ends
 is closed by the end of the page, and an article ends what was left open before
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelway.llm.common import table
+from labelway.session import stage_table
 
 # Element names of the HTML standard, by what they are to a reader.
 RAW = "script style textarea title noscript iframe template svg math object select".split()
@@ -60,10 +62,15 @@ HAS_MAIN = r"(?i)<(article|main)[\s>/]"
 @dataclass(frozen=True)
 class TemplateConfig:
     """A subtree is template if at least ``min_pages`` different pages of its host
-    and ``min_share`` of them have it."""
+    and ``min_share`` of them have it, or ``many_pages`` of them whatever their share.
+    The same holds for subtrees inside an article, with different articles for pages."""
 
     min_pages: int = 3
     min_share: float = 0.3
+    many_pages: int = 100
+    min_articles: int = 20
+    article_share: float = 0.1
+    many_articles: int = 1000
 
 
 @dataclass
@@ -126,22 +133,33 @@ def walk(page: str) -> Iterator[tuple]:
         yield "close", stack.pop(), len(page)
 
 
-def subtree(page: str, e: Element, end: int) -> int:
-    """Hash of an element with all its markup, white space folded."""
-    return xxhash.xxh64_intdigest(SPACE.sub(" ", page[e.start : end])) - (1 << 63)
+def subtree(page: str, e: Element, end: int, inside: bool = False) -> int:
+    """Hash of an element with all its markup, white space folded; odd for one inside an article."""
+    return (xxhash.xxh64_intdigest(SPACE.sub(" ", page[e.start : end])) - (1 << 63)) & ~1 | inside
 
 
-def subtrees(page: str | None) -> list[int]:
-    """Hashes of all block elements outside the article."""
-    page, out, inside = page or "", [], 0
+#: Stand for the page and for its article among the hashes: their counts are those of the host.
+PAGE, ARTICLE = 0, 1
+
+
+def subtrees(page: str | None) -> tuple[list[int], bytes]:
+    """Hashes of all block elements, and the digest of the article."""
+    page, out, inside, dropped = page or "", [PAGE], 0, 0
+    article = xxhash.xxh3_128()
     for kind, e, *end in (x if len(x) == 3 else (*x, None) for x in walk(page)):
         if kind == "open":
             inside += e.main
+            dropped += e.dropped
         elif kind == "close":
             inside -= e.main
-            if not inside and not e.main and e.name not in INLINE and e.name not in ("html", "body", "head"):
-                out.append(subtree(page, e, end[0]))
-    return list(dict.fromkeys(out))
+            dropped -= e.dropped
+            if e.main:
+                if not inside:
+                    out.append(ARTICLE)
+                    article.update(SPACE.sub(" ", page[e.start : end[0]]))
+            elif e.name not in INLINE and e.name not in ("html", "body", "head") and not (inside and dropped):
+                out.append(subtree(page, e, end[0], inside > 0))
+    return list(dict.fromkeys(out)), article.digest()
 
 
 def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
@@ -176,8 +194,8 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
             dropped -= x.dropped
             inside -= x.main
             _, first = marks.pop()
-            if template and not inside and not x.main and x.name not in INLINE:
-                if subtree(page, x, end[0]) in template:
+            if template and (inside or not only_main) and not x.main and x.name not in INLINE:
+                if subtree(page, x, end[0], inside > 0) in template:
                     del blocks[first:]
     end_block()
     return "\n\n".join(blocks)
@@ -194,43 +212,61 @@ def templates(pages: DataFrame, cfg: TemplateConfig) -> tuple[DataFrame, DataFra
         for batch in batches:
             found = [subtrees(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["host", "page", "hashes"]
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array([x for _, x in found], pa.binary()),
+                    pa.array([x for x, _ in found], pa.list_(pa.int64())),
+                ],
+                ["host", "page", "article", "hashes"],
             )
 
-    source = pages.select("host", "page", "html")
-    each = (
-        source.mapInArrow(run, "host string, page binary, hashes array<long>")
-        .select("host", "page", F.explode("hashes").alias("hash"))
-        .distinct()
+    found = pages.select("host", "page", "html").mapInArrow(
+        run, "host string, page binary, article binary, hashes array<long>"
+    )
+    each = stage_table(
+        found.select("host", "page", "article", F.explode("hashes").alias("hash")).distinct(), "subtrees"
     )
-    sizes = source.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("found"))
-    common = counts.filter(F.col("found") >= cfg.min_pages).join(sizes, "host")
-    return common.filter(F.col("found") >= cfg.min_share * F.col("pages")).select("host", "hash"), each
+    inside = F.col("hash").bitwiseAND(F.lit(1)) == 1
+    unit = F.when(inside, F.col("article")).otherwise(F.col("page"))
+    counts = each.select("host", "hash", unit.alias("unit")).distinct().groupBy("host", "hash")
+    counts = stage_table(
+        counts.agg(F.count(F.lit(1)).alias("found")).filter(
+            F.col("hash").isin(PAGE, ARTICLE) | (F.col("found") >= min(cfg.min_pages, cfg.min_articles))
+        ),
+        "counts",
+    )
+    whole = F.col("hash").isin(PAGE, ARTICLE)
+    sizes = counts.filter(whole).select("host", inside.alias("inside"), F.col("found").alias("all"))
+
+    def recurs(least: int, share: float, many: int) -> Column:
+        n = F.col("found")
+        return (n >= least) & ((n >= share * F.col("all")) | (n >= many))
+
+    common = counts.filter(~whole).withColumn("inside", inside).join(sizes, ["host", "inside"])
+    common = common.filter(
+        F.when(F.col("inside"), recurs(cfg.min_articles, cfg.article_share, cfg.many_articles)).otherwise(
+            recurs(cfg.min_pages, cfg.min_share, cfg.many_pages)
+        )
+    )
+    return common.select("host", "hash"), each.select("host", "page", "hash")
 
 
 def extract(pages: DataFrame, cfg: TemplateConfig = TemplateConfig()) -> DataFrame:
     """(page_id, url, text) of every row of ``pages``.
 
-    Pages that mark their article need no template and never move. Templates are
-    counted over all pages; only pages without a marked article are shuffled, to
+    Templates are counted over all pages, and all pages are shuffled once, to
     meet the template subtrees they have.
     """
     rows = pages.select(
         F.col("page_id"), F.col("url"), host_of(F.col("url")).alias("host"),
         F.unhex(F.md5(F.coalesce("html", F.lit("")))).alias("page"), F.coalesce("html", F.lit("")).alias("html"),
     )
-    marked = F.col("html").rlike(HAS_MAIN)
     common, each = templates(rows, cfg)
-    plain = rows.filter(~marked)
-    own = each.join(plain.select("host", "page").distinct(), ["host", "page"], "left_semi")
-    hits = own.join(common, ["host", "hash"]).groupBy("host", "page").agg(F.collect_list("hash").alias("template"))
-    none = F.array().cast("array<long>")
-    ready = rows.filter(marked).select("page_id", "url", "html", none.alias("template")).unionAll(
-        plain.join(hits, ["host", "page"], "left").select(
-            "page_id", "url", "html", F.coalesce("template", none).alias("template")
-        )
-    )
+    hits = each.join(common, ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("template"))
+    ready = rows.join(hits, ["host", "page"], "left").select(
+        "page_id", "url", "html", F.coalesce("template", F.array().cast("array<long>")).alias("template")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -90,6 +90,26 @@ def test_templates_of_a_host(spark):
     assert H.extract(docs.limit(0)).count() == 0
 
 
+def test_templates_inside_articles_and_on_large_hosts(spark):
+    def marked(i):
+        advert = "<div class=box><p>Buy two</p></div>" if i % 4 == 0 else ""
+        quoted = "<p>As they say</p>" if i < 8 else ""
+        return f"<body><div>Site</div><main><h1>Title {i}</h1>{advert}{quoted}<p>Story {i}</p></main></body>"
+
+    def plain(i):
+        return f"<body>{'<div>Buy two</div>' if i % 4 == 0 else ''}<div><p>Story {i}</p></div></body>"
+
+    rows = [(i, "http://a.org/x", marked(i)) for i in range(100)]
+    rows += [(1000 + i, "http://b.org/x", plain(i)) for i in range(500)]
+    # one article under many different frames recurs as an article, not as a template
+    rows += [(5000 + i, "http://c.org/x", f"<p>{i}</p>" + marked(0)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(docs).collect()}
+    assert got[4] == "Title 4\n\nAs they say\n\nStory 4" and got[40] == "Title 40\n\nStory 40"
+    assert got[1004] == "Story 4" and got[1005] == "Story 5"
+    assert got[5003] == "Title 0\n\nBuy two\n\nAs they say\n\nStory 0"
+
+
 def test_html_query_keeps_whole_articles(spark, sf):
     rows = H.q_html_text(spark, sf).collect()
     assert len(rows) == table(spark, sf, "pages").count() and all(r.n_chars == len(r.text) > 0 for r in rows)
