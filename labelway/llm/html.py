@@ -56,7 +56,6 @@ MARKUP = re.compile(
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
-HAS_MAIN = r"(?i)<(article|main)[\s>/]"
 
 
 @dataclass(frozen=True)
@@ -165,7 +164,8 @@ def subtrees(page: str | None) -> tuple[list[int], bytes]:
 def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
     """Blocks of the article, or of the body without template and boilerplate, joined by blank lines."""
     page = page or ""
-    only_main = bool(re.search(HAS_MAIN, page))
+    events = list(walk(page))
+    only_main = any(y[0] == "open" and y[1].main for y in events)
     blocks: list[str] = []
     marks: list[tuple[int, int]] = []  # blocks at the start of open elements, to take back a template
     part: list[str] = []
@@ -177,7 +177,7 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
             blocks.append(text)
         part.clear()
 
-    for kind, x, *end in (y if len(y) == 3 else (*y, None) for y in walk(page)):
+    for kind, x, *end in (y if len(y) == 3 else (*y, None) for y in events):
         if kind == "text":
             if not dropped and (inside or not only_main):
                 part.append(x)

@@ -75,6 +75,11 @@ def test_main_text(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize("hidden", ["<!-- <main > -->", "<script>'<article>'</script>", "<noscript><main></noscript>"])
+def test_article_in_markup_that_is_not_read(hidden):
+    assert H.main_text(f"<body>{hidden}<p>text</p></body>") == "text"
+
+
 def test_templates_of_a_host(spark):
     def page(i):
         return f"<body><div><p>Site name</p><ul><li>Home<li>About</ul></div><div><p>Story {i} text</p></div></body>"
