@@ -12,6 +12,7 @@ from labelway.llm import (
     pieces,
     toxicity,
     warc,
+    whitening,
     winnow,
 )
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_warc": warc.q_warc,
     "op9_winnowing": winnow.q_winnowing,
     "op10_language_id": langid.q_language_id,
+    "op13_whitening": whitening.q_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {}
