@@ -10,6 +10,7 @@ from labelway.llm import (
     packing,
     quality,
     pieces,
+    simhash,
     toxicity,
     warc,
     whitening,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_warc": warc.q_warc,
     "op9_winnowing": winnow.q_winnowing,
     "op10_language_id": langid.q_language_id,
+    "op11_simhash": simhash.q_simhash,
     "op13_whitening": whitening.q_whitening,
 }
 
