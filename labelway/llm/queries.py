@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from labelway.llm import (
     attribution,
+    fptree,
     html,
     langid,
     neardup,
@@ -29,7 +30,8 @@ QUERIES = {
     "op9_winnowing": winnow.q_winnowing,
     "op10_language_id": langid.q_language_id,
     "op11_simhash": simhash.q_simhash,
+    "op12_lexical_search": fptree.q_lexical_search,
     "op13_whitening": whitening.q_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_lexical_search": fptree.LEXICAL_SQL}
