@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,18 +9,17 @@ from pyspark.sql import functions as F
 
 from labelway.config import PREDICTIONS_TYPE
 from labelway.functions.vectors import softmax, to_matrix
-from labelway.operators.linear import MODEL_BYTES
-from labelway.sources.model_store import Head, HierModel
+from labelway.operators import linear
+from labelway.operators.blocks import ClassRange, best_logits, merged_scores, partial_scores, plan_blocks
+from labelway.operators.joins import BROADCAST_BYTES
+from labelway.session import planned_bytes, stage_table
+from labelway.sources.model_store import Head, HierModel, StoredModel
 
 
-def _best(p: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best(z: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flat (row, class, proba) of the k[row] best classes, best first, ties by class."""
-    k = np.clip(k, 1, p.shape[1])
-    order = np.argsort(-p, axis=1, kind="stable")[:, : k.max(initial=1)]
-    take = np.arange(order.shape[1])[None, :] < k[:, None]
-    row = np.repeat(np.arange(len(p)), k)
-    cls = order[take]
-    return row, cls, p[row, cls]
+    row, cls = best_logits(z, k)
+    return row, cls, softmax(z)[row, cls]
 
 
 def _strings(parts: list[tuple[Head, np.ndarray]], values: str, order: np.ndarray) -> pa.Array:
@@ -39,7 +36,7 @@ def _offsets(owner: np.ndarray, n: int) -> np.ndarray:
 def _predict_rows(model: HierModel, x: np.ndarray, k_cat: np.ndarray, k_sub: np.ndarray) -> pa.Array:
     """One list of category predictions per row of ``x``."""
     w, b = model.router.weights
-    row, cat, cat_p = _best(softmax(x @ w.T + b), k_cat)
+    row, cat, cat_p = _best(x @ w.T + b, k_cat)
     owners, probas, parts = [], [], []
     for c in np.unique(cat):
         head = model.heads.get(model.router.labels[c])
@@ -47,7 +44,7 @@ def _predict_rows(model: HierModel, x: np.ndarray, k_cat: np.ndarray, k_sub: np.
             continue
         pairs = np.flatnonzero(cat == c)
         hw, hb = head.weights
-        own, cls, p = _best(softmax(x[row[pairs]] @ hw.T + hb), k_sub[row[pairs]])
+        own, cls, p = _best(x[row[pairs]] @ hw.T + hb, k_sub[row[pairs]])
         owners.append(pairs[own])
         probas.append(p)
         parts.append((head, cls))
@@ -73,7 +70,7 @@ def _predict_rows(model: HierModel, x: np.ndarray, k_cat: np.ndarray, k_sub: np.
 
 def hier_predict(
     df: DataFrame,
-    models: list[HierModel],
+    models: list[HierModel | StoredModel],
     x_col: str = "x",
     model_col: str = "model_id",
     k_cat: str = "topk_cat",
@@ -82,12 +79,15 @@ def hier_predict(
 ) -> DataFrame:
     """Adds nested predictions; null where the vector or the model is missing.
 
-    A narrow projection over broadcast weights of checked size: no shuffle, no
-    state, so it is the same on batches and on streams.
+    Models in memory that fit ``MODEL_BYTES`` together are broadcast: a narrow
+    projection without shuffle or state, the same on batches and on streams. All
+    others are served in blocks of their classes, see ``predict_by_blocks``.
     """
-    size = sum(m.nbytes() for m in models)
-    if size > MODEL_BYTES:
-        raise ValueError(f"{size} bytes of weights exceed MODEL_BYTES; use hier_predict_by_id")
+    loaded = all(isinstance(m, HierModel) for m in models)
+    if not loaded or sum(m.nbytes() for m in models) > linear.MODEL_BYTES:
+        if df.isStreaming:
+            raise ValueError("models beyond MODEL_BYTES score a stream batch by batch: use serve_stream")
+        return predict_by_blocks(df, models, x_col, model_col, k_cat, k_sub, out)
     shared = df.sparkSession.sparkContext.broadcast({m.model_id: m for m in models})
 
     @F.arrow_udf(PREDICTIONS_TYPE)
@@ -117,50 +117,96 @@ def hier_predict(
     )
 
 
-def _portions(model: HierModel) -> list[HierModel]:
-    """The model in parts that each fit ``MODEL_BYTES``: all have the router,
-    every head is in one of them."""
-    base = HierModel(model.model_id, model.encoder_id, model.encoder_weights, model.router, {})
-    parts, free = [replace(base, heads={})], MODEL_BYTES - base.nbytes()
-    room = free
-    for name, head in sorted(model.heads.items()):
-        size = head.weights[0].nbytes + head.weights[1].nbytes
-        if size > room:
-            raise ValueError(f"head {name} of {size} bytes exceeds MODEL_BYTES")
-        if size > free:
-            parts.append(replace(base, heads={}))
-            free = room
-        free -= size
-        parts[-1].heads[name] = head
-    return parts
-
-
-def hier_predict_by_id(
+def _scored_by(rows: DataFrame, x_col: str, blocks: list[list[ClassRange]], models: dict, pruned: bool) -> DataFrame:
+    """Partial results of all blocks. One block at a time is in the driver and in the
+    workers; its rows are written before the next one comes."""
+    sc = rows.sparkSession.sparkContext
+    found = None
+    for at, block in enumerate(blocks):
+        mine = rows.where(F.col("__block") == at) if pruned else rows
+        pieces = []
+        for model_id in dict.fromkeys(r.key[0] for r in block):
+            pieces += models[model_id].pieces([r for r in block if r.key[0] == model_id])
+        shared = sc.broadcast(pieces)
+        try:
+            part = stage_table(partial_scores(mine, x_col, shared), "partial-scores")
+        finally:
+            shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _at_least_one(k: str):
+    return F.least(F.greatest(F.coalesce(F.col(k).cast("long"), F.lit(1)), F.lit(1)), F.lit(1 << 30)).alias("__k")
+
+
+def predict_by_blocks(
     df: DataFrame,
-    model: HierModel,
-    id_col: str,
+    models: list[HierModel | StoredModel],
     x_col: str = "x",
     model_col: str = "model_id",
     k_cat: str = "topk_cat",
     k_sub: str = "topk_sub",
+    out: str = "predictions",
+    limit: int | None = None,
 ) -> DataFrame:
-    """(id, predictions) of a model too large for one broadcast; batch only.
+    """``hier_predict`` for models of any size, in blocks of ``limit`` bytes (``MODEL_BYTES``); batch only.
 
-    Each portion of the heads predicts on its own, and the portion that has a
-    category's head supplies its labels. Only predictions are shuffled, by id.
+    Rows get a key of their own and are written once, so rows without a vector or
+    model and repeated rows all come back. Every row meets each block of routers;
+    each of its chosen categories meets the blocks of that head only. A head of
+    more than one block is merged from partial results; what moves are the vectors of
+    chosen categories and those results.
     """
-    found = None
-    for part in _portions(model):
-        one = hier_predict(df, [part], x_col, model_col, k_cat, k_sub, out="__p").select(
-            id_col, F.posexplode("__p").alias("__pos", "__c")
+    spark, limit = df.sparkSession, linear.MODEL_BYTES if limit is None else limit
+    by_id = {m.model_id: m for m in models}
+    row_bytes = {m.model_id: (m.dim + 1) * 8 for m in models}
+    rows = stage_table(df.withColumn("__row", F.monotonically_increasing_id()), "asked")
+    asked = rows.where(F.col(x_col).isNotNull() & F.col(model_col).isin(list(by_id))).select(
+        "__row",
+        F.lit(0).alias("__pos"),
+        F.col(model_col).alias("__model"),
+        F.lit(None).cast("string").alias("__category"),
+        F.col(x_col).alias("__x"),
+        _at_least_one(k_cat),
+        _at_least_one(k_sub).alias("__ks"),
+    )
+    routers = {(m.model_id, None): m.sizes()[None] for m in models}
+    blocks = plan_blocks(routers, row_bytes, limit)
+    cats = merged_scores(_scored_by(asked, "__x", blocks, by_id, False), asked).select(
+        "__row", F.posexplode("best").alias("__pos", "cat")
+    )
+    cats = stage_table(
+        cats.select("__row", "__pos", F.col("cat.label").alias("__category"), F.col("cat.proba").alias("proba")), "chosen"
+    )
+    heads = {(m.model_id, c): n for m in models for c, n in m.sizes().items() if c is not None}
+    no_subs = F.array().cast("array<struct<label:string,issue:string,subissue_unique:string,proba:double>>")
+    if heads:
+        blocks = plan_blocks(heads, row_bytes, limit)
+        places = spark.createDataFrame(
+            [(*r.key, at) for at, block in enumerate(blocks) for r in block], "__model string, __category string, __block int"
+        )
+        places = stage_table(places, "head-blocks")  # one row per head, or per block of a large one
+        if planned_bytes(places) <= BROADCAST_BYTES:
+            places = F.broadcast(places)
+        chosen = asked.drop("__pos", "__category", "__k").withColumnRenamed("__ks", "__k")
+        pairs = chosen.join(cats.drop("proba"), "__row").join(places, ["__model", "__category"])
+        # sorted by block: each block's pass reads its own stretch, and parts stay equal
+        pairs = stage_table(pairs.repartitionByRange("__block", "__row").sortWithinPartitions("__block"), "pairs")
+        wanted = pairs.select("__row", "__pos", "__k").distinct()
+        found = merged_scores(_scored_by(pairs, "__x", blocks, by_id, True), wanted)
+        subs = F.transform(
+            "best",
+            lambda s: F.struct(s["label"].alias("label"), s["issue"].alias("issue"), s["sub"].alias("subissue_unique"), s["proba"].alias("proba")),
         )
-        found = one if found is None else found.unionByName(one)
-    richest = F.max_by("__c", F.size("__c.subissues"))
-    merged = found.groupBy(id_col, "__pos").agg(richest.alias("__c"))
-    in_order = F.sort_array(F.collect_list(F.struct("__pos", "__c")))
-    return merged.groupBy(id_col).agg(
-        F.transform(in_order, lambda s: s["__c"]).alias("predictions")
+        cats = cats.join(found.select("__row", "__pos", subs.alias("subs")), ["__row", "__pos"], "left")
+    else:
+        cats = cats.withColumn("subs", no_subs)
+    one = F.struct(
+        "__pos", F.struct(F.col("__category").alias("category"), "proba", F.coalesce("subs", no_subs).alias("subissues")).alias("c")
     )
+    lists = cats.groupBy("__row").agg(F.sort_array(F.collect_list(one))["c"].cast(PREDICTIONS_TYPE).alias(out))
+    return rows.drop(out).join(lists, "__row", "left").drop("__row")
 
 
 def _predict_type() -> pa.DataType:

@@ -418,6 +418,12 @@ lab AS (SELECT row_id, coalesce(category, 'nan') AS category,
     fine = f"""{DOCS},
 lab AS (SELECT category || '/' || issue || '/' || subissue AS category, grade AS label FROM tickets),
 cnt AS (SELECT category, label, count(*) AS cnt FROM lab GROUP BY 1, 2)"""
+    predicted = f"""WITH {VECTORS},{TWO_LEVELS}
+SELECT r.row_id, CAST(r.rk AS INT) AS cat_rank, 'c' || r.c AS category, round(r.p, 6) AS cat_proba,
+  CAST(h.rk AS INT) AS sub_rank, 'i' || (h.c % 2) || '__SEP__l' || h.c AS label,
+  'i' || (h.c % 2) AS issue, 'l' || h.c AS subissue_unique, round(h.p, 6) AS sub_proba
+FROM rr r LEFT JOIN hr h ON h.row_id = r.row_id AND h.grp = r.c AND r.c <> 4
+WHERE r.rk <= 2"""
     return {
         "clean_text": f"SELECT doc_id AS row_id, {clean('text')} AS text_clean FROM documents",
         "grade_filter": f"""WITH {DOCS}
@@ -522,12 +528,8 @@ h_c AS (SELECT t.grp, t.y AS c, x.d, avg(x.v) AS w FROM h_tr t JOIN xl x USING (
 h_w AS (SELECT * FROM h_c UNION ALL SELECT grp, c, 65, -0.5 * sum(w * w) FROM h_c GROUP BY 1, 2),
 {held_ranks("h", "h_w", "h_held")}
 SELECT CAST(grp AS INT) AS model, {four_rates()} FROM h_rk GROUP BY 1""",
-        "hier_predict": f"""WITH {VECTORS},{TWO_LEVELS}
-SELECT r.row_id, CAST(r.rk AS INT) AS cat_rank, 'c' || r.c AS category, round(r.p, 6) AS cat_proba,
-  CAST(h.rk AS INT) AS sub_rank, 'i' || (h.c % 2) || '__SEP__l' || h.c AS label,
-  'i' || (h.c % 2) AS issue, 'l' || h.c AS subissue_unique, round(h.p, 6) AS sub_proba
-FROM rr r LEFT JOIN hr h ON h.row_id = r.row_id AND h.grp = r.c AND r.c <> 4
-WHERE r.rk <= 2""",
+        "hier_predict": predicted,
+        "hier_predict_blocks": predicted,
         "softmax_gradient_step": f"""WITH {VECTORS},
 n AS (SELECT count(*) AS n, count(DISTINCT label) AS k FROM vec),
 k AS (SELECT DISTINCT label AS c FROM vec)

@@ -15,7 +15,7 @@ from labelway.functions.labels import compose_label, is_good_grade, or_nan, spli
 from labelway.functions.text import clean_text, safe_key
 from labelway.operators import encoding, linear, metrics, sampling, taxonomy
 from labelway.operators.embedding import HashedTfIdf
-from labelway.operators.predict import hier_predict
+from labelway.operators.predict import hier_predict, predict_by_blocks
 from labelway.operators.requests import validate_requests
 from labelway.plans import hierarchy, tune
 from labelway.session import scratch_path, ship_package, stage_table
@@ -323,13 +323,12 @@ def q_head_stats(spark, sf):
     )
 
 
-@query
-def q_hier_predict(spark, sf):
-    rows = fixtures.vectors(spark, sf)
+def _vector_model(rows: DataFrame) -> HierModel:
+    """Centroid router and heads; category 4 has no head."""
     router = linear.centroid_weights(rows, "category")[0]
     heads = linear.centroid_weights(rows, "label", "category")
     names = lambda g: [2 * g, 2 * g + 1][: len(heads[g][1])]
-    model = HierModel(
+    return HierModel(
         "vectors",
         "given",
         None,
@@ -342,13 +341,19 @@ def q_hier_predict(spark, sf):
                 [f"l{c}" for c in names(g)],
             )
             for g, w in heads.items()
-            if g != 4  # a category without a head
+            if g != 4
         },
     )
-    asked = rows.select(
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "row_id", "x", F.lit("vectors").alias("model_id"), F.lit(2).alias("topk_cat"), F.lit(5).alias("topk_sub")
     )
-    cats = hier_predict(asked, [model]).select("row_id", F.posexplode("predictions").alias("cp", "c"))
+
+
+def _predictions_long(predicted: DataFrame) -> DataFrame:
+    cats = predicted.select("row_id", F.posexplode("predictions").alias("cp", "c"))
     subs = cats.select("row_id", "cp", "c", F.posexplode_outer("c.subissues").alias("sp", "s"))
     return subs.select(
         "row_id",
@@ -363,6 +368,19 @@ def q_hier_predict(spark, sf):
     )
 
 
+@query
+def q_hier_predict(spark, sf):
+    rows = fixtures.vectors(spark, sf)
+    return _predictions_long(hier_predict(_asked(rows), [_vector_model(rows)]))
+
+
+@query
+def q_hier_predict_blocks(spark, sf):
+    """The same from blocks of one class: every head and the router are merged from several."""
+    rows = fixtures.vectors(spark, sf)
+    return _predictions_long(predict_by_blocks(_asked(rows), [_vector_model(rows)], limit=1))
+
+
 @query
 def q_softmax_gradient_step(spark, sf):
     rows = fixtures.vectors(spark, sf).select(linear.pack_vectors(F.col("x")).alias("x"), "label")

@@ -1,26 +1,32 @@
 """Scoring requests, in batch or as a stream.
 
-All steps are narrow: validation, cleaning, encoding and prediction keep no
-state and move no rows, so the same plan runs on both.
+With models that fit one broadcast all steps are narrow: validation, cleaning,
+encoding and prediction keep no state and move no rows, so the same plan runs on
+both. ``serve_stream`` answers a stream batch by batch instead, with models of any
+size and with those that were saved after it started.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from labelway.config import PREDICTIONS_TYPE
 from labelway.functions.text import clean_text
+from labelway.operators import linear
 from labelway.operators.embedding import HashedTfIdf
 from labelway.operators.predict import hier_predict
 from labelway.operators.requests import validate_requests
-from labelway.sources.model_store import HierModel
+from labelway.sources.model_store import HierModel, StoredModel, load_model, newest_versions, open_tables
 
+Model = HierModel | StoredModel
 
-def encoder_of(model: HierModel, encoders: dict | None = None):
+
+def encoder_of(model: Model, encoders: dict | None = None):
     """The encoder a model was trained with; fails if it is not the same one."""
     encoder = (encoders or {}).get(model.encoder_id)
     if encoder is None and model.encoder_weights is not None:
@@ -32,7 +38,7 @@ def encoder_of(model: HierModel, encoders: dict | None = None):
 
 def score_requests(
     requests: DataFrame,
-    models: list[HierModel],
+    models: list[Model],
     default_model: str,
     encoders: dict | None = None,
     value: str = "value",
@@ -48,7 +54,7 @@ def score_requests(
     df = df.withColumn("__text", clean_text(F.col("text"))).withColumn(
         "predictions", F.lit(None).cast(PREDICTIONS_TYPE)
     )
-    families: dict[str, list[HierModel]] = {}
+    families: dict[str, list[Model]] = {}
     for model in models:
         families.setdefault(model.encoder_id, []).append(model)
     for family in families.values():
@@ -59,7 +65,7 @@ def score_requests(
         df = df.withColumn("predictions", F.coalesce("__found", "predictions")).drop(
             "__vec", "__x", "__found"
         )
-    names = F.create_map(*[F.lit(v) for m in models for v in (m.model_id, m.encoder_id)])
+    names = F.create_map(*[F.lit(v) for m in models for v in (m.model_id, m.encoder_id)]).cast("map<string,string>")
     answer = F.struct(
         F.col("model_id").alias("art_dir"),
         F.col("device").alias("device_requested"),
@@ -117,3 +123,72 @@ def _two_sinks(ok_path: str, error_path: str) -> Callable[[DataFrame, int], None
             batch.unpersist()
 
     return write
+
+
+def pinned_versions(spark: SparkSession, root: str, path: str) -> dict[str, int]:
+    """The model versions a batch answers with: the newest complete ones when it first ran.
+
+    They are written under ``path`` before anything is scored; a repeated batch reads them.
+    """
+    schema = "model_id string, version long"
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        newest = list(newest_versions(spark, root).items())
+        spark.createDataFrame(newest, schema).coalesce(1).write.mode("overwrite").parquet(path)
+        found = spark.read.schema(schema).parquet(path)
+    return {r["model_id"]: r["version"] for r in found.collect()}
+
+
+class ModelCache:
+    """Models by version. Those that fit ``MODEL_BYTES`` together are held in memory,
+    the rest are served from their tables."""
+
+    def __init__(self, root: str) -> None:
+        self.root, self.held = root, {}
+
+    def models(self, spark: SparkSession, versions: dict[str, int]) -> list[Model]:
+        self.held = {key: m for key, m in self.held.items() if versions.get(key[0]) == key[1]}
+        room = linear.MODEL_BYTES - sum(m.nbytes() for m in self.held.values() if isinstance(m, HierModel))
+        for key in versions.items():
+            if key not in self.held:
+                model = load_model(open_tables(spark, self.root, *key), max(room, 0))
+                self.held[key] = model
+                room -= model.nbytes() if isinstance(model, HierModel) else 0
+        return [self.held[key] for key in versions.items()]
+
+
+def serve_stream(
+    requests: DataFrame,
+    root: str,
+    default_model: str,
+    ok_path: str,
+    error_path: str,
+    checkpoint: str,
+    encoders: dict | None = None,
+    value: str = "value",
+    **trigger,
+) -> StreamingQuery:
+    """Answers a stream with the models saved under ``root``, whatever their size.
+
+    Each batch looks for the newest complete versions, so models saved or
+    replaced while the stream runs are served from the next batch on. A batch that is run again
+    answers with the versions of its first run and replaces its own folders.
+    Versions that ``prune_versions`` deletes must be older than any open batch.
+    """
+    cache = ModelCache(root)
+
+    def answer(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        versions = pinned_versions(spark, root, f"{checkpoint}/models/{batch_id}")
+        scored = score_requests(batch, cache.models(spark, versions), default_model, encoders, value)
+        _two_sinks(ok_path, error_path)(scored, batch_id)
+
+    return (
+        requests.writeStream.foreachBatch(answer)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

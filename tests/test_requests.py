@@ -1,15 +1,18 @@
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelway.operators import predict
+from labelway.operators import linear, predict
+from labelway.operators.blocks import plan_blocks
 from labelway.operators.embedding import HashedTfIdf, PluginEncoder
 from labelway.operators.predict import hier_predict
 from labelway.operators.requests import BAD_INT, BAD_JSON, BAD_TEXT, NO_MODEL, NOT_INT, NOT_OBJECT, validate_requests
+from labelway.sources import model_store
 from labelway.sources.model_store import Head, HierModel
-from labelway.streaming.requests import route_scored, score_requests, write_scored
+from labelway.streaming.requests import route_scored, score_requests, serve_stream, write_scored
 
 DIM = 8
 
@@ -122,19 +125,145 @@ def test_prediction_matches_brute_force(spark, models):
             np.testing.assert_allclose([s["proba"] for s in g["subissues"]], [s[3] for s in subs], atol=1e-12)
 
 
-def test_large_model_predicts_in_portions(spark, models, monkeypatch):
+def close(a, b):
+    """Equal predictions but for the last digits of probabilities."""
+    if a is None or b is None:
+        assert a is None and b is None
+        return
+    assert [c["category"] for c in a] == [c["category"] for c in b]
+    np.testing.assert_allclose([c["proba"] for c in a], [c["proba"] for c in b], rtol=1e-12)
+    for c, d in zip(a, b):
+        assert [(s["label"], s["issue"], s["subissue_unique"]) for s in c["subissues"]] == [
+            (s["label"], s["issue"], s["subissue_unique"]) for s in d["subissues"]
+        ]
+        np.testing.assert_allclose([s["proba"] for s in c["subissues"]], [s["proba"] for s in d["subissues"]], rtol=1e-12)
+
+
+@pytest.fixture(scope="module")
+def large(spark, models, tmp_path_factory):
+    """Two models, in memory and as stored tables."""
     rng = np.random.default_rng(4)
-    heads = {c: head(rng, [f"i__SEP__{c}{k}" for k in range(3)]) for c in "abcd" if c != "c"}
-    model = HierModel("one", "e", None, head(rng, list("abcd")), heads)
-    rows = [(i, rng.normal(size=DIM).tolist(), "one", i % 4 + 1, i % 3 + 1) for i in range(60)]
-    df = spark.createDataFrame(rows, "id int, x array<double>, model_id string, topk_cat int, topk_sub int")
-    want = {r["id"]: r["predictions"] for r in predict.hier_predict(df, [model]).collect()}
-    monkeypatch.setattr(predict, "MODEL_BYTES", (4 + 3) * (DIM + 1) * 8)
-    assert len(predict._portions(model)) == 3
-    with pytest.raises(ValueError, match="hier_predict_by_id"):
-        predict.hier_predict(df, [model])
-    got = {r["id"]: r["predictions"] for r in predict.hier_predict_by_id(df, model, "id").collect()}
-    assert got == want
+    heads = {c: head(rng, [f"i__SEP__{c}{k}" for k in range(7 if c == "b" else 3)]) for c in "abcd" if c != "c"}
+    big = HierModel("one", models[0].encoder_id, models[0].encoder_weights, head(rng, list("abcd")), heads)
+    root = str(tmp_path_factory.mktemp("store"))
+    for model in (big, models[1]):
+        model_store.save_model(tables_of(spark, model), root)
+    stored = [model_store.open_model(model_store.open_tables(spark, root, m)) for m in ("one", "two")]
+    return [big, models[1]], stored, root
+
+
+def tables_of(spark, model):
+    parts = [(None, model.router), *model.heads.items()]
+    rows = [
+        (model.model_id, c, i, h.weights[0][i].tolist(), float(h.weights[1][i]), h.labels[i], h.issues[i], h.subs[i])
+        for c, h in parts for i in range(len(h.labels))
+    ]
+    df = spark.createDataFrame(
+        rows,
+        "model_id string, category string, class_idx int, weights array<double>, bias double, label string,"
+        " issue string, subissue_unique string",
+    )
+    meta = spark.createDataFrame(
+        [(model.model_id, model.encoder_id, list(model.encoder_weights))],
+        "model_id string, encoder_id string, encoder_weights array<double>",
+    )
+    none = spark.createDataFrame([(model.model_id, 0)], "model_id string, x int")
+    return model_store.ModelTables(df.drop("label", "issue", "subissue_unique"), df.drop("weights", "bias"), none, none, meta)
+
+
+@pytest.mark.parametrize("classes", [1, 2, 4, 100])
+@pytest.mark.parametrize("kind", ["memory", "stored"])
+def test_blocks_predict_the_same(spark, large, monkeypatch, classes, kind):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(90):
+        x = None if i % 11 == 0 else rng.normal(size=DIM).tolist()
+        model = ["one", "one", "two", "none", None][i % 5]
+        # repeated rows, ids and null limits
+        rows += [(i // 3, x, model, [None, -1, 0, 2, 9][i % 5], i % 4)] * (1 + (i % 7 == 0))
+    df = spark.createDataFrame(rows, "id int, x array<double>, model_id string, topk_cat int, topk_sub int").repartition(3)
+    key = lambda r: (r["id"], str(r["x"]), str(r["model_id"]), str(r["topk_cat"]), r["topk_sub"])
+    want = sorted(predict.hier_predict(df, large[0]).collect(), key=key)
+    monkeypatch.setattr(linear, "MODEL_BYTES", classes * (DIM + 1) * 8 + 7)
+    got = sorted(predict.hier_predict(df, large[kind == "stored"]).collect(), key=key)
+    assert len(got) == len(want) == len(rows)
+    for g, w in zip(got, want):
+        assert key(g) == key(w)
+        close(g["predictions"], w["predictions"])
+
+
+def test_plan_of_blocks():
+    sizes = {("m", None): 5, ("m", "a"): 2, ("m", "b"): 3, ("n", None): 1}
+    blocks = plan_blocks(sizes, {"m": 10, "n": 100}, 30)
+    assert [[(r.key, r.first, r.end) for r in b] for b in blocks] == [
+        [(("m", None), 0, 3)], [(("m", None), 3, 5)], [(("m", "a"), 0, 2)], [(("m", "b"), 0, 3)], [(("n", None), 0, 1)],
+    ]
+    assert sum(r.end - r.first for b in blocks for r in b) == sum(sizes.values())
+
+
+def test_requests_of_large_models(spark, large, monkeypatch):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(PAYLOADS)], "req_id int, value string")
+    want = {r["req_id"]: r for r in score_requests(df, large[0], "one").collect()}
+    monkeypatch.setattr(linear, "MODEL_BYTES", 2 * (DIM + 1) * 8)
+    for models in large[:2]:
+        got = {r["req_id"]: r for r in score_requests(df, models, "one").collect()}
+        assert got.keys() == want.keys()
+        for i, w in want.items():
+            assert (got[i]["status"], got[i]["error"]) == (w["status"], w["error"])
+            close(got[i]["predictions"], w["predictions"])
+
+
+def test_versions_of_models(spark, large):
+    *_, root = large
+    first = model_store.newest_versions(spark, root)
+    second = model_store.save_model(tables_of(spark, HierModel("two", "e", [1.0], head(np.random.default_rng(1), ["new"]), {})), root)
+    assert model_store.newest_versions(spark, root) == {"one": first["one"], "two": second} and second > first["two"]
+    assert model_store.load_model(model_store.open_tables(spark, root, "two")).router.labels == ["new"]
+    old = model_store.open_tables(spark, root, "two", first["two"])
+    assert model_store.load_model(old).router.labels == ["p", "q"]
+    # a save that never wrote its last table is not seen
+    tables = tables_of(spark, HierModel("two", "e", [1.0], head(np.random.default_rng(1), ["half"]), {}))
+    tables.weights.withColumn("version", F.lit(second + 5)).write.mode("append").partitionBy("model_id", "version").parquet(f"{root}/weights")
+    assert model_store.newest_versions(spark, root)["two"] == second
+    assert model_store.prune_versions(spark, root, keep=1) == 1
+    with pytest.raises(FileNotFoundError):
+        model_store.open_tables(spark, root, "two", first["two"])
+    assert model_store.load_model(model_store.open_tables(spark, root, "two")).router.labels == ["new"]
+    assert model_store.newest_versions(spark, str(root) + "-none") == {}
+
+
+@pytest.mark.parametrize("classes", [2, 1000])
+def test_stream_serves_models_saved_meanwhile(spark, models, tmp_path, monkeypatch, classes):
+    monkeypatch.setattr(linear, "MODEL_BYTES", classes * (DIM + 1) * 8)
+    source, root, check = tmp_path / "in", str(tmp_path / "models"), str(tmp_path / "c")
+    ok, bad = str(tmp_path / "ok"), str(tmp_path / "bad")
+    source.mkdir()
+
+    def run(name, lines):
+        (source / f"{name}.txt").write_text("\n".join(lines) + "\n")
+        query = serve_stream(spark.readStream.text(str(source)), root, "one", ok, bad, check)
+        assert query.awaitTermination(180) and query.exception() is None
+
+    def labels(batch):
+        rows = spark.read.parquet(f"{ok}/batch_id={batch}").collect()
+        return [[c["category"] for c in r["predictions"]] for r in rows]
+
+    run("a", ['{"text":"x"}', "no json"])
+    assert {r["status"] for r in spark.read.parquet(bad).collect()} == {400, 404}
+    model_store.save_model(tables_of(spark, models[0]), root)
+    run("b", ['{"text":"y","topk_cat":9}'])
+    assert [sorted(c) for c in labels(1)] == [["a", "b", "c"]]
+    newer = HierModel("one", models[0].encoder_id, models[0].encoder_weights, head(np.random.default_rng(2), ["n1", "n2"]), {})
+    model_store.save_model(tables_of(spark, newer), root)
+    run("c", ['{"text":"y","topk_cat":9}'])
+    assert [sorted(c) for c in labels(2)] == [["n1", "n2"]]
+    # batch 1 again, as after a crash before its commit: the versions of its first run
+    for log in (f"{check}/commits/2", f"{check}/commits/1", f"{check}/offsets/2"):
+        for path in (Path(log), Path(log).with_name(f".{Path(log).name}.crc")):
+            path.unlink(missing_ok=True)
+    query = serve_stream(spark.readStream.text(str(source)), root, "one", ok, bad, check)
+    assert query.awaitTermination(180) and query.exception() is None
+    assert [sorted(c) for c in labels(1)] == [["a", "b", "c"]]
 
 
 PAYLOADS = [c[0] for c in CASES] + ['{"text":"Как дела на дороге","art_dir":"two","topk_cat":1}']
