@@ -31,7 +31,9 @@ PREDICTIONS_TYPE = (
 
 @dataclass(frozen=True)
 class HierConfig:
-    """One training run. Epochs and learning rates are for full-batch steps."""
+    """One training run: epochs are passes over the rows, each with ``updates`` steps on
+    fixed blocks of rows. A model stops early once a pass lowers its mean loss by less
+    than ``tolerance`` of it (0: never)."""
 
     model_id: str = "default"
     id_col: str = "row_id"
@@ -55,6 +57,8 @@ class HierConfig:
     head_epochs: int = 60
     head_lr: float = 0.05
     weight_decay: float = 1e-4
+    updates: int = 1
+    tolerance: float = 0.0
 
     def __post_init__(self) -> None:
         hold = self.val_size + self.test_size

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def best_class(proba: Column) -> Column:
     """Class of the largest probability, lowest index on ties."""
     return (F.array_position(proba, F.array_max(proba)) - 1).cast("int")

@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 
+def _bytes(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value of a binary array ends, from 0 on, and all bytes."""
+    n = len(x)
+    size = np.dtype(np.int64 if pa.types.is_large_binary(x.type) else np.int32)
+    if not n or x.buffers()[2] is None:
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.uint8)
+    ends = np.frombuffer(x.buffers()[1], dtype=size)[x.offset : x.offset + n + 1].astype(np.int64)
+    return ends - ends[0], np.frombuffer(x.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+
+
+def chunks(x: pa.Array, size: int = 512) -> Iterator[tuple[slice, np.ndarray | None, np.ndarray]]:
+    """(rows, columns, matrix) of parts of ``x``: all columns (None) of packed or listed dense
+    vectors, or the columns that occur in a part of packed sparse ones. So products
+    with weights cost what the vectors hold, and memory is bounded by ``size``."""
+    if not pa.types.is_struct(x.type):
+        matrix = to_matrix(x)
+        for at in range(0, len(x), size):
+            part = slice(at, min(at + size, len(x)))
+            yield part, None, matrix[part]
+        return
+    index, value = x.flatten()
+    ends, index = _bytes(index)
+    ends, index, value = ends // 4, index.view("<i4"), _bytes(value)[1].view("<f4")
+    for at in range(0, len(x), size):
+        part = slice(at, min(at + size, len(x)))
+        lo, hi = ends[part.start], ends[part.stop]
+        columns, place = np.unique(index[lo:hi], return_inverse=True)
+        matrix = np.zeros((part.stop - part.start, len(columns)))
+        matrix[np.repeat(np.arange(len(matrix)), np.diff(ends[part.start : part.stop + 1])), place] = value[lo:hi]
+        yield part, columns, matrix
+
+
 def to_matrix(x: pa.Array) -> np.ndarray:
     """Rows of equal length, packed or as lists, to [n, dim] float64."""
     n = len(x)
     if pa.types.is_binary(x.type) or pa.types.is_large_binary(x.type):
-        size = np.dtype(np.int64 if pa.types.is_large_binary(x.type) else np.int32)
-        ends = np.frombuffer(x.buffers()[1], dtype=size)[x.offset : x.offset + n + 1]
-        data = x.buffers()[2]
-        flat = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view("<f4") if n else np.zeros(0)
+        flat = _bytes(x)[1].view("<f4")
     else:
         flat = x.flatten().to_numpy(zero_copy_only=False)
     return np.asarray(flat, dtype=np.float64).reshape(n, -1)
@@ -22,3 +53,11 @@ def to_matrix(x: pa.Array) -> np.ndarray:
 def softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
+
+
+def logits(x: pa.Array, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scores of packed, listed or sparse vectors under class weights."""
+    if not pa.types.is_struct(x.type):
+        return to_matrix(x) @ w.T + b
+    parts = [matrix @ w[:, columns].T + b for _, columns, matrix in chunks(x)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(b)))

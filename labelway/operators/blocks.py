@@ -16,10 +16,10 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelway.functions.vectors import to_matrix
+from labelway.functions.vectors import logits
 
-#: A head: model and category, the category is None for the router.
-HeadKey = tuple[str, str | None]
+#: A head: a model, and a category of it (None for the router).
+HeadKey = tuple
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ class Piece:
     subs: list[str | None]
 
 
-def plan_blocks(sizes: dict[HeadKey, int], row_bytes: dict[str, int], limit: int) -> list[list[ClassRange]]:
+def plan_blocks(sizes: dict[HeadKey, int], row_bytes: dict, limit: int) -> list[list[ClassRange]]:
     """Class ranges of all heads in blocks of at most ``limit`` bytes, or of one class.
 
     A head that fits in a block is not cut.
@@ -83,7 +83,7 @@ _PARTIAL = (
 def _scored(piece: Piece, x: pa.Array, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(greatest logit, sum of exponentials, best classes) of each row."""
     w, b = piece.weights
-    z = to_matrix(x) @ w.T + b
+    z = logits(x, w, b)
     m = z.max(axis=1)
     row, cls = best_logits(z, k)
     offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=len(z)))].astype(np.int32)
@@ -144,7 +144,7 @@ def merged_scores(parts: DataFrame, wanted: DataFrame) -> DataFrame:
     total = F.aggregate("sums", F.lit(0.0), lambda a, e: a + e["s"] * F.exp(e["m"] - F.col("m")))
     keyed = F.transform(
         "top", lambda t: F.struct((F.lit(0.0) - t["z"]).alias("neg"), t["class_idx"].alias("class_idx"), t.alias("t"))
-    )
+    )  # best first, ties by class
     best = F.slice(F.array_sort(keyed), F.lit(1), F.col("__k").cast("int"))
     scored = sums.join(wanted.select("__row", "__pos", "__k"), ["__row", "__pos"]).select(
         "__row", "__pos", "m", total.alias("total"), best.alias("best")
@@ -155,6 +155,7 @@ def merged_scores(parts: DataFrame, wanted: DataFrame) -> DataFrame:
         F.transform(
             "best",
             lambda e: F.struct(
+                e["class_idx"].alias("class_idx"),
                 e["t"]["label"].alias("label"),
                 e["t"]["issue"].alias("issue"),
                 e["t"]["sub"].alias("sub"),

@@ -7,21 +7,23 @@ which adds an ``array<float>`` column, on batches and on streams.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelway.functions.arrays import let
+
 
 class HashedTfIdf:
     """Hashed token counts times inverse document frequency, unit length.
 
-    Stays in the JVM; the fitted state is one weight per hash slot.
+    A token's slot is its MD5 modulo the size, so any engine finds the same. All is
+    JVM expressions; the fitted state is one weight per slot. ``encode_sparse`` gives what a
+    text holds (``struct<indices:array<int>,values:array<float>>``), ``encode`` the whole vector.
     """
 
     def __init__(self, weights: list[float]):
@@ -31,28 +33,72 @@ class HashedTfIdf:
         self.encoder_id = f"hashed-tfidf-{self.dim}-{digest[:8]}"
 
     @staticmethod
-    def token_counts(df: DataFrame, text_col: str, dim: int) -> DataFrame:
-        """Adds ``__tf``, the sparse vector of token counts per hash slot."""
-        tokens = F.array_remove(F.split(F.col(text_col), " "), "")
-        df = df.withColumn("__tokens", tokens)
-        return HashingTF(numFeatures=dim, inputCol="__tokens", outputCol="__tf").transform(df)
+    def slot_counts(text: Column, dim: int) -> Column:
+        """Sorted ``(slot, n)`` structs: the tokens of a cleaned text in each slot; null for null."""
+        tokens = F.array_remove(F.split(text, " "), "")
+        slot = lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
+        return let(F.sort_array(F.transform(tokens, lambda t: slot(t).cast("int"))), _runs)
 
     @classmethod
     def fit(cls, df: DataFrame, text_col: str, dim: int = 1024) -> "HashedTfIdf":
-        """``text_col`` holds cleaned text."""
-        counts = cls.token_counts(df.select(text_col), text_col, dim).select("__tf")
-        model = IDF(inputCol="__tf", outputCol="__w").fit(counts)
-        return cls(model.idf.toArray().tolist())
+        """``text_col`` holds cleaned text. Weights are ``ln((texts + 1) / (texts with the slot + 1))``."""
+        counts = df.select(cls.slot_counts(F.col(text_col), dim).alias("s"))
+        # one row per slot; the number of texts comes with them as slot -1
+        slots = F.concat(F.array(F.lit(-1)), F.coalesce(F.col("s")["slot"], F.array().cast("array<int>")))
+        found = counts.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+        texts = {r["slot"]: r["n"] for r in found.collect()}
+        return cls([math.log((texts.get(-1, 0) + 1) / (texts.get(i, 0) + 1)) for i in range(dim)])
+
+    def _sparse(self, text: Column) -> Column:
+        idf = F.lit(np.asarray(self.weights))
+        scaled = F.transform(
+            self.slot_counts(text, self.dim),
+            lambda s: F.struct(s["slot"].alias("slot"), (s["n"] * F.get(idf, s["slot"])).alias("v")),
+        )
+        norm = lambda u: F.sqrt(F.aggregate(u, F.lit(0.0), lambda a, s: a + s["v"] * s["v"]))
+        unit = let(
+            F.filter(scaled, lambda s: s["v"] != 0),
+            lambda u: let(
+                norm(u),
+                lambda size: F.struct(
+                    u["slot"].alias("indices"), F.transform(u["v"], lambda v: (v / size).cast("float")).alias("values")
+                ),
+            ),
+        )
+        return F.when(text.isNotNull(), unit)
+
+    def encode_sparse(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+        return df.withColumn(out_col, self._sparse(F.col(text_col)))
 
     def encode(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
-        counts = self.token_counts(df, text_col, self.dim)
-        scaled = ElementwiseProduct(
-            scalingVec=Vectors.dense(self.weights), inputCol="__tf", outputCol="__w"
-        ).transform(counts)
-        unit = Normalizer(p=2.0, inputCol="__w", outputCol="__u").transform(scaled)
-        return unit.withColumn(out_col, vector_to_array("__u", "float32")).drop(
-            "__tokens", "__tf", "__w", "__u"
-        )
+        zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n)
+
+        def dense(index: Column, value: Column) -> Column:
+            """Entries are sorted by slot: zeros fill the gaps before, between and after them."""
+            gap = lambda i: F.get(index, i) - F.coalesce(F.get(index, i - 1), F.lit(-1)) - 1
+            filled = F.flatten(F.transform(value, lambda v, i: F.concat(zeros(gap(i)), F.array(v))))
+            last = F.coalesce(F.get(index, F.size(index) - 1), F.lit(-1))
+            return F.concat(filled, zeros(self.dim - 1 - last))
+
+        parts = lambda s: let(s["indices"], lambda i: let(s["values"], lambda v: dense(i, v)))
+        return df.withColumn(out_col, let(self._sparse(F.col(text_col)), parts))
+
+
+def _runs(slots: Column) -> Column:
+    """Each different value of a sorted array with the number of its occurrences."""
+    starts = F.filter(
+        F.transform(slots, lambda s, i: F.struct(s.alias("slot"), i.alias("at"), F.get(slots, i - 1).alias("before"))),
+        lambda r: r["before"].isNull() | (r["before"] != r["slot"]),
+    )
+    return let(
+        starts,
+        lambda runs: F.transform(
+            runs,
+            lambda r, i: F.struct(
+                r["slot"].alias("slot"), (F.coalesce(F.get(runs, i + 1)["at"], F.size(slots)) - r["at"]).alias("n")
+            ),
+        ),
+    )
 
 
 _loaded: dict[str, Callable] = {}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelway.config import PREDICTIONS_TYPE
 from labelway.functions.vectors import softmax, to_matrix
@@ -76,45 +79,57 @@ def hier_predict(
     k_cat: str = "topk_cat",
     k_sub: str = "topk_sub",
     out: str = "predictions",
+    drop: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Adds nested predictions; null where the vector or the model is missing.
+    """Adds nested predictions; null where the vector or the model is missing. The columns
+    ``drop`` are left out, such as the vectors.
 
     Models in memory that fit ``MODEL_BYTES`` together are broadcast: a narrow
-    projection without shuffle or state, the same on batches and on streams. All
+    step without shuffle or state, the same on batches and on streams. All
     others are served in blocks of their classes, see ``predict_by_blocks``.
     """
     loaded = all(isinstance(m, HierModel) for m in models)
     if not loaded or sum(m.nbytes() for m in models) > linear.MODEL_BYTES:
         if df.isStreaming:
             raise ValueError("models beyond MODEL_BYTES score a stream batch by batch: use serve_stream")
-        return predict_by_blocks(df, models, x_col, model_col, k_cat, k_sub, out)
+        return predict_by_blocks(df, models, x_col, model_col, k_cat, k_sub, out).drop(*drop)
     shared = df.sparkSession.sparkContext.broadcast({m.model_id: m for m in models})
-
-    @F.arrow_udf(PREDICTIONS_TYPE)
-    def predict(x: pa.Array, model_id: pa.Array, kc: pa.Array, ks: pa.Array) -> pa.Array:
-        names = model_id.dictionary_encode()
-        code = {v: i for i, v in enumerate(names.dictionary.to_pylist())}
-        ids = names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        has_x = x.is_valid().to_numpy(zero_copy_only=False)
-        want_c = kc.cast(pa.int64()).fill_null(1).to_numpy(zero_copy_only=False)
-        want_s = ks.cast(pa.int64()).fill_null(1).to_numpy(zero_copy_only=False)
-        found, picks = [], []
-        for name, model in shared.value.items():
-            pick = np.flatnonzero(has_x & (ids == code.get(name, -2)))
-            if len(pick) == len(x) and len(x):
-                return _predict_rows(model, to_matrix(x), want_c, want_s)
-            if len(pick):
-                found.append(_predict_rows(model, to_matrix(x.take(pa.array(pick))), want_c[pick], want_s[pick]))
-                picks.append(pick)
-        if not found:
-            return pa.nulls(len(x), _predict_type())
-        where = np.full(len(x), -1, np.int64)
-        where[np.concatenate(picks)] = np.arange(sum(len(p) for p in picks))
-        return pa.concat_arrays(found).take(pa.array(where, mask=where < 0))
-
-    return df.withColumn(
-        out, predict(F.col(x_col), F.col(model_col), F.col(k_cat), F.col(k_sub))
-    )
+    keep = [c for c in df.columns if c not in (out, *drop)]
+
+    # a step of its own, not a function in a projection: Spark fails to extract Python
+    # functions whose arguments hold lambdas, as encoders do
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = [batch.column(c) for c in (x_col, model_col, k_cat, k_sub)]
+            found = _predict_batch(shared.value, *asked)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), found], [*keep, out])
+
+    kept = df.select(*keep).schema.fields
+    predicted = T.StructField(out, T.DataType.fromDDL(PREDICTIONS_TYPE))
+    needed = dict.fromkeys([*keep, x_col, model_col, k_cat, k_sub])
+    return df.select(*needed).mapInArrow(run, T.StructType([*kept, predicted]))
+
+
+def _predict_batch(models: dict[str, HierModel], x: pa.Array, model_id: pa.Array, kc: pa.Array, ks: pa.Array) -> pa.Array:
+    names = model_id.dictionary_encode()
+    code = {v: i for i, v in enumerate(names.dictionary.to_pylist())}
+    ids = names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    has_x = x.is_valid().to_numpy(zero_copy_only=False)
+    want_c = kc.cast(pa.int64()).fill_null(1).to_numpy(zero_copy_only=False)
+    want_s = ks.cast(pa.int64()).fill_null(1).to_numpy(zero_copy_only=False)
+    found, picks = [], []
+    for name, model in models.items():
+        pick = np.flatnonzero(has_x & (ids == code.get(name, -2)))
+        if len(pick) == len(x) and len(x):
+            return _predict_rows(model, to_matrix(x), want_c, want_s)
+        if len(pick):
+            found.append(_predict_rows(model, to_matrix(x.take(pa.array(pick))), want_c[pick], want_s[pick]))
+            picks.append(pick)
+    if not found:
+        return pa.nulls(len(x), _predict_type())
+    where = np.full(len(x), -1, np.int64)
+    where[np.concatenate(picks)] = np.arange(sum(len(p) for p in picks))
+    return pa.concat_arrays(found).take(pa.array(where, mask=where < 0))
 
 
 def _scored_by(rows: DataFrame, x_col: str, blocks: list[list[ClassRange]], models: dict, pruned: bool) -> DataFrame:

@@ -146,39 +146,52 @@ split AS (
 )"""
 
 
-def fit(prefix: str, epochs: int, lr: float, wd: float = 1e-4, dim: int = 64) -> str:
-    """AdamW from zero on ``{prefix}_tr`` (row_id, grp, y), ``{prefix}_k`` (grp, c)
+def row_block(row_id: str, updates: int) -> str:
+    return f"('0x' || substring(md5({row_id}::VARCHAR), 1, 8))::BIGINT % {updates}"
+
+
+def fit(prefix: str, epochs: int, lr: float, wd: float = 1e-4, dim: int = 64, updates: int = 1) -> str:
+    """AdamW from zero, ``updates`` steps a pass on fixed blocks of rows, on ``{prefix}_tr`` (row_id, grp, y), ``{prefix}_k`` (grp, c)
     and ``xb`` (row_id, d, v, with the constant as dimension dim + 1);
-    the last table is ``{prefix}_w{epochs}`` (grp, c, d, w)."""
+    the last table is ``{prefix}_w{epochs * updates}`` (grp, c, d, w)."""
     p = prefix
     parts = [
-        f"{p}_n AS (SELECT grp, count(*) AS n FROM {p}_tr GROUP BY 1)",
+        *(
+            f"{p}_b{u} AS MATERIALIZED (SELECT * FROM {p}_tr WHERE {row_block('row_id', updates)} = {u})"
+            for u in range(updates)
+        ),
+        *(f"{p}_n{u} AS (SELECT grp, count(*) AS n FROM {p}_b{u} GROUP BY 1)" for u in range(updates)),
         f"""{p}_w0 AS MATERIALIZED (
   SELECT grp, c, d, 0::DOUBLE AS w, 0::DOUBLE AS m, 0::DOUBLE AS s
   FROM {p}_k CROSS JOIN (SELECT unnest(generate_series(1, {dim + 1})) AS d))""",
     ]
-    for e in range(epochs):
-        rate = 0.5 * lr * (1 + math.cos(math.pi * e / max(1, epochs)))
+    for e in range(epochs * updates):
+        u = e % updates
+        rate = 0.5 * lr * (1 + math.cos(math.pi * e / max(1, epochs * updates)))
         m_fix, s_fix = 1 - 0.9 ** (e + 1), 1 - 0.999 ** (e + 1)
         parts.append(f"""{p}_z{e} AS MATERIALIZED (
   SELECT t.row_id, t.grp, t.y, w.c, sum(w.w * x.v) AS z
-  FROM {p}_tr t JOIN xb x ON t.row_id = x.row_id JOIN {p}_w{e} w ON w.grp = t.grp AND w.d = x.d
+  FROM {p}_b{u} t JOIN xb x ON t.row_id = x.row_id JOIN {p}_w{e} w ON w.grp = t.grp AND w.d = x.d
   GROUP BY ALL)""")
         parts.append(f"""{p}_p{e} AS MATERIALIZED (
   SELECT row_id, grp, y, c, exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY row_id, grp) AS p
   FROM (SELECT *, max(z) OVER (PARTITION BY row_id, grp) AS top FROM {p}_z{e}))""")
         parts.append(f"""{p}_g{e} AS MATERIALIZED (
   SELECT q.grp, q.c, x.d, sum((q.p - CASE WHEN q.c = q.y THEN 1 ELSE 0 END) * x.v) / any_value(n.n) AS g
-  FROM {p}_p{e} q JOIN xb x ON q.row_id = x.row_id JOIN {p}_n n ON n.grp = q.grp
+  FROM {p}_p{e} q JOIN xb x ON q.row_id = x.row_id JOIN {p}_n{u} n ON n.grp = q.grp
   GROUP BY 1, 2, 3)""")
         parts.append(f"""{p}_w{e + 1} AS MATERIALIZED (
   SELECT grp, c, d,
-         w * {1 - rate * wd!r}::DOUBLE - {rate!r}::DOUBLE * (m / {m_fix!r}::DOUBLE)
-           / (sqrt(s / {s_fix!r}::DOUBLE) + 1e-8) AS w, m, s
+         CASE WHEN n IS NULL THEN w
+              ELSE w * {1 - rate * wd!r}::DOUBLE - {rate!r}::DOUBLE * (m / {m_fix!r}::DOUBLE)
+                / (sqrt(s / {s_fix!r}::DOUBLE) + 1e-8) END AS w, m, s
   FROM (
-    SELECT w.grp, w.c, w.d, w.w, 0.9::DOUBLE * w.m + 0.1::DOUBLE * g.g AS m,
-           0.999::DOUBLE * w.s + 0.001::DOUBLE * g.g * g.g AS s
-    FROM {p}_w{e} w JOIN {p}_g{e} g ON w.grp = g.grp AND w.c = g.c AND w.d = g.d))""")
+    SELECT w.grp, w.c, w.d, w.w, n.n,
+           CASE WHEN n.n IS NULL THEN w.m ELSE 0.9::DOUBLE * w.m + 0.1::DOUBLE * coalesce(g.g, 0) END AS m,
+           CASE WHEN n.n IS NULL THEN w.s
+                ELSE 0.999::DOUBLE * w.s + 0.001::DOUBLE * coalesce(g.g, 0) * coalesce(g.g, 0) END AS s
+    FROM {p}_w{e} w LEFT JOIN {p}_n{u} n ON w.grp = n.grp
+    LEFT JOIN {p}_g{e} g ON w.grp = g.grp AND w.c = g.c AND w.d = g.d))""")
     return ",\n".join(parts)
 
 
@@ -278,30 +291,87 @@ f_held AS MATERIALIZED (SELECT row_id, grp, cls AS y, split FROM split WHERE spl
 {held_ranks("f", f"f_w{epochs}", "f_held")}"""
 
 
-def tuned(n_trials: int, seed: int = 42) -> str:
-    """Validation top-1 of router trials; parameters by hash of the trial number."""
-    parts, picks = [], []
+def tuned(n_trials: int, rung: int, default: tuple[float, int], epochs_range: tuple[int, int], seed: int = 42) -> str:
+    """Validation top-1 of router trials, parameters by hash of the trial number; the better
+    half after ``rung`` passes and trial 0, the default, go on."""
+    parts, full, early = [], [], []
+    low, high = epochs_range
     for t in range(n_trials):
         u = {
             name: int(hashlib.md5(f"{seed}|{t}|{name}".encode()).hexdigest()[:8], 16) / 2**32
             for name in ("router_lr", "router_epochs")
         }
-        lr = math.exp(math.log(5e-5) + u["router_lr"] * (math.log(5e-3) - math.log(5e-5)))
-        epochs = 3 + math.floor(u["router_epochs"] * 8)
+        lr = math.exp(math.log(5e-3) + u["router_lr"] * (math.log(0.5) - math.log(5e-3)))
+        epochs = low + math.floor(u["router_epochs"] * (high - low + 1))
+        if t == 0:
+            lr, epochs = default
         parts.append(f"t{t}_tr AS (SELECT * FROM f_tr), t{t}_k AS (SELECT * FROM f_k)")
         parts.append(fit(f"t{t}", epochs, lr))
-        parts.append(held_ranks(f"t{t}", f"t{t}_w{epochs}", "f_val"))
-        picks.append(
-            f"SELECT CAST({t} AS INT) AS trial, CAST({epochs} AS INT) AS router_epochs,"
-            f" round(avg(CASE WHEN rk = 1 THEN 1.0 ELSE 0.0 END), 6) AS score FROM t{t}_rk"
-        )
+        for name, at, picks in ((f"t{t}", epochs, full), (f"t{t}e", min(epochs, rung), early)):
+            parts.append(held_ranks(name, f"t{t}_w{at}", "f_val"))
+            picks.append(
+                f"SELECT CAST({t} AS INT) AS trial, CAST({epochs} AS INT) AS router_epochs,"
+                f" avg(CASE WHEN rk = 1 THEN 1.0 ELSE 0.0 END) AS score FROM {name}_rk"
+            )
     return f"""{TRAINED},
 f_tr AS MATERIALIZED (SELECT row_id, grp, cls AS y FROM split WHERE split = 'train' AND grp = -1),
 f_k AS (SELECT DISTINCT grp, cls AS c FROM roles WHERE grp = -1),
 f_val AS MATERIALIZED (
   SELECT row_id, grp, cls AS y, split FROM split WHERE split IN ('val', 'both') AND grp = -1),
-{", ".join(parts)}
-{" UNION ALL ".join(picks)}"""
+{", ".join(parts)},
+last AS ({" UNION ALL ".join(full)}),
+early AS (SELECT *, row_number() OVER (ORDER BY score DESC, trial) AS place FROM ({" UNION ALL ".join(early)}))
+SELECT trial, last.router_epochs,
+  round(CASE WHEN place <= {math.ceil(0.5 * n_trials)} OR trial = 0 THEN last.score ELSE early.score END, 6) AS score,
+  place <= {math.ceil(0.5 * n_trials)} OR trial = 0 AS finished
+FROM last JOIN early USING (trial)"""
+
+
+def whole_job(epochs: int, updates: int, lr: float = 0.05, slots: int = 1024) -> str:
+    """The training job on documents: tokens to vectors, splits, router and heads, held-out accuracy."""
+    return f"""
+WITH texts AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT doc_id AS row_id, {clean("text")} AS c, lang || '__SEP__' || lang AS label,
+           'grp' || CAST(CAST(replace(source, 'src', '') AS INT) % 4 AS VARCHAR) AS category
+    FROM documents)
+  WHERE trim(c) <> ''),
+{vectors_of("texts", slots)},
+xb AS MATERIALIZED (
+  SELECT row_id, slot + 1 AS d, v FROM entries UNION ALL SELECT row_id, {slots + 1}, 1::DOUBLE FROM texts),
+named AS MATERIALIZED (
+  SELECT row_id, category, label, CAST(dense_rank() OVER (ORDER BY category) - 1 AS INT) AS cat_idx,
+         count(*) OVER (PARTITION BY category, label) AS n
+  FROM texts),
+roles AS (
+  SELECT row_id, -1 AS grp, cat_idx AS cls FROM named
+  UNION ALL
+  SELECT row_id, cat_idx, CAST(dense_rank() OVER (PARTITION BY cat_idx ORDER BY label) - 1 AS INT)
+  FROM named WHERE n >= 2),
+{splits("roles")},
+f_tr AS MATERIALIZED (SELECT row_id, grp, cls AS y FROM split WHERE split = 'train'),
+f_k AS (SELECT DISTINCT grp, cls AS c FROM roles),
+f_held AS MATERIALIZED (SELECT row_id, grp, cls AS y, split FROM split WHERE split <> 'train'),
+{fit("f", epochs, lr, dim=slots, updates=updates)},
+{held_ranks("f", f"f_w{epochs * updates}", "f_held")},
+rates AS (SELECT grp, {four_rates()} FROM f_rk GROUP BY 1)
+SELECT 'docs' AS model_id, n.category, r.val_top1_acc, r.val_top3_acc, r.test_top1_acc, r.test_top3_acc, '' AS note
+FROM rates r LEFT JOIN (SELECT DISTINCT category, cat_idx FROM named) n ON r.grp = n.cat_idx"""
+
+
+def vectors_of(texts: str, slots: int) -> str:
+    """``entries`` (row_id, slot, v) of cleaned texts (row_id, c): unit TF-IDF as float32."""
+    return f"""
+tokens AS (SELECT row_id, unnest(list_filter(string_split(c, ' '), lambda w: w <> '')) AS w FROM {texts}),
+counts AS MATERIALIZED (
+  SELECT row_id, ('0x' || substring(md5(w), 1, 8))::BIGINT % {slots} AS slot, count(*) AS n FROM tokens GROUP BY 1, 2),
+idf AS (
+  SELECT slot, ln(((SELECT count(*) FROM {texts}) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM counts GROUP BY 1),
+scaled AS MATERIALIZED (
+  SELECT * FROM (SELECT row_id, slot, n * idf AS v FROM counts JOIN idf USING (slot)) WHERE v <> 0),
+entries AS MATERIALIZED (
+  SELECT row_id, slot, CAST(CAST(v / norm AS FLOAT) AS DOUBLE) AS v
+  FROM scaled JOIN (SELECT row_id, sqrt(sum(v * v)) AS norm FROM scaled GROUP BY 1) USING (row_id))"""
 
 
 def request_fixture() -> str:
@@ -386,10 +456,10 @@ TRIALS = f"""
 WITH {VECTORS},
 par AS (
   SELECT trial,
-    exp(ln(5e-5) + ('0x' || substring(md5('42|' || trial || '|router_lr'), 1, 8))::BIGINT / 4294967296::DOUBLE
-        * (ln(5e-3) - ln(5e-5))) AS router_lr,
-    CAST(3 + floor(('0x' || substring(md5('42|' || trial || '|router_epochs'), 1, 8))::BIGINT
-        / 4294967296::DOUBLE * 8) AS INT) AS router_epochs
+    CASE WHEN trial = 0 THEN 0.05::DOUBLE ELSE exp(ln(5e-3) + ('0x' || substring(md5('42|' || trial || '|router_lr'), 1, 8))::BIGINT / 4294967296::DOUBLE
+        * (ln(0.5) - ln(5e-3))) END AS router_lr,
+    CASE WHEN trial = 0 THEN CAST(60 AS INT) ELSE CAST(10 + floor(('0x' || substring(md5('42|' || trial || '|router_epochs'), 1, 8))::BIGINT
+        / 4294967296::DOUBLE * 71) AS INT) END AS router_epochs
   FROM (SELECT CAST(unnest(generate_series(0, 11)) AS INT) AS trial)
 ),
 rcen AS (SELECT category AS c, d, avg(v) AS w FROM xl GROUP BY 1, 2),
@@ -507,10 +577,10 @@ SELECT row_id, grp AS category, cls AS label, split FROM two""",
         "sample_rows": f"""WITH {DOCS}
 SELECT row_id FROM tickets ORDER BY md5('42|' || row_id), row_id LIMIT 500""",
         "embed_texts": f"""
-WITH t AS (SELECT doc_id AS row_id, {clean('text')} AS c FROM documents)
-SELECT row_id, CAST(len(list_filter(string_split(c, ' '), lambda w: w <> '')) AS DOUBLE) AS n_tokens,
-  CAST(1024 AS INT) AS dim, CASE WHEN trim(c) = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS norm
-FROM t""",
+WITH texts AS MATERIALIZED (SELECT doc_id AS row_id, {clean('text')} AS c FROM documents),
+{vectors_of("texts", 1024)}
+SELECT row_id, CAST(slot AS INT) AS slot, round(v, 5) AS value FROM entries WHERE v <> 0""",
+        "fit_hierarchy": whole_job(4, 4),
         "linear_scores": f"""WITH {VECTORS},{CENTROIDS}
 SELECT row_id, CAST(c AS INT) AS class_idx, round(z, 6) AS score FROM z""",
         "softmax_proba": f"""WITH {VECTORS},{CENTROIDS}
@@ -543,6 +613,12 @@ r_k AS (SELECT DISTINCT grp, y AS c FROM r_tr),
 {fit("r", 3, 0.05)}
 SELECT CAST(grp AS INT) AS model, CAST(c AS INT) AS class_idx, CAST(d - 1 AS INT) AS dim, round(w, 6) AS weight
 FROM r_w3""",
+        "softmax_fit_blocks": f"""WITH {VECTORS}, {XB},
+r_tr AS (SELECT row_id, -1 AS grp, category AS y FROM vec),
+r_k AS (SELECT DISTINCT grp, y AS c FROM r_tr),
+{fit("r", 2, 0.05, updates=3)}
+SELECT CAST(grp AS INT) AS model, CAST(c AS INT) AS class_idx, CAST(d - 1 AS INT) AS dim, round(w, 6) AS weight
+FROM r_w6""",
         "train_router": f"""{trained("router", 5, 0.05)}
 SELECT {four_rates()} FROM f_rk""",
         "train_heads": f"""{trained("heads", 4, 0.05)}
@@ -553,7 +629,7 @@ SELECT 'vectors' AS model_id,
   (SELECT string_agg('c' || category, '|' ORDER BY category) FROM (SELECT DISTINCT category FROM vec)) AS kept_categories,
   (SELECT string_agg('c' || category, '|' ORDER BY category) FROM (SELECT DISTINCT category FROM vec)) AS heads_saved
 FROM f_rk""",
-        "tune_router": tuned(2),
+        "tune_router": tuned(5, 2, (0.05, 4), (2, 6)),
         "score_requests": f"""
 WITH v AS ({validate()}),
 k AS (SELECT count(DISTINCT CAST(replace(source, 'src', '') AS INT) % 4) AS n FROM documents)

@@ -11,10 +11,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelway.config import UNIQUE_RULE, HierConfig
 from labelway.functions.labels import compose_label, is_good_grade, or_nan, split_label
@@ -91,7 +90,8 @@ class TrainingSet:
 
 
 def build_training_set(rows: DataFrame, x: Column, dim: int, cfg: HierConfig) -> TrainingSet:
-    """``rows`` has row_id, category, label and whatever ``x`` needs.
+    """``rows`` has row_id, category, label and whatever ``x`` needs: a dense array, or
+    a sparse ``struct<indices,values>``, of which a row stores 8 bytes an entry.
 
     Label columns are joined from small dictionaries, so no row moves before
     the one exchange that lays out the training table.
@@ -138,6 +138,8 @@ def build_training_set(rows: DataFrame, x: Column, dim: int, cfg: HierConfig) ->
     inside = F.pmod(F.xxhash64("row_id"), F.lit(1 << 20)) / float(1 << 20)
     part = F.floor((F.col("before") + inside * F.col("cat_rows")) * parts / max(total, 1)).cast("int")
     column = sampling.split_column
+    sparse = isinstance(rows.select(x.alias("x")).schema["x"].dataType, T.StructType)
+    packed = linear.pack_sparse(x) if sparse else linear.pack_vectors(x)
     table = (
         split.select(
             "row_id",
@@ -145,7 +147,7 @@ def build_training_set(rows: DataFrame, x: Column, dim: int, cfg: HierConfig) ->
             "head_idx",
             column("row_id", cfg.seed, F.col("cat_idx"), F.col("router_cuts")).alias("router_split"),
             column("row_id", cfg.seed, F.col("head_idx"), F.col("head_cuts")).alias("head_split"),
-            linear.pack_vectors(x).alias("x"),
+            packed.alias("x"),
             F.least(part, F.lit(parts - 1)).alias("__part"),
         )
         .repartitionById(parts, F.col("__part"))
@@ -160,19 +162,18 @@ def router_task(data: TrainingSet, name: str, epochs: int, lr: float, wd: float)
     return linear.LinearTask(name, "y_router", data.router_classes(), None, epochs, lr, wd)
 
 
-def train_rows(data: TrainingSet) -> DataFrame:
+def train_rows(data: TrainingSet, updates: int = 1) -> DataFrame:
     return data.rows.select(
         "x",
         "cat_idx",
         F.when(F.col("router_split") == "train", F.col("cat_idx")).alias("y_router"),
         F.when(F.col("head_split") == "train", F.col("head_idx")).alias("y_head"),
+        linear.row_block(F.col("row_id"), updates).alias("block"),
     ).where("y_router is not null or y_head is not null")
 
 
-def fit_weights(
-    data: TrainingSet, cfg: HierConfig, router: bool = True, heads: bool = True
-) -> dict[tuple[str, int], linear.Weights]:
-    """Router and heads in the same passes."""
+def fit_weights(data: TrainingSet, cfg: HierConfig, router: bool = True, heads: bool = True) -> linear.Fitted:
+    """Router and heads in the same passes, ``cfg.updates`` steps in each."""
     tasks = []
     if router:
         tasks.append(router_task(data, "router", cfg.router_epochs, cfg.router_lr, cfg.weight_decay))
@@ -183,59 +184,52 @@ def fit_weights(
                 "heads", "y_head", sizes, "cat_idx", cfg.head_epochs, cfg.head_lr, cfg.weight_decay
             )
         )
-    return linear.softmax_fit(train_rows(data), "x", data.dim, tasks)
+    rows = train_rows(data, cfg.updates)
+    return linear.softmax_fit(rows, "x", data.dim, tasks, cfg.updates, "block", cfg.tolerance)
 
 
-def router_hits(data: TrainingSet, weights: dict[tuple[str, int], linear.Weights]) -> DataFrame:
+def _hits(rows: DataFrame, fitted: linear.Fitted, name: str, label: str, group: str | None) -> DataFrame:
+    """``rows`` with hit1 and hitk (3); a family that fits one broadcast gives whole
+    probabilities, a larger one its best classes, merged over blocks."""
+    if fitted.nbytes(name) <= linear.MODEL_BYTES:
+        own = {grp: w for (_, grp), w in fitted.load(name).items()}
+        return metrics.with_hits(linear.softmax_proba(rows, own, group), "proba", label)
+    best = linear.best_classes(rows, fitted, name, group, 3)
+    right = lambda b: b["class_idx"] == F.col(label)
+    return best.withColumn("hit1", right(F.col("best")[0])).withColumn("hitk", F.exists("best", right))
+
+
+def router_hits(data: TrainingSet, fitted: linear.Fitted) -> DataFrame:
     held = data.rows.where("router_split <> 'train'").select("x", "cat_idx", F.col("router_split").alias("split"))
-    scored = linear.softmax_proba(held, {0: weights[("router", 0)]})
-    return metrics.with_hits(scored, "proba", "cat_idx").select(
+    return _hits(held, fitted, "router", "cat_idx", None).select(
         F.lit(None).cast("int").alias("cat_idx"), "split", "hit1", "hitk"
     )
 
 
-def head_hits(data: TrainingSet, weights: dict[tuple[str, int], linear.Weights]) -> DataFrame:
+def head_hits(data: TrainingSet, fitted: linear.Fitted) -> DataFrame:
     held = data.rows.where("head_split <> 'train'").select(
         "x", "cat_idx", "head_idx", F.col("head_split").alias("split")
     )
-    own = {grp: w for (name, grp), w in weights.items() if name == "heads"}
-    scored = linear.softmax_proba(held, own, "cat_idx")
-    return metrics.with_hits(scored, "proba", "head_idx").select("cat_idx", "split", "hit1", "hitk")
+    return _hits(held, fitted, "heads", "head_idx", "cat_idx").select("cat_idx", "split", "hit1", "hitk")
 
 
-def evaluate(data: TrainingSet, weights: dict[tuple[str, int], linear.Weights]) -> DataFrame:
+def evaluate(data: TrainingSet, fitted: linear.Fitted) -> DataFrame:
     """(cat_idx, four accuracies): null for the router, one row per trained head."""
-    hits = router_hits(data, weights)
-    if any(name == "heads" for name, _ in weights):
-        hits = hits.unionByName(head_hits(data, weights))
+    hits = router_hits(data, fitted)
+    if any(name == "heads" for name, _ in fitted.classes):
+        hits = hits.unionByName(head_hits(data, fitted))
     return metrics.head_stats(hits, ["cat_idx"])
 
 
-def weights_frame(spark, weights: dict[tuple[str, int], linear.Weights]) -> DataFrame:
-    """Weights as rows; as many as there are classes."""
-    grp, cls, flat, bias = [], [], [], []
-    for (name, g), (w, b) in sorted(weights.items()):
-        grp += [None if name == "router" else g] * len(b)
-        cls += range(len(b))
-        flat.append(w)
-        bias.append(b)
-    rows = np.concatenate(flat)
-    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
-    return spark.createDataFrame(
-        pa.table(
-            {
-                "cat_idx": pa.array(grp, pa.int32()),
-                "class_idx": pa.array(cls, pa.int32()),
-                "weights": pa.ListArray.from_arrays(offsets, rows.reshape(-1)),
-                "bias": pa.array(np.concatenate(bias)),
-            }
-        )
-    )
+def weights_frame(fitted: linear.Fitted) -> DataFrame:
+    """Weights as rows, one per class; ``cat_idx`` is null for the router."""
+    cat_idx = F.when(F.col("name") != "router", F.col("grp")).alias("cat_idx")
+    return fitted.rows.select(cat_idx, "class_idx", "weights", "bias")
 
 
 def model_tables(
     data: TrainingSet,
-    weights: dict[tuple[str, int], linear.Weights],
+    fitted: linear.Fitted,
     cfg: HierConfig,
     encoder,
 ) -> ModelTables:
@@ -248,8 +242,8 @@ def model_tables(
     single = data.plan.where("kind = 'single'").select(
         model_id, "category", F.lit(0).alias("class_idx"), zero.alias("weights"), F.lit(0.0).alias("bias")
     )
-    fitted = (
-        weights_frame(spark, weights)
+    weights = (
+        weights_frame(fitted)
         .join(names, "cat_idx", "left")
         .select(model_id, "category", "class_idx", "weights", "bias")
     )
@@ -265,7 +259,7 @@ def model_tables(
         sub.alias("subissue_unique"), "cnt", "only_label",
     )
     stats = (
-        evaluate(data, weights)
+        evaluate(data, fitted)
         .join(names, "cat_idx", "left")
         .select(
             model_id, "category", "val_top1_acc", "val_top3_acc", "test_top1_acc", "test_top3_acc",
@@ -290,7 +284,7 @@ def model_tables(
         F.lit(UNIQUE_RULE).alias("subissue_unique_rule"),
     )
     return ModelTables(
-        stage_table(fitted.unionByName(single), "weights"),
+        stage_table(weights.unionByName(single), "weights"),
         router_classes.unionByName(head_classes),
         stage_table(stats.unionByName(single_stats), "stats"),
         mapping,
@@ -336,10 +330,14 @@ def train_summary(tables: ModelTables) -> DataFrame:
 
 
 def embed_rows(prepared: DataFrame, cfg: HierConfig, encoder=None):
-    """(encoder, rows with ``x``); the default encoder is fitted on the rows."""
+    """(encoder, rows with ``x``); the default encoder is fitted on the rows.
+
+    ``x`` is sparse if the encoder can give it so.
+    """
     if encoder is None:
         encoder = HashedTfIdf.fit(prepared, "text", cfg.features)
-    return encoder, encoder.encode(prepared, "text", "x")
+    encode = getattr(encoder, "encode_sparse", encoder.encode)
+    return encoder, encode(prepared, "text", "x")
 
 
 def fit_hierarchy(rows: DataFrame, cfg: HierConfig, encoder=None) -> ModelTables:

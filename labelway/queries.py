@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -245,16 +244,10 @@ def q_embed_texts(spark, sf):
         F.col("doc_id").alias("row_id"), clean_text(F.col("text")).alias("text")
     )
     encoder = HashedTfIdf.fit(docs, "text", 1024)
-    counted = HashedTfIdf.token_counts(docs, "text", 1024).drop("__tokens")
-    encoded = encoder.encode(counted.withColumnRenamed("__tf", "tf"), "text", "x")
-    add = lambda a, v: a + v
-    squares = F.transform("x", lambda v: v.cast("double") * v)
-    return encoded.select(
-        "row_id",
-        F.aggregate(vector_to_array("tf"), F.lit(0.0), add).alias("n_tokens"),
-        F.size("x").alias("dim"),
-        F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), add)), 5).alias("norm"),
+    entries = encoder.encode_sparse(docs, "text", "x").select(
+        "row_id", F.inline(F.arrays_zip(F.col("x.indices").alias("slot"), F.col("x.values").alias("value")))
     )
+    return entries.select("row_id", "slot", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 def _long(df: DataFrame, array: str, name: str) -> DataFrame:
@@ -317,7 +310,10 @@ def q_head_stats(spark, sf):
     router = linear.centroid_weights(train.where("router_split = 'train'"), "cat_idx")
     heads = linear.centroid_weights(train.where("head_split = 'train'"), "head_idx", "cat_idx")
     weights = {("router", 0): router[0], **{("heads", g): w for g, w in heads.items()}}
-    return hierarchy.evaluate(data, weights).select(
+    fitted = linear.Fitted(
+        linear.weights_rows(spark, weights), 64, {key: len(b) for key, (_, b) in weights.items()}
+    )
+    return hierarchy.evaluate(data, fitted).select(
         F.coalesce("cat_idx", F.lit(-1)).alias("model"),
         *["val_top1_acc", "val_top3_acc", "test_top1_acc", "test_top3_acc"],
     )
@@ -391,9 +387,8 @@ def q_softmax_gradient_step(spark, sf):
     return grad.select("class_idx", "dim", F.round(F.col("g") / F.col("n"), 9).alias("grad"))
 
 
-def _weights_long(spark, weights: dict) -> DataFrame:
-    frame = hierarchy.weights_frame(spark, weights)
-    return frame.select(
+def _weights_long(fitted: linear.Fitted) -> DataFrame:
+    return hierarchy.weights_frame(fitted).select(
         F.coalesce("cat_idx", F.lit(-1)).alias("model"),
         "class_idx",
         F.posexplode(F.concat("weights", F.array("bias"))).alias("dim", "weight"),
@@ -413,7 +408,21 @@ def q_softmax_fit(spark, sf):
         linear.LinearTask("router", "category", {0: len(groups)}, epochs=3),
         linear.LinearTask("heads", "sub", dict.fromkeys(groups, 2), "category", epochs=3),
     ]
-    return _weights_long(spark, linear.softmax_fit(rows, "x", 64, tasks))
+    return _weights_long(linear.softmax_fit(rows, "x", 64, tasks))
+
+
+@query
+def q_softmax_fit_blocks(spark, sf):
+    """Three steps in each of two passes, on fixed blocks of rows."""
+    rows = stage_table(
+        fixtures.vectors(spark, sf).select(
+            linear.pack_vectors(F.col("x")).alias("x"), "category", linear.row_block(F.col("row_id"), 3).alias("block")
+        ),
+        "packed",
+    )
+    n = rows.select("category").distinct().count()
+    task = linear.LinearTask("router", "category", {0: n}, epochs=2)
+    return _weights_long(linear.softmax_fit(rows, "x", 64, [task], 3, "block"))
 
 
 @query
@@ -455,9 +464,11 @@ def q_best_trial(spark, sf):
 
 @query
 def q_tune_router(spark, sf):
-    """Two trials of the router trained in the same passes."""
-    trials = tune.run_trials(_vector_set(spark, sf), HierConfig(), 2)
-    return trials.select("trial", "router_epochs", F.round("score", 6).alias("score"))
+    """Five trials of the router in the same passes; after two of them the better half goes on."""
+    cfg = HierConfig(router_epochs=4)
+    space = tune.TuneSpace(epochs_low=2, epochs_high=6)
+    trials = tune.run_trials(_vector_set(spark, sf), cfg, 5, space=space, rungs=(2,))
+    return trials.select("trial", "router_epochs", F.round("score", 6).alias("score"), "finished")
 
 
 @query
@@ -475,7 +486,8 @@ def q_train_summary(spark, sf):
 
 @query
 def q_fit_hierarchy(spark, sf):
-    cfg = HierConfig(model_id="docs", router_epochs=15, head_epochs=15)
+    """Four passes of four steps each."""
+    cfg = HierConfig(model_id="docs", router_epochs=4, head_epochs=4, updates=4)
     return hierarchy.fit_hierarchy(fixtures.tickets_heads(spark, sf), cfg).stats
 
 

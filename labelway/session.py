@@ -88,6 +88,12 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the scratch folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """Size the optimizer expects for ``df``; exact for a staged table."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -109,6 +115,4 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes the intermediate tables of this application, for when its
     results are saved. DataFrames that read them can no longer run."""
-    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_table(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")

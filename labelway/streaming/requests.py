@@ -61,10 +61,8 @@ def score_requests(
         encoder = encoder_of(family[0], encoders)
         mine = F.col("model_id").isin([m.model_id for m in family])
         df = encoder.encode(df, "__text", "__vec").withColumn("__x", F.when(mine, F.col("__vec")))
-        df = hier_predict(df, family, "__x", out="__found")
-        df = df.withColumn("predictions", F.coalesce("__found", "predictions")).drop(
-            "__vec", "__x", "__found"
-        )
+        df = hier_predict(df, family, "__x", out="__found", drop=("__vec", "__x"))
+        df = df.withColumn("predictions", F.coalesce("__found", "predictions")).drop("__found")
     names = F.create_map(*[F.lit(v) for m in models for v in (m.model_id, m.encoder_id)]).cast("map<string,string>")
     answer = F.struct(
         F.col("model_id").alias("art_dir"),

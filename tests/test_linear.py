@@ -52,7 +52,7 @@ def test_all_groups_in_shared_passes(data):
         linear.LinearTask("all", "y", {0: 6}, None, epochs=6, lr=0.05),
         linear.LinearTask("each", "y", sizes, "grp", epochs=4, lr=0.1, weight_decay=1e-2),
     ]
-    fitted = linear.softmax_fit(packed(df), "x", DIM, tasks)
+    fitted = linear.softmax_fit(packed(df), "x", DIM, tasks).load()
     assert len(fitted) == 6
     for key, (w, b) in fitted.items():
         mine = grp == key[1] if key[0] == "each" else np.full(len(grp), True)
@@ -68,22 +68,122 @@ def test_waves_and_two_stage_sums_change_nothing(data, monkeypatch):
         linear.LinearTask("all", "y", {0: 6}, None, epochs=2),
         linear.LinearTask("each", "y", sizes, "grp", epochs=3),
     ]
-    want = linear.softmax_fit(packed(df), "x", DIM, tasks)
+    want = linear.softmax_fit(packed(df), "x", DIM, tasks).load()
     monkeypatch.setattr(linear, "MODEL_BYTES", 6 * (DIM + 1) * 8)
-    assert len(linear._waves(tasks, DIM)) > 2
     monkeypatch.setattr(linear, "FAN_IN_PARTS", 2)
-    got = linear.softmax_fit(packed(df), "x", DIM, tasks)
+    got = linear.softmax_fit(packed(df), "x", DIM, tasks).load()
     assert got.keys() == want.keys()
     for key in want:
         np.testing.assert_allclose(got[key][0], want[key][0], atol=1e-12)
-    with pytest.raises(ValueError, match="exceeds"):
-        linear.softmax_fit(packed(df), "x", DIM, [linear.LinearTask("big", "y", {0: 7})])
+
+
+@pytest.mark.parametrize("classes", [1, 4])
+@pytest.mark.parametrize("updates", [1, 2])
+def test_model_larger_than_a_block_of_weights(data, monkeypatch, classes, updates):
+    """Class blocks that exchange log-normalisers train the same weights."""
+    df, _, _, _, sizes = data
+    df = packed(df).withColumn("block", linear.row_block(F.col("row_id"), updates))
+    tasks = [
+        linear.LinearTask("all", "y", {0: 6}, None, epochs=2),
+        linear.LinearTask("each", "y", {g: sizes[g] for g in (0, 4)}, "grp", epochs=2),
+    ]
+    want = linear.softmax_fit(df, "x", DIM, tasks, updates, "block").load()
+    held = []
+    context = type(df.sparkSession.sparkContext)
+    real = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: held.append(value) or real(self, value))
+    monkeypatch.setattr(linear, "MODEL_BYTES", classes * (DIM + 1) * 8)
+    fitted = linear.softmax_fit(df, "x", DIM, tasks, updates, "block")
+    monkeypatch.undo()
+    arrays = [w for v in held for w in (v.values() if isinstance(v, dict) else [v])]
+    assert arrays and max(w.nbytes for w in arrays) <= classes * (DIM + 1) * 8
+    got = fitted.load()
+    assert got.keys() == want.keys() and fitted.classes == {("all", 0): 6, ("each", 0): 2, ("each", 4): 6}
+    for key in want:
+        np.testing.assert_allclose(got[key][0], want[key][0], atol=1e-10)
+        np.testing.assert_allclose(got[key][1], want[key][1], atol=1e-10)
+
+
+def test_best_classes_of_a_large_family(data, monkeypatch):
+    df, _, _, _, sizes = data
+    rng = np.random.default_rng(6)
+    weights = {("f", g): (rng.normal(size=(k, DIM)), rng.normal(size=k)) for g, k in sizes.items()}
+    spark = df.sparkSession
+    fitted = linear.Fitted(linear.weights_rows(spark, weights), DIM, {key: len(b) for key, (_, b) in weights.items()})
+    want = linear.softmax_proba(df, {g: w for (_, g), w in weights.items()}, "grp")
+    want = {r["row_id"]: r["p"] for r in want.select("row_id", top_classes(F.col("proba"), 3).alias("p")).collect()}
+    monkeypatch.setattr(linear, "MODEL_BYTES", 4 * (DIM + 1) * 8)
+    got = linear.best_classes(df, fitted, "f", "grp", 3).collect()
+    assert len(got) == 600
+    for r in got:
+        assert [b["class_idx"] for b in r["best"]] == [b["class_idx"] for b in want[r["row_id"]]]
+        np.testing.assert_allclose([b["proba"] for b in r["best"]], [b["proba"] for b in want[r["row_id"]]], rtol=1e-9)
+
+
+def sparse(df):
+    """The same vectors with zeros, sparse and dense."""
+    kept = F.transform("x", lambda v, i: F.when((i + F.col("row_id")) % 3 == 0, v).otherwise(0.0))
+    df = df.withColumn("x", kept)
+    entries = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e["v"] != 0)
+    pair = F.struct(entries["i"].alias("indices"), entries["v"].cast("array<float>").alias("values"))
+    return df.withColumn("s", pair)
+
+
+def test_sparse_rows_train_and_score_the_same(data):
+    df, _, _, _, sizes = data
+    df = sparse(df)
+    tasks = [
+        linear.LinearTask("all", "y", {0: 6}, None, epochs=3),
+        linear.LinearTask("each", "y", sizes, "grp", epochs=3),
+    ]
+    want = linear.softmax_fit(packed(df.drop("s")), "x", DIM, tasks).load()
+    rows = df.withColumn("x", linear.pack_sparse(F.col("s")))
+    got = linear.softmax_fit(rows, "x", DIM, tasks).load()
+    for key in want:
+        np.testing.assert_allclose(got[key][0], want[key][0], atol=1e-10)
+    weights = {g: want["each", g] for g in sizes}
+    a = {r["row_id"]: r["proba"] for r in linear.softmax_proba(packed(df.drop("s")), weights, "grp").collect()}
+    b = {r["row_id"]: r["proba"] for r in linear.softmax_proba(rows, weights, "grp").collect()}
+    for k in a:
+        np.testing.assert_allclose(a[k], b[k], atol=1e-9)
+
+
+def test_bytes_of_a_sparse_row(spark):
+    entries = [([3, 70, 900], [0.5, 0.25, 2.0]), ([], []), (None, None)]
+    df = spark.createDataFrame([(e if e[0] is not None else None,) for e in entries], "s struct<indices:array<int>,values:array<float>>")
+    rows = df.select(linear.pack_sparse(F.col("s")).alias("p")).collect()
+    assert [r["p"] and len(r["p"]["i"]) + len(r["p"]["v"]) for r in rows] == [24, 0, None]
+    assert np.frombuffer(rows[0]["p"]["i"], "<i4").tolist() == [3, 70, 900]
+
+
+def test_steps_on_row_blocks_need_fewer_passes(data):
+    df, _, y, x, _ = data
+    blocks = packed(df).withColumn("block", linear.row_block(F.col("row_id"), 4))
+
+    def accuracy(fitted):
+        w, b = fitted.load()["t", 0]
+        return ((x @ w.T + b).argmax(axis=1) == y).mean()
+
+    whole = accuracy(linear.softmax_fit(blocks, "x", DIM, [linear.LinearTask("t", "y", {0: 6}, epochs=20, lr=0.1)]))
+    some = accuracy(linear.softmax_fit(blocks, "x", DIM, [linear.LinearTask("t", "y", {0: 6}, epochs=5, lr=0.1)], 4, "block"))
+    few = accuracy(linear.softmax_fit(blocks, "x", DIM, [linear.LinearTask("t", "y", {0: 6}, epochs=5, lr=0.1)]))
+    assert some >= whole - 0.02 > few
+
+
+def test_stops_when_converged(data, monkeypatch):
+    df, *_ = data
+    passes = []
+    real = linear.gradient_sums
+    monkeypatch.setattr(linear, "gradient_sums", lambda *a: passes.append(1) or real(*a))
+    task = linear.LinearTask("t", "y", {0: 6}, epochs=40, lr=0.1)
+    linear.softmax_fit(packed(df), "x", DIM, [task], tolerance=0.05)
+    assert 3 < len(passes) < 20
 
 
 def test_null_labels_do_not_train(data):
     df, _, y, x, _ = data
     half = df.withColumn("y", F.when(F.col("row_id") < 300, F.col("y")))
-    w, _ = linear.softmax_fit(packed(half), "x", DIM, [linear.LinearTask("t", "y", {0: 6}, epochs=3)])[("t", 0)]
+    w, _ = linear.softmax_fit(packed(half), "x", DIM, [linear.LinearTask("t", "y", {0: 6}, epochs=3)]).load()[("t", 0)]
     np.testing.assert_allclose(w, brute_fit(x[:300], y[:300], 6, 3, 0.05)[0], atol=1e-10)
 
 
@@ -150,7 +250,7 @@ def test_converges_to_the_mllib_optimum(spark):
     rows = [(int(c), v.tolist()) for c, v in zip(y, x)]
     df = spark.createDataFrame(rows, "y int, x array<double>").repartition(4).cache()
     task = linear.LinearTask("t", "y", {0: 3}, epochs=80, lr=0.1, weight_decay=0.0)
-    w, b = linear.softmax_fit(packed(df), "x", DIM, [task])[("t", 0)]
+    w, b = linear.softmax_fit(packed(df), "x", DIM, [task]).load()[("t", 0)]
     vec = df.select(array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label"))
     model = LogisticRegression(family="multinomial", maxIter=200).fit(vec)
     theirs = x @ model.coefficientMatrix.toArray().T + model.interceptVector.toArray()

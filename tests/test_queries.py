@@ -8,8 +8,6 @@ import __spark_entry__ as entry
 from check import compare, duck
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-# trained in full by the tests of the training job
-SLOW = {"fit_hierarchy", "score_requests", "tune_router", "train_summary"}
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +19,6 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n not in SLOW])
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query(spark, con, name):
     assert compare(spark, con, name, SF_DIR).startswith("ok")

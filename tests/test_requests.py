@@ -1,3 +1,4 @@
+import hashlib
 import json
 from pathlib import Path
 
@@ -340,20 +341,25 @@ def test_plugin_encoder(spark, models):
 
 
 def test_hashed_tfidf(spark):
-    from pyspark.ml.feature import HashingTF
-
-    texts = ["a b a", "b c", " ", "a d e f"]
+    texts = ["a b a", "b c", " ", "a d e f", "", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id int, text string")
     encoder = HashedTfIdf.fit(df, "text", 64)
-    slot = HashingTF(numFeatures=64).indexOf
-    tf = np.zeros((4, 64))
+    tf = np.zeros((6, 64))
     for i, t in enumerate(texts):
-        for token in t.split():
-            tf[i, slot(token)] += 1
-    idf = np.log(5 / ((tf > 0).sum(axis=0) + 1))
+        for token in (t or "").split():
+            tf[i, int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % 64] += 1
+    idf = np.log(7 / ((tf > 0).sum(axis=0) + 1))
+    np.testing.assert_allclose(encoder.weights, idf)
     want = tf * idf
     norm = np.linalg.norm(want, axis=1, keepdims=True)
     want = want / np.where(norm == 0, 1, norm)
-    got = {r["row_id"]: r["x"] for r in encoder.encode(df, "text", "x").collect()}
-    for i in range(4):
-        np.testing.assert_allclose(got[i], want[i], atol=1e-6)
+    rows = encoder.encode_sparse(encoder.encode(df, "text", "x"), "text", "s").collect()
+    for r in rows:
+        if texts[r["row_id"]] is None:
+            assert r["x"] is None and r["s"] is None
+            continue
+        np.testing.assert_allclose(r["x"], want[r["row_id"]], atol=1e-6)
+        dense = np.zeros(64)
+        dense[r["s"]["indices"]] = r["s"]["values"]
+        np.testing.assert_allclose(dense, want[r["row_id"]], atol=1e-6)
+        assert r["s"]["indices"] == sorted(set(r["s"]["indices"]))
