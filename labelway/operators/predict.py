@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,14 +100,15 @@ def hier_predict(
     # functions whose arguments hold lambdas, as encoders do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = [batch.column(c) for c in (x_col, model_col, k_cat, k_sub)]
+            asked = [batch.column(c) for c in (x_col, model_col, "__kc", "__ks")]
             found = _predict_batch(shared.value, *asked)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), found], [*keep, out])
 
     kept = df.select(*keep).schema.fields
     predicted = T.StructField(out, T.DataType.fromDDL(PREDICTIONS_TYPE))
-    needed = dict.fromkeys([*keep, x_col, model_col, k_cat, k_sub])
-    return df.select(*needed).mapInArrow(run, T.StructType([*kept, predicted]))
+    needed = dict.fromkeys([*keep, x_col, model_col])
+    limits = [_at_least_one(c, name) for c, name in ((k_cat, "__kc"), (k_sub, "__ks"))]
+    return df.select(*needed, *limits).mapInArrow(run, T.StructType([*kept, predicted]))
 
 
 def _predict_batch(models: dict[str, HierModel], x: pa.Array, model_id: pa.Array, kc: pa.Array, ks: pa.Array) -> pa.Array:
@@ -115,8 +116,7 @@ def _predict_batch(models: dict[str, HierModel], x: pa.Array, model_id: pa.Array
     code = {v: i for i, v in enumerate(names.dictionary.to_pylist())}
     ids = names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
     has_x = x.is_valid().to_numpy(zero_copy_only=False)
-    want_c = kc.cast(pa.int64()).fill_null(1).to_numpy(zero_copy_only=False)
-    want_s = ks.cast(pa.int64()).fill_null(1).to_numpy(zero_copy_only=False)
+    want_c, want_s = (k.fill_null(1).to_numpy(zero_copy_only=False) for k in (kc, ks))
     found, picks = [], []
     for name, model in models.items():
         pick = np.flatnonzero(has_x & (ids == code.get(name, -2)))
@@ -151,8 +151,9 @@ def _scored_by(rows: DataFrame, x_col: str, blocks: list[list[ClassRange]], mode
     return found
 
 
-def _at_least_one(k: str):
-    return F.least(F.greatest(F.coalesce(F.col(k).cast("long"), F.lit(1)), F.lit(1)), F.lit(1 << 30)).alias("__k")
+def _at_least_one(k: str, name: str = "__k") -> Column:
+    """A limit as a small number: no head has 2^30 classes."""
+    return F.least(F.greatest(F.coalesce(F.col(k), F.lit(1)), F.lit(1)), F.lit(1 << 30)).cast("long").alias(name)
 
 
 def predict_by_blocks(

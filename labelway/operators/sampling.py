@@ -17,6 +17,8 @@ from labelway.session import stage_table
 
 # Aim for the rows of one bucket; prefixes grow with the size of the group.
 BUCKET_ROWS = 1 << 16
+# Hash digits counted at a time.
+LEVEL_DIGITS = 3
 
 
 def rank_hash(id_col: str, seed: int | str) -> Column:
@@ -41,33 +43,45 @@ def hash_cuts(
 
     ``quotas`` has the group columns (not null), the group's rows ``cnt`` and
     ``quota``; groups with quota 0 or with fewer rows than that have no cut.
+
+    The cut is found digit by digit: a level counts the rows by their next ``LEVEL_DIGITS``
+    digits, at most 16 ** LEVEL_DIGITS counts a group, and goes on inside the one prefix in which
+    the quota lies, until that has about ``bucket_rows`` rows to be ranked.
     """
     digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("cnt") / bucket_rows))).cast("int")
-    table = quotas.where("quota > 0").select(
-        *groups, "cnt", F.col("cnt").alias("__rows"), "quota", digits.alias("__digits")
-    )
+    state = quotas.where("quota > 0").select(
+        *groups, "cnt", F.col("cnt").alias("__rows"), F.col("quota").alias("__need"),
+        F.lit("").alias("__prefix"), digits.alias("__digits"),
+    )
+    deepest = state.agg(F.max("__digits")).first()[0] or 0
     keyed = rows.select(*groups, rank_hash(id_col, seed).alias("__h"), F.col(id_col).alias("__id"))
-    keyed = attach(keyed, table, groups, "cnt", ["__id"], how="inner").withColumn(
-        "__p", F.substr("__h", F.lit(1), F.col("__digits"))
-    )
-    histogram = keyed.groupBy(*groups, "__p", "quota", "__rows").agg(F.count(F.lit(1)).alias("__n"))
-    # about cnt / bucket_rows rows per group
-    running = Window.partitionBy(*groups).orderBy("__p")
-    upto = histogram.withColumn("__upto", F.sum("__n").over(running))
-    before = F.col("__upto") - F.col("__n")
-    crossing = stage_table(
-        upto.where((F.col("__upto") >= F.col("quota")) & (before < F.col("quota"))).select(
-            *groups,
-            F.col("__rows").alias("cnt"),
-            F.col("__p").alias("__cross"),
-            (F.col("quota") - before).alias("__need"),
-        ),
-        "crossing",
-    )
-    inside = attach(keyed, crossing, groups, "cnt", ["__id"], how="inner").where("__p = __cross")
+
+    def inside(state: DataFrame) -> DataFrame:
+        found = attach(keyed, state, groups, "cnt", ["__id"], how="inner")
+        return found.where(F.startswith("__h", "__prefix"))
+
+    for level in range(max(1, -(-deepest // LEVEL_DIGITS))):
+        taken = F.least(F.col("__digits"), F.lit(LEVEL_DIGITS * (level + 1)))
+        histogram = (
+            inside(state)
+            .groupBy(*groups, F.substr("__h", F.lit(1), taken).alias("__p"), "__need", "__rows", "__digits")
+            .agg(F.count(F.lit(1)).alias("__n"))
+        )
+        running = Window.partitionBy(*groups).orderBy("__p")
+        upto = histogram.withColumn("__upto", F.sum("__n").over(running))
+        before = F.col("__upto") - F.col("__n")
+        crossing = upto.where((F.col("__upto") >= F.col("__need")) & (before < F.col("__need")))
+        state = stage_table(
+            crossing.select(
+                *groups, F.col("__rows").alias("cnt"), "__rows", (F.col("__need") - before).alias("__need"),
+                F.col("__p").alias("__prefix"), "__digits",
+            ),
+            "crossing",
+        )
     ranked = Window.partitionBy(*groups).orderBy("__h", "__id")
     return (
-        inside.withColumn("__rank", F.row_number().over(ranked))
+        inside(state)
+        .withColumn("__rank", F.row_number().over(ranked))
         .where(F.col("__rank") == F.col("__need"))
         .select(*groups, F.col("__h").alias("cut_hash"), F.col("__id").alias("cut_id"))
     )

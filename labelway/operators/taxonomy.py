@@ -37,19 +37,27 @@ def ambiguous_labels(rows: DataFrame, issue: str, sub: str) -> DataFrame:
 
 
 def _unique_names(cells: DataFrame, cfg: HierConfig) -> DataFrame:
-    """Adds ``subissue_unique`` and ``suffixed`` to cells."""
-    names = ambiguous_labels(cells, cfg.issue_col, cfg.sub_col).select(
-        F.col(cfg.sub_col).alias("__name"), F.lit(True).alias("__amb")
+    """Adds ``subissue_unique`` and ``suffixed`` to cells.
+
+    A name is ambiguous if its least and greatest issue differ, which tasks find out
+    before the shuffle. The cells look the answer up, those of a name with very many in salts.
+    """
+    issue, name = F.col(cfg.issue_col), F.col(cfg.sub_col)
+    names = (
+        cells.where(name.isNotNull())
+        .groupBy(name.alias("__name"))
+        .agg(F.min(issue).alias("lo"), F.max(issue).alias("hi"), F.count(F.lit(1)).alias("__cells"))
+        .where("lo <> hi")
+        .select("__name", "__cells", F.lit(True).alias("__amb"))
     )
-    shown = or_nan(F.col(cfg.sub_col))
+    shown = or_nan(name)
     suffixed = F.coalesce(F.col("__amb"), F.lit(False))
+    named = attach(
+        cells.withColumn("__name", shown), stage_table(names, "ambiguous-names"), ["__name"], "__cells", [cfg.issue_col]
+    )
     return (
-        cells.join(names, shown == F.col("__name"), "left")
-        .withColumn("suffixed", suffixed)
-        .withColumn(
-            "subissue_unique",
-            F.when(suffixed, with_issue(F.col(cfg.sub_col), F.col(cfg.issue_col))).otherwise(shown),
-        )
+        named.withColumn("suffixed", suffixed)
+        .withColumn("subissue_unique", F.when(suffixed, with_issue(name, issue)).otherwise(shown))
         .drop("__name", "__amb")
     )
 

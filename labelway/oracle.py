@@ -396,6 +396,11 @@ req AS (
       WHEN 9 THEN '{"topk_cat":2.7,"topk_sub":true,' || body
       WHEN 10 THEN '{"topk_cat":-3,"art_dir":"",' || body
       WHEN 11 THEN '{"text":"123"}'
+      -- numbers that this engine's JSON cannot hold stand as strings
+      WHEN 12 THEN '{"topk_cat":"99999999999999999999",' || body
+      WHEN 13 THEN '{"topk_sub":"-99999999999999999999",' || body
+      WHEN 14 THEN '{"topk_cat":"inf",' || body
+      WHEN 15 THEN '{"topk_sub":"nan",' || body
       ELSE '{"topk_cat":' || (1 + turn % 3) || ',"topk_sub":' || (1 + turn % 5) || ',' || body
     END AS value
   FROM turns
@@ -405,16 +410,18 @@ req AS (
 def _int(name: str, default: int) -> str:
     kind, text = f"json_type(js, '$.{name}')", f"json_extract_string(js, '$.{name}')"
     return f"""CASE WHEN {kind} IS NULL THEN {default}
-         WHEN {kind} IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(trunc(CAST({text} AS DOUBLE)) AS BIGINT)
-         WHEN {kind} = 'BOOLEAN' THEN CASE WHEN {text} = 'true' THEN 1 ELSE 0 END
-         WHEN {kind} = 'VARCHAR' THEN TRY_CAST({text} AS BIGINT) END"""
+         WHEN regexp_full_match({text}, '[+-]?[0-9]+') THEN TRY_CAST({text} AS HUGEINT)
+         WHEN {kind} IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN TRY_CAST(trunc(TRY_CAST({text} AS DOUBLE)) AS HUGEINT)
+         WHEN {kind} = 'BOOLEAN' THEN CASE WHEN {text} = 'true' THEN 1 ELSE 0 END END"""
 
 
 def _int_error(name: str) -> str:
     kind, text = f"json_type(js, '$.{name}')", f"json_extract_string(js, '$.{name}')"
     return f"""CASE {kind}
          WHEN 'NULL' THEN 'int() argument must be a string, a bytes-like object or a real number, not ''NoneType'''
-         WHEN 'VARCHAR' THEN CASE WHEN NOT regexp_full_match({text}, '\\s*[+-]?[0-9]+\\s*')
+         WHEN 'VARCHAR' THEN CASE WHEN {text} = 'nan' THEN 'cannot convert float NaN to integer'
+           WHEN {text} = 'inf' THEN 'cannot convert float infinity to integer'
+           WHEN NOT regexp_full_match({text}, '\\s*[+-]?[0-9]+\\s*')
            THEN 'invalid literal for int() with base 10: ''' || {text} || '''' END END"""
 
 
@@ -446,8 +453,8 @@ SELECT req_id, CAST(status AS INT) AS status,
               WHEN 404 THEN 'Artifacts directory not found: ' || model_id END AS error,
   CASE WHEN status = 200 THEN text END AS text,
   CASE WHEN status = 200 THEN model_id END AS model_id,
-  CASE WHEN status = 200 THEN CAST(topk_cat AS BIGINT) END AS topk_cat,
-  CASE WHEN status = 200 THEN CAST(topk_sub AS BIGINT) END AS topk_sub
+  CASE WHEN status = 200 THEN CAST(topk_cat AS VARCHAR) END AS topk_cat,
+  CASE WHEN status = 200 THEN CAST(topk_sub AS VARCHAR) END AS topk_sub
 FROM judged"""
 
 
@@ -634,7 +641,7 @@ FROM f_rk""",
 WITH v AS ({validate()}),
 k AS (SELECT count(DISTINCT CAST(replace(source, 'src', '') AS INT) % 4) AS n FROM documents)
 SELECT req_id, status, error,
-  CASE WHEN status = 200 THEN CAST(least(topk_cat, k.n) AS INT) END AS n_categories,
+  CASE WHEN status = 200 THEN CAST(least(CAST(topk_cat AS HUGEINT), k.n) AS INT) END AS n_categories,
   CASE WHEN status = 200 THEN TRUE END AS best_first
 FROM v CROSS JOIN k""",
         "trial_table": f"{TRIALS} SELECT * FROM scored",

@@ -493,7 +493,8 @@ def q_fit_hierarchy(spark, sf):
 
 @query
 def q_validate_requests(spark, sf):
-    return validate_requests(fixtures.requests(spark, sf), ["default"], "default").drop("device")
+    checked = validate_requests(fixtures.requests(spark, sf), ["default"], "default").drop("device")
+    return checked.withColumns({c: F.col(c).cast("string") for c in ("topk_cat", "topk_sub")})
 
 
 @query

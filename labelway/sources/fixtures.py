@@ -97,6 +97,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 9, with_field('"topk_cat":2.7,"topk_sub":true'))
         .when(kind == 10, with_field('"topk_cat":-3,"art_dir":""'))
         .when(kind == 11, F.lit('{"text":"123"}'))
+        .when(kind == 12, with_field('"topk_cat":99999999999999999999'))
+        .when(kind == 13, with_field('"topk_sub":"-99999999999999999999"'))
+        .when(kind == 14, with_field('"topk_cat":1e999'))
+        .when(kind == 15, with_field('"topk_sub":NaN'))
         .otherwise(valid)
     )
     return turns.select(

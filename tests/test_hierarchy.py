@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelway.config import TICKET_SCHEMA, HierConfig
-from labelway.operators import encoding
+from labelway.operators import encoding, linear
 from labelway.plans import hierarchy, tune
 from labelway.sources import model_store
 from labelway.sources.tables import load_table
@@ -145,8 +145,10 @@ def test_bad_sizes():
 def test_trial_table_and_best(spark):
     trials = tune.trial_table(spark, 50, 42, CFG)
     rows = trials.collect()
-    assert all(5e-5 <= r["router_lr"] <= 5e-3 and 3 <= r["router_epochs"] <= 10 for r in rows)
-    assert len({r["router_lr"] for r in rows}) == 50 and {r["router_epochs"] for r in rows} == set(range(3, 11))
+    given = next(r for r in rows if r["trial"] == 0)
+    assert (given["router_lr"], given["router_epochs"]) == (CFG.router_lr, CFG.router_epochs)
+    assert all(5e-3 <= r["router_lr"] <= 0.5 and 10 <= r["router_epochs"] <= 80 for r in rows if r["trial"])
+    assert len({r["router_lr"] for r in rows}) == 50 and len({r["router_epochs"] for r in rows}) > 20
     assert {(r["head_lr"], r["head_epochs"]) for r in rows} == {(CFG.head_lr, CFG.head_epochs)}
     scored = trials.withColumn("score", F.when(F.col("trial").isin(7, 3, 9), 0.9).otherwise(0.1))
     assert tune.best_trial(scored).first()["trial"] == 3
@@ -155,9 +157,27 @@ def test_trial_table_and_best(spark):
 def test_tuning_retrains_with_the_best(tickets):
     space = tune.TuneSpace(lr_low=0.001, lr_high=0.2, epochs_low=2, epochs_high=12)
     trials, tables = tune.tune_hierarchy(tickets, replace(CFG, head_epochs=2, features=256), n_trials=3, space=space)
-    scores = {r["trial"]: r["score"] for r in trials.collect()}
+    rows = {r["trial"]: r for r in trials.collect()}
     router = tables.stats.where("category is null").first()
-    assert len(scores) == 3 and abs(router["val_top1_acc"] - max(scores.values())) < 1e-9
+    best = max(r["score"] for r in rows.values() if r["finished"])
+    assert len(rows) == 3 and rows[0]["finished"] and best >= rows[0]["score"]
+    assert abs(router["val_top1_acc"] - best) < 1e-9
+
+
+def test_tournament_stops_the_worse_half(spark, tickets, monkeypatch):
+    prepared = hierarchy.prepare_rows(tickets, CFG)
+    encoder, embedded = hierarchy.embed_rows(prepared, replace(CFG, features=64))
+    data = hierarchy.build_training_set(embedded, F.col("x"), encoder.dim, CFG)
+    cfg = replace(CFG, router_epochs=6)
+    space = tune.TuneSpace(lr_low=1e-4, lr_high=0.3, epochs_low=4, epochs_high=8)
+    rows = {r["trial"]: r for r in tune.run_trials(data, cfg, 6, space=space, rungs=(2, 4)).collect()}
+    finished = {t for t, r in rows.items() if r["finished"]}
+    assert 0 in finished and 2 <= len(finished) <= 3 and len(rows) == 6
+    assert max(rows[t]["score"] for t in finished) >= rows[0]["score"]
+    # models larger than a broadcast are scored in blocks, and no trial is stopped
+    monkeypatch.setattr(linear, "MODEL_BYTES", 3 * 65 * 8)
+    large = {r["trial"]: r for r in tune.run_trials(data, cfg, 1, space=space).collect()}
+    assert abs(large[0]["score"] - rows[0]["score"]) < 1e-9
 
 
 def test_tiny_heads(spark):

