@@ -10,13 +10,16 @@ are bounded in entries, and results never depend on them.
 from __future__ import annotations
 
 import os
+import struct
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import regex
 
 # The tokenizer's own rule for cutting a lower-cased word into runs.
 RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+RUNS_AND_ENDS = regex.compile(RUNS.pattern + r"|\n")
 #: Python splits words here, the tokenizer does not.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 MARK = "\x01"
@@ -25,11 +28,22 @@ CACHE = 700_000
 _encoders: dict[str, WordEncoder] = {}
 
 
-def normal(word: str) -> str:
+def normal(text: str) -> str:
     """Composed and lower-cased character by character, as the tokenizer does."""
-    if word.isascii():
-        return word.lower()
-    return "".join(map(str.lower, unicodedata.normalize("NFC", word)))
+    if text.isascii():
+        return text.lower()
+    return "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+
+
+def cut(words: list[str]) -> list[list[str]]:
+    """The runs of each word; all words are normalised and cut in one pass, a line each."""
+    runs = RUNS_AND_ENDS.findall(normal("\n".join([*words, ""])))
+    out, start = [], 0
+    for _ in words:
+        end = runs.index("\n", start)
+        out.append(runs[start:end])
+        start = end + 1
+    return out
 
 
 class WordEncoder:
@@ -45,6 +59,9 @@ class WordEncoder:
         self.runs: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         (self.mark,) = self.library(MARK)
+        # lower-case ASCII goes to the merges as it is, unless this file says otherwise
+        signs = [chr(c) for c in range(33, 127) if not 65 <= c <= 90]
+        self.direct = all(self.merged(s) == self.library(s) for s in [*signs, "zebra", "internationalization"])
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -55,13 +72,24 @@ class WordEncoder:
     def library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def merged(self, run: str) -> list[int]:
+        """Ids of a run by the merges alone, without the library's passes over whole texts."""
+        return [t.id for t in self.tokenizer.model.tokenize(run)]
+
     def learn_runs(self, runs: list[str]) -> None:
-        """Encodes new runs, many in one text, told apart by a mark between them."""
-        plain = [r for r in runs if MARK not in r]
-        for r in set(runs).difference(plain):
-            self.runs[r] = np.array(self.library(r), "<u4").tobytes()
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
+        """Encodes new runs: plain ASCII by the merges, others many in one text, told apart by
+        a mark between them."""
+        plain = []
+        for r in runs:
+            if self.direct and r.isascii() and r.isprintable():
+                ids = self.merged(r)
+                self.runs[r] = struct.pack(f"<{len(ids)}I", *ids)
+            elif MARK in r:
+                self.runs[r] = np.array(self.library(r), "<u4").tobytes()
+            else:
+                plain.append(r)
+        for at in range(0, len(plain), 200):
+            part = plain[at : at + 200]
             ids = np.array(self.library(f" {MARK} ".join(part)), "<u4")
             cuts = np.flatnonzero(ids == self.mark)
             starts, ends = np.r_[0, cuts + 1], np.r_[cuts, len(ids)]
@@ -73,10 +101,13 @@ class WordEncoder:
         """Ids of new words. The first ``CACHE`` words stay; later ones are kept for a while."""
         if len(self.runs) > CACHE:
             self.runs.clear()
-        parts = {w: RUNS.findall(normal(w)) for w in words}
+        plain = [w for w in words if w.isascii()]
+        other = [w for w in words if not w.isascii()]
         known = self.runs
-        self.learn_runs(list({r for p in parts.values() for r in p if r not in known}))
-        new = {w: b"".join([known[r] for r in p]) for w, p in parts.items()}
+        parts = cut(plain) + cut(other)
+        self.learn_runs(list(set(chain.from_iterable(parts)).difference(known)))
+        ids = known.__getitem__
+        new = {w: ids(p[0]) if len(p) == 1 else b"".join(map(ids, p)) for w, p in zip(plain + other, parts)}
         if len(self.words) < CACHE:
             self.words.update(new)
         else:
