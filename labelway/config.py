@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
+# Separators, names and texts of the service.
 LABEL_SEP = "__SEP__"
 SINGLE_LABEL = "__single__"
 OTHERS = "others"
