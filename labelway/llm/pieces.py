@@ -38,10 +38,40 @@ from labelway.llm.common import table
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 RESET = re.compile(f"(?<=[^{MARK}]){MARK}")
-CACHE = 500_000
+# Entries of one generation of a cache, about 200 bytes each.
+CACHE = 120_000
+# Rows and chunks that a task turns into Python values at a time.
+SLICE_ROWS = 256
+SLICE_CHUNKS = 32
 _codecs: dict[str, Codec] = {}
 
 
+class Cache:
+    """What was met lately, in two generations of bounded size: a full one becomes the old one,
+    and what is met there again moves on."""
+
+    def __init__(self, limit: int = CACHE) -> None:
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and key in self.old:
+            found = self.old[key]
+            self.put({key: found})
+        return found
+
+    def get_all(self, keys: list) -> list:
+        found = list(map(self.young.get, keys))
+        if None in found and self.old:
+            found = [self.get(k) if x is None else x for k, x in zip(keys, found)]
+        return found
+
+    def put(self, new: dict) -> None:
+        if len(self.young) + len(new) > self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update(new)
+
+
 @dataclass(frozen=True)
 class PieceConfig:
     model: str = public_tokenizers.path("piece_bpe_32k.model")
@@ -67,8 +97,8 @@ class Codec:
             bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else b"" if self.library.is_control(i) else p.encode()
             for i, p in enumerate(self.names)
         ]
-        self.known: dict[str, bytes] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.known = Cache()
+        self.fits = Cache()
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -82,11 +112,9 @@ class Codec:
     def words(self, symbols: str) -> bytes:
         """Ids (little-endian uint32) of a text that begins and ends where no piece crosses."""
         words = WORDS.findall(symbols)
-        found = list(map(self.known.get, words))
+        found = self.known.get_all(words)
         if None in found:
             missing = list({w for w, x in zip(words, found) if x is None})
-            if len(self.known) > CACHE:
-                self.known.clear()
             # the library puts a mark before each text itself
             new = {
                 w: np.array(ids, "<u4").tobytes()
@@ -94,7 +122,7 @@ class Codec:
             }
             if MARK in new:
                 new[MARK] = np.array([self.ids[MARK]], "<u4").tobytes()
-            self.known.update(new)
+            self.known.put(new)
             found = [new[w] if x is None else x for w, x in zip(words, found)]
         return b"".join(found)
 
@@ -102,9 +130,8 @@ class Codec:
         """Whether the merges of ``a + b`` end in the pieces ``a`` and ``b``."""
         found = self.fits.get((a, b))
         if found is None:
-            if len(self.fits) > CACHE:
-                self.fits.clear()
-            found = self.fits[a, b] = self.merge(a + b) == [a, b]
+            found = self.merge(a + b) == [a, b]
+            self.fits.put({(a, b): found})
         return found
 
     def merge(self, text: str) -> list[str]:
@@ -270,6 +297,12 @@ def boundary_states(matrices: list[np.ndarray]) -> list[int]:
     return [int(np.argmax(forward[i][0] + backward[i + 1][:, 0])) for i in range(len(matrices) - 1)]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def encode_documents(docs: DataFrame, cfg: PieceConfig = PieceConfig()) -> DataFrame:
     """(doc_id, text, ids, n_chunks): ids of every row, little-endian uint32."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -277,7 +310,7 @@ def encode_documents(docs: DataFrame, cfg: PieceConfig = PieceConfig()) -> DataF
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(cfg.model)
-        for batch in batches:
+        for batch in sliced(batches, SLICE_ROWS):
             ids = [codec.encode(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(ids, pa.binary()), pa.array([1] * len(ids), pa.int64())],
@@ -313,7 +346,7 @@ def _giant(rows: DataFrame, cfg: PieceConfig) -> DataFrame:
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(cfg.model)
-        for batch in batches:
+        for batch in sliced(batches, SLICE_CHUNKS):
             out = []
             for row in batch.to_pylist():
                 entering, leaving, m = transfer(codec, row["s"], row["a"], row["b"], row["last"])
@@ -338,7 +371,7 @@ def _giant(rows: DataFrame, cfg: PieceConfig) -> DataFrame:
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(cfg.model)
-        for batch in batches:
+        for batch in sliced(batches, SLICE_CHUNKS):
             out = []
             for row in batch.to_pylist():
                 at = lambda pair, base: pair and (pair[0] + base, pair[1] + base)
@@ -378,7 +411,7 @@ def decode_documents(encoded: DataFrame, cfg: PieceConfig = PieceConfig()) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(cfg.model)
-        for batch in batches:
+        for batch in sliced(batches, SLICE_ROWS):
             out = defaultdict(list)
             for text, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 decoded = codec.decode(np.frombuffer(ids, "<u4"))
