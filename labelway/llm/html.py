@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelway.llm.common import table
-from labelway.session import stage_table
+from labelway.operators.joins import BROADCAST_BYTES
+from labelway.session import planned_bytes, stage_table
 
 # Element names of the HTML standard, by what they are to a reader.
 RAW = "script style textarea title noscript iframe template svg math object select".split()
@@ -74,67 +76,117 @@ class TemplateConfig:
 
 @dataclass
 class Element:
+    """An element and the running hash of its markup: its tag, its texts with white space
+    folded, and the hashes of its children."""
+
     name: str
-    start: int
     dropped: bool
     main: bool
+    hash: xxhash.xxh64
 
 
 def named(rest: str) -> str:
     return " ".join(x for m in NAMES.finditer(rest) for x in m.groups() if x)
 
 
+class Open:
+    """The open elements, with counts by name and kind, so that a tag costs the same however
+    deep it stands. A closed element's hash goes into its parent's."""
+
+    def __init__(self) -> None:
+        self.stack: list[Element] = []
+        self.names: Counter[str] = Counter()
+        self.dropped = self.main = 0
+        # the outermost open paragraph, and the blocks other than paragraphs opened in it
+        self.paragraph: int | None = None
+        self.blocks = 0
+
+    def push(self, e: Element) -> None:
+        if self.paragraph is not None:
+            self.blocks += self._is_block(e)
+        elif e.name == "p":
+            self.paragraph = len(self.stack)
+        self.stack.append(e)
+        self.names[e.name] += 1
+        self.dropped += e.dropped
+        self.main += e.main
+
+    def pop(self) -> Element:
+        e = self.stack.pop()
+        self.names[e.name] -= 1
+        self.dropped -= e.dropped
+        self.main -= e.main
+        if self.paragraph == len(self.stack):
+            self.paragraph = None
+        elif self.paragraph is not None:
+            self.blocks -= self._is_block(e)
+        self.add(e.hash.digest())
+        return e
+
+    def add(self, part: bytes | str) -> None:
+        if self.stack:
+            self.stack[-1].hash.update(part)
+
+    @staticmethod
+    def _is_block(e: Element) -> bool:
+        return e.name != "p" and e.name not in INLINE
+
+
 def walk(page: str) -> Iterator[tuple]:
-    """Events of a page: ("text", str), ("open", Element), ("close", Element, end)."""
-    stack: list[Element] = []
+    """Events of a page: ("text", str), ("open", Element), ("close", Element). The time is linear in
+    the length of the page."""
+    is_open = Open()
+    stack = is_open.stack
     at = 0
     for m in MARKUP.finditer(page):
         if m.start() > at:
+            is_open.add(SPACE.sub(" ", page[at : m.start()]))
             yield "text", page[at : m.start()]
         at = m.end()
         name = (m["name"] or "").lower()
         if not name or name in RAW:
             continue
         if m["close"]:
-            if any(e.name == name for e in stack):
+            if is_open.names[name]:
                 while True:
-                    e = stack.pop()
-                    yield "close", e, m.end() if e.name == name else m.start()
+                    e = is_open.pop()
+                    yield "close", e
                     if e.name == name:
                         break
             continue
         if name in MAIN:  # what was left open before the article ends here
-            while any(e.dropped for e in stack):
-                yield "close", stack.pop(), m.start()
+            while is_open.dropped:
+                yield "close", is_open.pop()
         elif name not in INLINE:  # a new block ends an open paragraph and what it holds
-            names = [e.name for e in stack]
-            if "p" in names and all(n == "p" or n in INLINE for n in names[names.index("p") :]):
+            if is_open.paragraph is not None and not is_open.blocks:
                 while True:
-                    e = stack.pop()
-                    yield "close", e, m.start()
+                    e = is_open.pop()
+                    yield "close", e
                     if e.name == "p":
                         break
-            elif name == "li" and names and names[-1] == "li":
-                yield "close", stack.pop(), m.start()
+            elif name == "li" and stack and stack[-1].name == "li":
+                yield "close", is_open.pop()
         top = name in MAIN or name in ("body", "html")
-        if name == "header" and any(x.main for x in stack):  # the headline of the article
+        if name == "header" and is_open.main:  # the headline of the article
             top = True
         drop = name in DROPPED and not top or not top and bool(m["rest"]) and bool(BOILERPLATE.search(named(m["rest"])))
-        e = Element(name, m.start(), drop, name in MAIN)
+        e = Element(name, drop, name in MAIN, xxhash.xxh64(SPACE.sub(" ", m[0])))
         yield "open", e
         if name in VOID or m["rest"].endswith("/"):
-            yield "close", e, m.end()
+            is_open.add(e.hash.digest())
+            yield "close", e
         else:
-            stack.append(e)
+            is_open.push(e)
     if at < len(page):
+        is_open.add(SPACE.sub(" ", page[at:]))
         yield "text", page[at:]
     while stack:
-        yield "close", stack.pop(), len(page)
+        yield "close", is_open.pop()
 
 
-def subtree(page: str, e: Element, end: int, inside: bool = False) -> int:
-    """Hash of an element with all its markup, white space folded; odd for one inside an article."""
-    return (xxhash.xxh64_intdigest(SPACE.sub(" ", page[e.start : end])) - (1 << 63)) & ~1 | inside
+def subtree(e: Element, inside: bool = False) -> int:
+    """Hash of a closed element; odd for one inside an article."""
+    return (e.hash.intdigest() - (1 << 63)) & ~1 | inside
 
 
 #: Stand for the page and for its article among the hashes: their counts are those of the host.
@@ -145,7 +197,7 @@ def subtrees(page: str | None) -> tuple[list[int], bytes]:
     """Hashes of all block elements, and the digest of the article."""
     page, out, inside, dropped = page or "", [PAGE], 0, 0
     article = xxhash.xxh3_128()
-    for kind, e, *end in (x if len(x) == 3 else (*x, None) for x in walk(page)):
+    for kind, e in walk(page):
         if kind == "open":
             inside += e.main
             dropped += e.dropped
@@ -155,9 +207,9 @@ def subtrees(page: str | None) -> tuple[list[int], bytes]:
             if e.main:
                 if not inside:
                     out.append(ARTICLE)
-                    article.update(SPACE.sub(" ", page[e.start : end[0]]))
+                    article.update(e.hash.digest())
             elif e.name not in INLINE and e.name not in ("html", "body", "head") and not (inside and dropped):
-                out.append(subtree(page, e, end[0], inside > 0))
+                out.append(subtree(e, inside > 0))
     return list(dict.fromkeys(out)), article.digest()
 
 
@@ -165,7 +217,7 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
     """Blocks of the article, or of the body without template and boilerplate, joined by blank lines."""
     page = page or ""
     events = list(walk(page))
-    only_main = any(y[0] == "open" and y[1].main for y in events)
+    only_main = any(kind == "open" and x.main for kind, x in events)
     blocks: list[str] = []
     marks: list[tuple[int, int]] = []  # blocks at the start of open elements, to take back a template
     part: list[str] = []
@@ -177,7 +229,7 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
             blocks.append(text)
         part.clear()
 
-    for kind, x, *end in (y if len(y) == 3 else (*y, None) for y in events):
+    for kind, x in events:
         if kind == "text":
             if not dropped and (inside or not only_main):
                 part.append(x)
@@ -195,7 +247,7 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
             inside -= x.main
             _, first = marks.pop()
             if template and (inside or not only_main) and not x.main and x.name not in INLINE:
-                if subtree(page, x, end[0], inside > 0) in template:
+                if subtree(x, inside > 0) in template:
                     del blocks[first:]
     end_block()
     return "\n\n".join(blocks)
@@ -205,8 +257,8 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, cfg: TemplateConfig) -> tuple[DataFrame, DataFrame]:
-    """Template subtrees (host, hash), and all subtrees of all pages (host, page, hash)."""
+def page_subtrees(pages: DataFrame) -> DataFrame:
+    """(host, page, article, hash): all subtrees of all pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,9 +276,12 @@ def templates(pages: DataFrame, cfg: TemplateConfig) -> tuple[DataFrame, DataFra
     found = pages.select("host", "page", "html").mapInArrow(
         run, "host string, page binary, article binary, hashes array<long>"
     )
-    each = stage_table(
-        found.select("host", "page", "article", F.explode("hashes").alias("hash")).distinct(), "subtrees"
-    )
+    return found.select("host", "page", "article", F.explode("hashes").alias("hash"))
+
+
+def templates(pages: DataFrame, cfg: TemplateConfig) -> DataFrame:
+    """Template subtrees (host, hash)."""
+    each = page_subtrees(pages)
     inside = F.col("hash").bitwiseAND(F.lit(1)) == 1
     unit = F.when(inside, F.col("article")).otherwise(F.col("page"))
     counts = each.select("host", "hash", unit.alias("unit")).distinct().groupBy("host", "hash")
@@ -249,37 +304,49 @@ def templates(pages: DataFrame, cfg: TemplateConfig) -> tuple[DataFrame, DataFra
             recurs(cfg.min_pages, cfg.min_share, cfg.many_pages)
         )
     )
-    return common.select("host", "hash"), each.select("host", "page", "hash")
+    return stage_table(common.select("host", "hash"), "templates")
 
 
-def extract(pages: DataFrame, cfg: TemplateConfig = TemplateConfig()) -> DataFrame:
+def extract(
+    pages: DataFrame, cfg: TemplateConfig = TemplateConfig(), broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """(page_id, url, text) of every row of ``pages``.
 
-    Templates are counted over all pages, and all pages are shuffled once, to
-    meet the template subtrees they have.
+    Templates are counted over all pages. If they are few bytes, checked, each task gets
+    them and no page moves; else the pages meet the hashes that they have by a join.
     """
     rows = pages.select(
-        F.col("page_id"), F.col("url"), host_of(F.col("url")).alias("host"),
+        F.col("page_id").cast("long").alias("page_id"), F.col("url"), host_of(F.col("url")).alias("host"),
         F.unhex(F.md5(F.coalesce("html", F.lit("")))).alias("page"), F.coalesce("html", F.lit("")).alias("html"),
     )
-    common, each = templates(rows, cfg)
-    hits = each.join(common, ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("template"))
-    ready = rows.join(hits, ["host", "page"], "left").select(
-        "page_id", "url", "html", F.coalesce("template", F.array().cast("array<long>")).alias("template")
-    )
+    common = templates(rows, cfg)
+    small = planned_bytes(common) <= broadcast_bytes
+    shared = None
+    if small:
+        by_host: dict[str, set[int]] = {}
+        for r in common.toLocalIterator():
+            by_host.setdefault(r["host"], set()).add(r["hash"])
+        shared = pages.sparkSession.sparkContext.broadcast({h: frozenset(x) for h, x in by_host.items()})
+        ready = rows.select("page_id", "url", "html", "host")
+    else:
+        each = page_subtrees(rows).select("host", "page", "hash").distinct()
+        hits = each.join(common, ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("template"))
+        ready = rows.join(hits, ["host", "page"], "left").select(
+            "page_id", "url", "html", F.coalesce("template", F.array().cast("array<long>")).alias("template")
+        )
+    none: frozenset[int] = frozenset()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                main_text(t.as_py(), frozenset(h.as_py())) for t, h in zip(batch.column(2), batch.column(3))
-            ]
+            texts = []
+            for page, key in zip(batch.column(2), batch.column(3)):
+                template = shared.value.get(key.as_py(), none) if small else frozenset(key.as_py())
+                texts.append(main_text(page.as_py(), template))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]
             )
 
-    return ready.select(F.col("page_id").cast("long"), "url", "html", "template").mapInArrow(
-        run, "page_id long, url string, text string"
-    )
+    return ready.mapInArrow(run, "page_id long, url string, text string")
 
 
 def q_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,3 +118,23 @@ def test_templates_inside_articles_and_on_large_hosts(spark):
 def test_html_query_keeps_whole_articles(spark, sf):
     rows = H.q_html_text(spark, sf).collect()
     assert len(rows) == table(spark, sf, "pages").count() and all(r.n_chars == len(r.text) > 0 for r in rows)
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    page = "<article>" + "<div>" * 20_000 + "text" + "<b>" * 20_000 + "<p>" * 50 + "more"
+    start = time.process_time()
+    assert H.main_text(page) == "text\n\nmore"
+    assert len(H.subtrees(page)[0]) >= 3
+    assert time.process_time() - start < 3
+
+
+def test_templates_by_broadcast_and_by_join(spark):
+    menu = "<div class=x>same <b>words</b> everywhere</div>"
+    pages = [(i, f"http://h{i % 2}/{i}", f"<body>{menu if i % 4 else ''}<div>page {i // 2}</div></body>") for i in range(30)]
+    pages += [(99, None, None), (99, "http://h1/9", pages[9][2])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    a = sorted(map(str, H.extract(df).collect()))
+    b = sorted(map(str, H.extract(df, broadcast_bytes=-1).collect()))
+    assert a == b and len(a) == 32 and not any("everywhere" in x for x in a)
