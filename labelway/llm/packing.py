@@ -41,8 +41,6 @@ class PackingConfig:
     quadratic: float = 1.0
     #: tokens held at once; a single longer document makes a window of its own
     window_tokens: int = 1 << 20
-    #: sequences looked at for a whole fit before a document is cut
-    tries: int = 8
 
 
 @dataclass(frozen=True)
@@ -54,6 +52,48 @@ class Piece:
     offset: int
 
 
+class Rooms:
+    """Sequences by remaining room: the cheapest one with enough room, in the logarithm of the capacity.
+
+    A heap per room, and a tree of their least (cost, sequence, room) over ranges of rooms.
+    """
+
+    def __init__(self, capacity: int) -> None:
+        self.size = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int, int]]] = [[] for _ in range(capacity + 1)]
+        self.least: list[tuple[float, int, int] | None] = [None] * (2 * self.size)
+
+    def add(self, room: int, cost: float, sequence: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence, room))
+        self._update(room)
+
+    def cheapest(self, n: int) -> tuple[float, int, int] | None:
+        """Takes out the sequence of least cost, ties by number, that has room for ``n``."""
+        if n >= len(self.heaps):
+            return None
+        best, at, end = None, n + self.size, 2 * self.size
+        while at < end:
+            if at & 1:
+                best = _lesser(best, self.least[at])
+                at += 1
+            at, end = at // 2, end // 2
+        if best is not None:
+            heapq.heappop(self.heaps[best[2]])
+            self._update(best[2])
+        return best
+
+    def _update(self, room: int) -> None:
+        at, least = room + self.size, self.least
+        least[at] = self.heaps[room][0] if self.heaps[room] else None
+        while at > 1:
+            at //= 2
+            least[at] = _lesser(least[2 * at], least[2 * at + 1])
+
+
+def _lesser(a, b):
+    return b if a is None or (b is not None and b < a) else a
+
+
 def pack(
     lengths: Iterable[tuple[int, int, int]], cfg: PackingConfig, last: bool
 ) -> tuple[list[Piece], list[tuple[int, int, int]], int]:
@@ -65,24 +105,22 @@ def pack(
     total = -sum(e[0] for e in entries)
     count = -(-total // cfg.capacity) if last else total // cfg.capacity
     heapq.heapify(entries)
-    room = [cfg.capacity] * count
-    open_sequences = [(0.0, s) for s in range(count)]
+    rooms = Rooms(cfg.capacity)
+    for s in range(count):
+        rooms.add(cfg.capacity, 0.0, s)
     pieces: list[Piece] = []
-    while entries and open_sequences:
+    while entries:
         n, doc, start = heapq.heappop(entries)
         n = -n
-        seen = [heapq.heappop(open_sequences)]
-        while room[seen[-1][1]] < n and len(seen) < cfg.tries and open_sequences:
-            seen.append(heapq.heappop(open_sequences))
-        pick = len(seen) - 1 if room[seen[-1][1]] >= n else 0
-        cost, s = seen.pop(pick)
-        take = min(n, room[s])
-        pieces.append(Piece(doc, start, take, s, cfg.capacity - room[s]))
-        room[s] -= take
-        if room[s]:
-            seen.append((cost + cfg.linear * take + cfg.quadratic * take * take, s))
-        for x in seen:
-            heapq.heappush(open_sequences, x)
+        found = rooms.cheapest(n) or rooms.cheapest(1)
+        if found is None:
+            heapq.heappush(entries, (-n, doc, start))
+            break
+        cost, s, room = found
+        take = min(n, room)
+        pieces.append(Piece(doc, start, take, s, cfg.capacity - room))
+        if room > take:
+            rooms.add(room - take, cost + cfg.linear * take + cfg.quadratic * take * take, s)
         if n > take:
             heapq.heappush(entries, (take - n, doc, start + take))
     return pieces, [(doc, start, -n) for n, doc, start in sorted(entries)], count

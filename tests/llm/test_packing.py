@@ -1,3 +1,5 @@
+import heapq
+import random
 import zlib
 from collections import defaultdict
 
@@ -65,6 +67,28 @@ def test_costs_are_balanced():
     assert all(x.count(50) == 1 for x in held.values())
 
 
+def test_nothing_is_cut_that_fits_somewhere():
+    """Against a search through all sequences."""
+    rng = random.Random(2)
+    lengths = [(i, 0, rng.choice([1, 7, 30, 90, 240, rng.randrange(1, 256)])) for i in range(1500)]
+    cfg = P.PackingConfig(capacity=256)
+    pieces, left, count = P.pack(lengths, cfg, True)
+    room, cost, want = [256] * count, [0.0] * count, []
+    entries = [(-n, doc, start) for doc, start, n in lengths]
+    heapq.heapify(entries)
+    while entries:
+        n, doc, start = heapq.heappop(entries)
+        fits = [s for s in range(count) if room[s] >= -n] or [s for s in range(count) if room[s]]
+        s = min(fits, key=lambda x: (cost[x], x))
+        take = min(-n, room[s])
+        want.append((doc, start, take, s, 256 - room[s]))
+        room[s] -= take
+        cost[s] += cfg.linear * take + cfg.quadratic * take * take
+        if -n > take:
+            heapq.heappush(entries, (n + take, doc, start + take))
+    assert [(p.doc, p.start, p.length, p.sequence, p.offset) for p in pieces] == want and not left
+
+
 def test_cache_equals_library():
     encoder = WordEncoder.of(P.PackingConfig().tokenizer)
     odd = [
