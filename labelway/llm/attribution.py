@@ -12,8 +12,10 @@ Sections must be in order and disjoint; repeated rows are counted each.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -44,6 +46,7 @@ class OffsetEncoder:
         self.library = tiktoken.Encoding(
             "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
+        self.sizes = {i: len(token) for token, i in ranks.items()}
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -54,15 +57,16 @@ class OffsetEncoder:
 
     def learn(self, part: str) -> bytes:
         """Start and end of each token of a pretoken, relative to it."""
-        sizes = np.array([len(self.library.decode_single_token_bytes(i)) for i in self.library.encode_ordinary(part)])
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
+        sizes = list(map(self.sizes.__getitem__, self.library.encode_ordinary(part)))
+        ends = list(accumulate(sizes))
+        starts = [0, *ends[:-1]]
         if not part.isascii():
-            owner = np.repeat(np.arange(len(part)), [len(c.encode("utf-8", "surrogatepass")) for c in part])
-            starts, ends = owner[starts], owner[ends - 1] + 1
+            owner = [i for i, c in enumerate(part) for _ in c.encode("utf-8", "surrogatepass")]
+            starts, ends = [owner[x] for x in starts], [owner[x - 1] + 1 for x in ends]
         if len(self.known) > CACHE:
             self.known.clear()
-        self.known[part] = spans = np.stack([starts, ends], 1).astype(np.int32).tobytes()
+        both = [x for pair in zip(starts, ends) for x in pair]
+        self.known[part] = spans = struct.pack(f"<{len(both)}i", *both)
         return spans
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
