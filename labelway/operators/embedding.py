@@ -12,18 +12,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from labelway.functions.arrays import let
+from pyspark.sql import types as T
 
 
 class HashedTfIdf:
     """Hashed token counts times inverse document frequency, unit length.
 
-    A token's slot is its MD5 modulo the size, so any engine finds the same. All is
-    JVM expressions; the fitted state is one weight per slot. ``encode_sparse`` gives what a
+    A token's slot is its MD5 modulo the size, so any engine finds the same. The
+    fitted state is one weight per slot. ``encode_sparse`` gives what a
     text holds (``struct<indices:array<int>,values:array<float>>``), ``encode`` the whole vector.
+
+    Instead of cleaned text all three take a column of ``slot_counts``, of the same size. Texts that are
+    both fitted on and encoded are best counted once, in a staged table.
     """
 
     def __init__(self, weights: list[float]):
@@ -35,70 +38,107 @@ class HashedTfIdf:
     @staticmethod
     def slot_counts(text: Column, dim: int) -> Column:
         """Sorted ``(slot, n)`` structs: the tokens of a cleaned text in each slot; null for null."""
-        tokens = F.array_remove(F.split(text, " "), "")
-        slot = lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
-        return let(F.sort_array(F.transform(tokens, lambda t: slot(t).cast("int"))), _runs)
+
+        @F.arrow_udf("array<struct<slot:int,n:int>>")
+        def count(texts: pa.Array) -> pa.Array:
+            parts = [_slot_counts(part, dim) for part in _slices(texts)]
+            return pa.concat_arrays(parts) if parts else pa.array([], _COUNTS)
+
+        return count(text)
 
     @classmethod
     def fit(cls, df: DataFrame, text_col: str, dim: int = 1024) -> "HashedTfIdf":
         """``text_col`` holds cleaned text. Weights are ``ln((texts + 1) / (texts with the slot + 1))``."""
-        counts = df.select(cls.slot_counts(F.col(text_col), dim).alias("s"))
+        counts = df.select(cls._counted(df, text_col, dim).alias("s"))
         # one row per slot; the number of texts comes with them as slot -1
         slots = F.concat(F.array(F.lit(-1)), F.coalesce(F.col("s")["slot"], F.array().cast("array<int>")))
         found = counts.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
         texts = {r["slot"]: r["n"] for r in found.collect()}
         return cls([math.log((texts.get(-1, 0) + 1) / (texts.get(i, 0) + 1)) for i in range(dim)])
 
-    def _sparse(self, text: Column) -> Column:
-        idf = F.lit(np.asarray(self.weights))
-        scaled = F.transform(
-            self.slot_counts(text, self.dim),
-            lambda s: F.struct(s["slot"].alias("slot"), (s["n"] * F.get(idf, s["slot"])).alias("v")),
-        )
-        norm = lambda u: F.sqrt(F.aggregate(u, F.lit(0.0), lambda a, s: a + s["v"] * s["v"]))
-        unit = let(
-            F.filter(scaled, lambda s: s["v"] != 0),
-            lambda u: let(
-                norm(u),
-                lambda size: F.struct(
-                    u["slot"].alias("indices"), F.transform(u["v"], lambda v: (v / size).cast("float")).alias("values")
-                ),
-            ),
-        )
-        return F.when(text.isNotNull(), unit)
+    @classmethod
+    def _counted(cls, df: DataFrame, text_col: str, dim: int) -> Column:
+        counted = isinstance(df.schema[text_col].dataType, T.ArrayType)
+        return F.col(text_col) if counted else cls.slot_counts(F.col(text_col), dim)
 
     def encode_sparse(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
-        return df.withColumn(out_col, self._sparse(F.col(text_col)))
+        weights = np.asarray(self.weights)
 
-    def encode(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
-        zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n)
+        @F.arrow_udf("struct<indices:array<int>,values:array<float>>")
+        def unit(counts: pa.Array) -> pa.Array:
+            valid, row, slot, value = _unit(counts, weights)
+            ends = pa.array(np.searchsorted(row, np.arange(len(counts) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (slot, value)]
+            return pa.StructArray.from_arrays(lists, names=["indices", "values"], mask=pa.array(~valid))
 
-        def dense(index: Column, value: Column) -> Column:
-            """Entries are sorted by slot: zeros fill the gaps before, between and after them."""
-            gap = lambda i: F.get(index, i) - F.coalesce(F.get(index, i - 1), F.lit(-1)) - 1
-            filled = F.flatten(F.transform(value, lambda v, i: F.concat(zeros(gap(i)), F.array(v))))
-            last = F.coalesce(F.get(index, F.size(index) - 1), F.lit(-1))
-            return F.concat(filled, zeros(self.dim - 1 - last))
+        return df.withColumn(out_col, unit(self._counted(df, text_col, self.dim)))
 
-        parts = lambda s: let(s["indices"], lambda i: let(s["values"], lambda v: dense(i, v)))
-        return df.withColumn(out_col, let(self._sparse(F.col(text_col)), parts))
+    def encode(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+        weights, dim = np.asarray(self.weights), self.dim
+        most = max(1, DENSE_VALUES // dim)
 
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                for counts in (batch.slice(at, most) for at in range(0, max(len(batch), 1), most)):
+                    valid, row, slot, value = _unit(counts, weights)
+                    place = np.cumsum(valid) - 1
+                    dense = np.zeros((int(valid.sum()), dim), np.float32)
+                    dense[place[row], slot] = value
+                    ends = pa.array(np.r_[0, np.cumsum(valid * dim)].astype(np.int32))
+                    yield pa.ListArray.from_arrays(ends, pa.array(dense.reshape(-1)), mask=pa.array(~valid))
 
-def _runs(slots: Column) -> Column:
-    """Each different value of a sorted array with the number of its occurrences."""
-    starts = F.filter(
-        F.transform(slots, lambda s, i: F.struct(s.alias("slot"), i.alias("at"), F.get(slots, i - 1).alias("before"))),
-        lambda r: r["before"].isNull() | (r["before"] != r["slot"]),
-    )
-    return let(
-        starts,
-        lambda runs: F.transform(
-            runs,
-            lambda r, i: F.struct(
-                r["slot"].alias("slot"), (F.coalesce(F.get(runs, i + 1)["at"], F.size(slots)) - r["at"]).alias("n")
-            ),
-        ),
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return df.withColumn(out_col, F.arrow_udf(run, "array<float>")(self._counted(df, text_col, self.dim)))
+
+
+_COUNTS = pa.list_(pa.struct([("slot", pa.int32()), ("n", pa.int32())]))
+
+# Bytes of text whose tokens, and values of whole vectors that are in memory at one time.
+SLICE_BYTES = 8 << 20
+DENSE_VALUES = 4 << 20
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of about ``SLICE_BYTES``; a longer text is alone."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), np.int64))
+    at = 0
+    while at < len(texts):
+        limit = SLICE_BYTES + (ends[at - 1] if at else 0)
+        end = max(at + 1, int(np.searchsorted(ends, limit, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def _slot_counts(texts: pa.Array, dim: int) -> pa.Array:
+    """Each different token is hashed once."""
+    words = pc.split_pattern(texts, " ")
+    lengths = np.asarray(words.value_lengths().fill_null(0), np.int64)
+    coded = words.flatten().dictionary_encode()
+    tokens = coded.dictionary.cast(pa.binary() if coded.dictionary.type == pa.string() else pa.large_binary()).to_pylist()
+    heads = b"".join(hashlib.md5(t).digest()[:4] for t in tokens)
+    slots = np.frombuffer(heads, ">u4").astype(np.int64) % dim
+    codes = np.asarray(coded.indices)
+    row = np.repeat(np.arange(len(texts)), lengths)
+    if b"" in tokens:
+        solid = codes != tokens.index(b"")
+        codes, row = codes[solid], row[solid]
+    keys, n = np.unique(row * dim + slots[codes], return_counts=True)
+    ends = np.searchsorted(keys, np.arange(len(texts) + 1) * dim).astype(np.int32)
+    pairs = pa.StructArray.from_arrays(
+        [pa.array((keys % dim).astype(np.int32)), pa.array(n.astype(np.int32))], names=["slot", "n"]
     )
+    return pa.ListArray.from_arrays(pa.array(ends), pairs, mask=texts.is_null())
+
+
+def _unit(counts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which counts are not null; row, slot and value of each entry other than 0."""
+    lengths = np.asarray(counts.value_lengths().fill_null(0), np.int64)
+    slot, n = (np.asarray(x) for x in counts.flatten().flatten())
+    value, row = n * weights[slot], np.repeat(np.arange(len(counts)), lengths)
+    some = value != 0
+    value, row, slot = value[some], row[some], slot[some]
+    norm = np.sqrt(np.bincount(row, value * value, minlength=len(counts)))
+    return np.asarray(counts.is_valid()), row, slot.astype(np.int32), (value / norm[row]).astype(np.float32)
 
 
 _loaded: dict[str, Callable] = {}

@@ -243,8 +243,9 @@ def q_embed_texts(spark, sf):
     docs = fixtures.table(spark, sf, "documents").select(
         F.col("doc_id").alias("row_id"), clean_text(F.col("text")).alias("text")
     )
-    encoder = HashedTfIdf.fit(docs, "text", 1024)
-    entries = encoder.encode_sparse(docs, "text", "x").select(
+    counts = stage_table(docs.select("row_id", HashedTfIdf.slot_counts(F.col("text"), 1024).alias("slots")), "slot-counts")
+    encoder = HashedTfIdf.fit(counts, "slots", 1024)
+    entries = encoder.encode_sparse(counts, "slots", "x").select(
         "row_id", F.inline(F.arrays_zip(F.col("x.indices").alias("slot"), F.col("x.values").alias("value")))
     )
     return entries.select("row_id", "slot", F.round(F.col("value").cast("double"), 5).alias("value"))

@@ -1,12 +1,14 @@
 import hashlib
 import json
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from labelway.operators import linear, predict
+from labelway.operators import embedding, linear, predict
 from labelway.operators.blocks import plan_blocks
 from labelway.operators.embedding import HashedTfIdf, PluginEncoder
 from labelway.operators.predict import hier_predict
@@ -378,3 +380,29 @@ def test_hashed_tfidf(spark):
         dense[r["s"]["indices"]] = r["s"]["values"]
         np.testing.assert_allclose(dense, want[r["row_id"]], atol=1e-6)
         assert r["s"]["indices"] == sorted(set(r["s"]["indices"]))
+
+
+def test_counted_texts_fit_and_encode_alike(spark):
+    """Texts are counted once: the counts serve fit and both encodings."""
+    texts = ["b a  b", "ключ 한 b", " ", "", None, "a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id int, text string")
+    counts = df.select("*", HashedTfIdf.slot_counts(F.col("text"), 32).alias("s"))
+    slot = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 32
+    for r in counts.collect():
+        want = None if r["text"] is None else sorted(Counter(map(slot, r["text"].split())).items())
+        assert (None if r["s"] is None else [tuple(s) for s in r["s"]]) == want
+    encoder = HashedTfIdf.fit(counts, "s", 32)
+    assert encoder.weights == HashedTfIdf.fit(df, "text", 32).weights
+    for encode in (encoder.encode, encoder.encode_sparse):
+        got = [r["x"] for r in encode(counts, "s", "x").orderBy("row_id").collect()]
+        assert got == [r["x"] for r in encode(df, "text", "x").orderBy("row_id").collect()]
+    assert encoder.encode(df.limit(0), "text", "x").count() == 0
+
+
+def test_slices_of_texts_keep_all(monkeypatch):
+    monkeypatch.setattr(embedding, "SLICE_BYTES", 4)
+    texts = pa.array(["aa", None, "bb", "", "a long one", "c", "d"])
+    parts = list(embedding._slices(texts))
+    assert pa.concat_arrays(parts).equals(texts) and [len(p) for p in parts] == [4, 1, 2]
+    whole = embedding._slot_counts(texts, 16)
+    assert pa.concat_arrays([embedding._slot_counts(p, 16) for p in parts]).equals(whole)
