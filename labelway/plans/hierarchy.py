@@ -332,10 +332,14 @@ def train_summary(tables: ModelTables) -> DataFrame:
 def embed_rows(prepared: DataFrame, cfg: HierConfig, encoder=None):
     """(encoder, rows with ``x``); the default encoder is fitted on the rows.
 
-    ``x`` is sparse if the encoder can give it so.
+    ``x`` is sparse if the encoder can give it so. For the default encoder the texts are
+    counted once; the rows come without them.
     """
     if encoder is None:
-        encoder = HashedTfIdf.fit(prepared, "text", cfg.features)
+        slots = HashedTfIdf.slot_counts(F.col("text"), cfg.features)
+        counts = stage_table(prepared.withColumn("slots", slots).drop("text"), "slot-counts")
+        encoder = HashedTfIdf.fit(counts, "slots", cfg.features)
+        return encoder, encoder.encode_sparse(counts, "slots", "x").drop("slots")
     encode = getattr(encoder, "encode_sparse", encoder.encode)
     return encoder, encode(prepared, "text", "x")
 

@@ -76,3 +76,9 @@ def test_scoring_is_narrow(spark, prepared):
     assert "Exchange" not in plan(score_requests(reqs, [model], "m"))
     scores = linear.softmax_proba(rows.select("x"), {0: head.weights})
     assert "ArrowEvalPython" in plan(scores) and "BatchEvalPython" not in plan(scores)
+
+
+def test_slots_are_counted_once(prepared):
+    """The rows to embed read staged counts: one Python step, which weighs them."""
+    text = plan(prepared[1].select("x"))
+    assert text.count("ArrowEvalPython") == 1 and "md5" not in text and "count(" not in text
