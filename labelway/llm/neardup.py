@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,44 +67,59 @@ def node_of(text: Column) -> Column:
     return F.unhex(F.md5(words))
 
 
-_words: dict[str, int] = {}
+# Texts whose words are in memory at one time.
+SLICE = 256
 
 
 def kmers(text: str | None, k: int = 5) -> np.ndarray:
     """Labelled k-mer hashes (uint64) in text order, all different."""
-    words = [w for w in split_words(text or "") if w]
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = _words
-    ids = list(map(known.get, words))
-    if None in ids:
-        if len(known) > 300_000:
-            known.clear()
-        for i, x in enumerate(ids):
-            if x is None:
-                ids[i] = known[words[i]] = xxhash.xxh64_intdigest(words[i])
-    ids = np.array(ids, np.uint64)
-    n, size = max(1, len(ids) - k + 1), min(k, len(ids))
+    return kmers_of(pa.array([text], pa.string()), k)[0]
+
+
+def kmers_of(texts: pa.Array, k: int = 5) -> list[np.ndarray]:
+    """``kmers`` of each text. Words stand between ASCII blanks, other white space is part of
+    a word; each different word is hashed once."""
+    for blank in BLANK[1:]:
+        texts = pc.replace_substring(texts, blank, " ")
+    words = pc.split_pattern(texts.fill_null(""), " ")
+    coded = words.flatten().dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    ids = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64)[np.asarray(coded.indices)]
+    ends = np.cumsum(np.asarray(words.value_lengths()))
+    if "" in known:
+        solid = np.asarray(coded.indices) != known.index("")
+        ends = np.r_[0, np.cumsum(solid)][ends]
+        ids = ids[solid]
+    full = _hashed(ids, k) if len(ids) >= k else None
+    out, start = [], 0
+    for end in ends.tolist():
+        n = end - start
+        out.append(_numbered(full[start : end - k + 1] if n >= k else _hashed(ids[start:end], n)) if n else ids[:0])
+        start = end
+    return out
+
+
+def _hashed(ids: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` neighbouring words."""
+    n = len(ids) - size + 1
     out = np.full(n, size, np.uint64)
     for i in range(size):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + n])
-    order = np.argsort(out, kind="stable")
-    ordered = out[order]
-    again = ordered[1:] == ordered[:-1]
-    if again.any():
-        start = np.maximum.accumulate(np.where(np.r_[True, ~again], np.arange(n), 0))
-        number = np.empty(n, np.uint64)
-        number[order] = np.arange(n) - start
-        out = np.where(number > 0, mix(out + number * np.uint64(0xD6E8FEB86659FD93)), out)
     return out
 
 
-def split_words(text: str) -> list[str]:
-    """Words between ASCII blanks, other white space is part of a word."""
-    return text.translate(_TO_SPACE).split(" ")
-
-
-_TO_SPACE = {ord(c): " " for c in BLANK}
+def _numbered(grams: np.ndarray) -> np.ndarray:
+    """Repeated k-mers with the number of their occurrence."""
+    ordered = np.sort(grams)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return grams.copy()
+    n = len(grams)
+    order = np.argsort(grams, kind="stable")
+    again = ordered[1:] == ordered[:-1]
+    start = np.maximum.accumulate(np.where(np.r_[True, ~again], np.arange(n), 0))
+    number = np.empty(n, np.uint64)
+    number[order] = np.arange(n) - start
+    return np.where(number > 0, mix(grams + number * np.uint64(0xD6E8FEB86659FD93)), grams)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,16 +138,24 @@ def sketch(grams: np.ndarray, cfg: OrderMinHash) -> list[int]:
     return out
 
 
+# Hashes of one text in memory at one time.
+HASHES_AT_ONCE = 1 << 18
+
+
 def _family(grams: np.ndarray, least: int, count: int, base: int) -> list[int]:
-    least, keys = min(least, len(grams)), []
-    for j in range(count):
-        seed = np.uint64((base + j) * 0x9E3779B97F4A7C15 % (1 << 64))
-        hashed = (grams ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
+    n, least, keys = len(grams), min(least, len(grams)), []
+    seeds = np.array([(base + j) * 0x9E3779B97F4A7C15 % (1 << 64) for j in range(count)], np.uint64)
+    at_once = max(1, HASHES_AT_ONCE // n)
+    for lo in range(0, count, at_once):
+        hashed = (grams ^ seeds[lo : lo + at_once, None]) * np.uint64(0xFF51AFD7ED558CCD)
         hashed ^= hashed >> np.uint64(32)
         hashed *= np.uint64(0xC4CEB9FE1A85EC53)
-        picked = np.argpartition(hashed, least - 1)[:least] if least < len(grams) else np.arange(len(grams))
-        picked.sort()
-        keys.append(xxhash.xxh64_intdigest(grams[picked].tobytes(), seed=base + j) - (1 << 63))
+        if least < n:
+            picked = np.sort(np.argpartition(hashed, least - 1, axis=1)[:, :least], axis=1)
+        else:
+            picked = np.broadcast_to(np.arange(n), hashed.shape)
+        for j, one in enumerate(grams[picked], base + lo):
+            keys.append(xxhash.xxh64_intdigest(one.tobytes(), seed=j) - (1 << 63))
     return keys
 
 
@@ -168,14 +192,19 @@ def alignment(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return length / (n + m - length) if length >= need - 1e-9 else 0.0
 
 
-def sketches(docs: DataFrame, cfg: OrderMinHash) -> DataFrame:
-    """(node, n, keys) of each different text."""
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """(node, text, ``more``) of each row, written once: the digest is made in one pass only."""
+    return stage_table(docs.select(node_of(F.col("text")).alias("node"), F.col("text").alias("text"), *more), "keyed")
+
+
+def sketches(rows: DataFrame, cfg: OrderMinHash) -> DataFrame:
+    """(node, n, keys) of each different text of ``rows`` (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                grams = [kmers(t.as_py(), cfg.words) for t in part.column(1)]
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                grams = kmers_of(part.column(1), cfg.words)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -185,8 +214,7 @@ def sketches(docs: DataFrame, cfg: OrderMinHash) -> DataFrame:
                     ["node", "n", "keys"],
                 )
 
-    rows = docs.select(node_of(F.col("text")).alias("node"), F.col("text").alias("text"))
-    found = rows.mapInArrow(run, "node binary, n long, keys array<long>")
+    found = rows.select("node", "text").mapInArrow(run, "node binary, n long, keys array<long>")
     return found.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
 
 
@@ -238,24 +266,25 @@ def verified(pairs: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, np.ndarray] = {}
         held = 0
-
-        def grams(node: bytes, text: str | None) -> np.ndarray:
-            nonlocal held
-            if node not in cache:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                a, b, text_a, text_b = batch.slice(at, SLICE).columns
+                pairs = list(zip(a.to_pylist(), b.to_pylist()))
                 if held > CACHED_KMERS:
                     cache.clear()
                     held = 0
-                cache[node] = kmers(text, cfg.words)
-                held += len(cache[node]) + 100
-            return cache[node]
-
-        for batch in batches:
-            a, b, text_a, text_b = batch.columns
-            found = [
-                alignment(grams(x.as_py(), s.as_py()), grams(y.as_py(), t.as_py()), cfg.similarity)
-                for x, y, s, t in zip(a, b, text_a, text_b)
-            ]
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(found, pa.float64())], ["node", "pivot", "similarity"])
+                new: dict[bytes, tuple[int, int]] = {}
+                for i, pair in enumerate(pairs):
+                    for side, node in enumerate(pair):
+                        if node not in cache:
+                            new.setdefault(node, (side, i))
+                for side, column in enumerate((text_a, text_b)):
+                    mine = [node for node, (where, _) in new.items() if where == side]
+                    for node, grams in zip(mine, kmers_of(column.take(pa.array([new[x][1] for x in mine], pa.int64())), cfg.words)):
+                        cache[node] = grams
+                        held += len(grams) + 100
+                found = [alignment(cache[x], cache[y], cfg.similarity) for x, y in pairs]
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(found, pa.float64())], ["node", "pivot", "similarity"])
 
     pivots = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
     full = pairs.join(pivots, "pivot").join(texts, "node").select("node", "pivot", "text", "pivot_text")
@@ -273,14 +302,21 @@ def compared(pairs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, cfg: OrderMinHash = OrderMinHash()) -> DataFrame:
     """Verified links (a, b) between nodes, enough of them to connect each class."""
+    return _links(keyed(docs), cfg)
+
+
+def _links(docs: DataFrame, cfg: OrderMinHash) -> DataFrame:
+    """``links`` of rows (node, text)."""
     base = stage_table(sketches(docs, cfg), "sketches")
-    own = F.lit(0).cast("long").alias("own")
-    rows = base.select(F.explode("keys").alias("bucket"), "node", "n", F.col("node").alias("root"), own)
+    rows = base.select(F.explode("keys").alias("bucket"), "node", "n")
+    # most buckets hold one text: they go before anything is chosen
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    rows = stage_table(rows.join(shared, "bucket", "left_semi"), "shared-buckets")
+    rows = rows.select("*", F.col("node").alias("root"), F.lit(0).cast("long").alias("own"))
     members = stage_table(bucket_members(rows, cfg, 2), "members")
     # one text of each node in a bucket, written once for all rounds
-    every = docs.select(node_of(F.col("text")).alias("node"), F.col("text").alias("text"))
-    one = every.groupBy("node").agg(F.first("text").alias("text"))
-    texts = stage_table(one.join(members.select("node").distinct(), "node", "left_semi"), "texts")
+    in_bucket = docs.select("node", "text").join(members.select("node").distinct(), "node", "left_semi")
+    texts = stage_table(in_bucket.groupBy("node").agg(F.first("text").alias("text")), "texts")
     pairs = members.select("bucket", "node", "chosen", F.explode("others").alias("pivot"))
     found = _linked(pairs, texts, cfg)
     roots = components(found)
@@ -330,10 +366,12 @@ def prefixes(texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [kmers(t.as_py(), cfg.words).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["node", "grams"]
-            )
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                grams = [g.view(np.int64) for g in kmers_of(part.column(1), cfg.words)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(grams, pa.list_(pa.int64()))], ["node", "grams"]
+                )
 
     grams = texts.select("node", "text").mapInArrow(run, "node binary, grams array<long>")
     each = stage_table(
@@ -357,9 +395,14 @@ def classes(docs: DataFrame, cfg: OrderMinHash = OrderMinHash()) -> DataFrame:
 
     ``class_id`` is the least doc_id of the class, null if it has none.
     """
-    ids = docs.select(node_of(F.col("text")).alias("node"), F.col("doc_id").cast("long").alias("doc_id"))
+    return _classes(keyed(docs, "doc_id"), cfg)
+
+
+def _classes(docs: DataFrame, cfg: OrderMinHash) -> DataFrame:
+    """``classes`` of rows (node, text, doc_id)."""
+    ids = docs.select("node", F.col("doc_id").cast("long").alias("doc_id"))
     nodes = ids.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    roots = components(links(docs, cfg))
+    roots = components(_links(docs, cfg))
     placed = stage_table(
         nodes.join(roots, "node", "left").select(
             "node", "first_id", "copies", F.coalesce("root", "node").alias("root")
@@ -389,6 +432,5 @@ def deduplicate(docs: DataFrame, cfg: OrderMinHash = OrderMinHash()) -> DataFram
 
 def q_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its class, the size of the class, and copies of its own text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = docs.select("doc_id", node_of(F.col("text")).alias("node"))
-    return ids.join(classes(docs), "node").select("doc_id", "class_id", "class_size", "copies")
+    docs = keyed(table(spark, sf_dir, "documents"), "doc_id")
+    return docs.select("doc_id", "node").join(_classes(docs, OrderMinHash()), "node").select("doc_id", "class_id", "class_size", "copies")

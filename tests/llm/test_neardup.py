@@ -118,3 +118,20 @@ def test_one_row_of_each_class_stays(spark, odd_docs):
     # blank texts are one class; the row without an id stands alone
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 6, 7, 8]
     assert N.deduplicate(odd_docs.limit(0)).count() == 0
+
+
+def test_batches_of_kmers_equal_single_texts():
+    texts = [None, "", " \n", "a b", "a b c d e", "a b a b a b a b a", "x\ty\x0bz\x1fw  v u t", "한 글 " * 9, "a b c d e f"]
+    many = N.kmers_of(N.pa.array(texts, N.pa.string()))
+    for text, grams in zip(texts, many):
+        assert np.array_equal(grams, N.kmers(text)) and len(np.unique(grams)) == len(grams)
+    assert [len(g) for g in many] == [0, 0, 0, 1, 1, 5, 2, 14, 2]
+
+
+def test_digests_of_texts_are_made_once(spark):
+    """What follows reads the staged rows, with the digest in them."""
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 2}") for i in range(6)], "doc_id long, text string")
+    rows = N.keyed(docs, "doc_id")
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (N.sketches(rows, N.OrderMinHash()), rows)]
+    assert not any("md5" in p or "regexp_replace" in p for p in plans)
+    assert rows.count() == 6 and rows.select("node").distinct().count() == 2
