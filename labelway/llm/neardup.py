@@ -13,10 +13,12 @@ Texts with the same words are copies: they share a node (digest of the words)
 and are collapsed first. Each bucket compares its members with its least and its
 greatest node only. Texts of buckets that are still of two components after that,
 linked ones included, are joined exactly: in the
-order of rarity any two similar ones share a k-mer in a short prefix. Buckets of
-those k-mers are compared in rounds with more and more chosen nodes, until the members
+order of rarity any two similar ones share a k-mer in a short prefix. Those of a large
+bucket are alike in most k-mers, so they meet again by how they differ from one pivot: similar ones
+must share many of these differences, too (``differences``). Buckets are then
+compared in rounds with more and more chosen nodes, until the members
 not yet compared with all others of their bucket are of one component. So pairs grow with members, not with their
-square, whatever the size of a group of copies, and there is no cap.
+square, for copies of one text however many, and there is no cap.
 
 Defined cases: null, empty and blank texts have the same (no) words and form one
 class. Texts of fewer than five words are one k-mer: only copies match. Repeated
@@ -219,37 +221,41 @@ def sketches(rows: DataFrame, cfg: OrderMinHash) -> DataFrame:
 
 
 def bucket_members(rows: DataFrame, cfg: OrderMinHash, ends: int) -> DataFrame:
-    """Members (bucket, node, n, root, own) of buckets with two roots or more, each with the
-    nodes ``others`` to compare it with, and whether it is ``chosen`` itself.
+    """Members (bucket, node, n, root, own, side) of buckets with two roots or more, each with the
+    nodes ``others`` to compare it with, and whether it is ``chosen`` itself. Members of side -1
+    and 1 are compared with the other side only, those of 0 with all.
 
     A bucket chooses at most ``ends`` nodes: the one with the fewest k-mers of its own
     (the original among edited copies) and the greatest one of each of ``ends / 2``
     parts of all nodes, so overlapping buckets choose the same ones.
     """
     part = F.pmod(F.xxhash64("node", F.lit(ends)), F.lit(ends // 2))
-    whole = F.struct("node", "n", "root")
+    whole = F.struct("node", "n", "root", "side")
     chosen = (
         rows.groupBy("bucket", part.alias("part"))
         .agg(
             F.min_by(whole, F.struct("own", "node")).alias("lo"), F.max(whole).alias("hi"),
             F.min("root").alias("first"), F.max("root").alias("last"),
+            F.min("side").alias("low"), F.max("side").alias("high"),
         )
         .groupBy("bucket")
         .agg(
             F.array_distinct(F.flatten(F.collect_list(F.array("lo", "hi")))).alias("all"),
             F.min("first").alias("first"), F.max("last").alias("last"),
+            F.min("low").alias("low"), F.max("high").alias("high"),
         )
-        .filter("first < last")
+        .filter("first < last and (low < high or low = 0)")
     )
     size, least = F.col("n"), cfg.similarity
     partners = F.filter(
         "all",
         lambda x: (x["root"] != F.col("root"))
+        & (x["side"] * F.col("side") <= 0)
         & (F.least(size, x["n"]) >= least * F.greatest(size, x["n"])),
     )
     own = F.exists("all", lambda x: x["node"] == F.col("node"))
     return rows.join(chosen.select("bucket", "all"), "bucket").select(
-        "bucket", "node", "n", "root", "own", own.alias("chosen"), partners["node"].alias("others")
+        "bucket", "node", "n", "root", "own", "side", own.alias("chosen"), partners["node"].alias("others")
     )
 
 
@@ -264,33 +270,49 @@ def verified(pairs: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, np.ndarray] = {}
-        held = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                a, b, text_a, text_b = batch.slice(at, SLICE).columns
-                pairs = list(zip(a.to_pylist(), b.to_pylist()))
-                if held > CACHED_KMERS:
-                    cache.clear()
-                    held = 0
-                new: dict[bytes, tuple[int, int]] = {}
-                for i, pair in enumerate(pairs):
-                    for side, node in enumerate(pair):
-                        if node not in cache:
-                            new.setdefault(node, (side, i))
-                for side, column in enumerate((text_a, text_b)):
-                    mine = [node for node, (where, _) in new.items() if where == side]
-                    for node, grams in zip(mine, kmers_of(column.take(pa.array([new[x][1] for x in mine], pa.int64())), cfg.words)):
-                        cache[node] = grams
-                        held += len(grams) + 100
-                found = [alignment(cache[x], cache[y], cfg.similarity) for x, y in pairs]
-                yield pa.RecordBatch.from_arrays([a, b, pa.array(found, pa.float64())], ["node", "pivot", "similarity"])
+        for part, grams in kmers_of_pairs(batches, cfg.words):
+            found = [alignment(x, y, cfg.similarity) for x, y in grams]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:2], pa.array(found, pa.float64())], ["node", "pivot", "similarity"]
+            )
 
-    pivots = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
-    full = pairs.join(pivots, "pivot").join(texts, "node").select("node", "pivot", "text", "pivot_text")
+    full = with_texts(pairs, texts)
     return full.mapInArrow(run, "node binary, pivot binary, similarity double").filter("similarity > 0")
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, pivot, text, pivot_text) of ``pairs``."""
+    pivots = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
+    return pairs.join(pivots, "pivot").join(texts, "node").select("node", "pivot", "text", "pivot_text")
+
+
+def kmers_of_pairs(
+    batches: Iterator[pa.RecordBatch], k: int
+) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Slices of rows of ``with_texts`` and the k-mers of both texts of each row."""
+    cache: dict[bytes, np.ndarray] = {}
+    held = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            a, b, text_a, text_b = part.columns
+            pairs = list(zip(a.to_pylist(), b.to_pylist()))
+            if held > CACHED_KMERS:
+                cache.clear()
+                held = 0
+            new: dict[bytes, tuple[int, int]] = {}
+            for i, pair in enumerate(pairs):
+                for side, node in enumerate(pair):
+                    if node not in cache:
+                        new.setdefault(node, (side, i))
+            for side, column in enumerate((text_a, text_b)):
+                mine = [node for node, (where, _) in new.items() if where == side]
+                for node, grams in zip(mine, kmers_of(column.take(pa.array([new[x][1] for x in mine], pa.int64())), k)):
+                    cache[node] = grams
+                    held += len(grams) + 100
+            yield part, [(cache[x], cache[y]) for x, y in pairs]
+
+
 def compared(pairs: DataFrame) -> DataFrame:
     """Different pairs, each once whichever of the two was chosen."""
     a, b = F.least("node", "pivot"), F.greatest("node", "pivot")
@@ -312,7 +334,7 @@ def _links(docs: DataFrame, cfg: OrderMinHash) -> DataFrame:
     # most buckets hold one text: they go before anything is chosen
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     rows = stage_table(rows.join(shared, "bucket", "left_semi"), "shared-buckets")
-    rows = rows.select("*", F.col("node").alias("root"), F.lit(0).cast("long").alias("own"))
+    rows = rows.select("*", F.col("node").alias("root"), F.lit(0).cast("long").alias("own"), F.lit(0).alias("side"))
     members = stage_table(bucket_members(rows, cfg, 2), "members")
     # one text of each node in a bucket, written once for all rounds
     in_bucket = docs.select("node", "text").join(members.select("node").distinct(), "node", "left_semi")
@@ -325,7 +347,7 @@ def _links(docs: DataFrame, cfg: OrderMinHash) -> DataFrame:
     open_buckets = rest.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last"))
     rest = rest.join(open_buckets.filter("first < last"), "bucket", "left_semi").select("node").distinct()
     rows = stage_table(prefixes(texts.join(rest, "node", "left_semi"), cfg), "prefixes")
-    rows = _rooted(rows, roots)
+    rows = _narrowed(_rooted(rows, roots).withColumn("side", F.lit(0)), texts, cfg)
     ends = 2
     while not rows.isEmpty():
         members = bucket_members(rows, cfg, ends)
@@ -333,7 +355,7 @@ def _links(docs: DataFrame, cfg: OrderMinHash) -> DataFrame:
         new = _linked(each.select("node", F.explode("others").alias("pivot")), texts, cfg)
         found = found.unionAll(new)
         # a chosen node was compared with all of its bucket; others stay until one component is left
-        left = members.filter("not chosen").select("bucket", "node", "n", "own", "root")
+        left = members.filter("not chosen").select("bucket", "node", "n", "own", "root", "side")
         if not new.isEmpty():
             roots = components(roots.toDF("a", "b").unionAll(new))
             left = _rooted(left.drop("root"), roots)
@@ -347,6 +369,97 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+# Buckets of more texts are narrowed first.
+FEW = 8
+
+
+def _narrowed(rows: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
+    """``rows`` (bucket, node, n, root, own, side) of buckets with two roots, and ``differences`` in place of
+    the buckets of more than ``FEW`` texts.
+
+    The pivot of a bucket is the text with the fewest k-mers of its own that its members
+    meet in any bucket, so overlapping buckets have the same one, the original of edited copies.
+    """
+    rank = F.struct("own", (-F.col("n")).alias("less"), "node")
+    sized = rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("texts"), F.min("root").alias("first"), F.max("root").alias("last"), F.min(rank).alias("hub")
+    )
+    sized = sized.filter("first < last").drop("first", "last")
+    rows = stage_table(rows.join(sized, "bucket"), "open-buckets")
+    few, many = rows.filter(F.col("texts") <= FEW), rows.filter(F.col("texts") > FEW)
+    if many.isEmpty():
+        return few.drop("texts", "hub")
+    best = many.groupBy("node").agg(F.min("hub").alias("best"))
+    pivots = many.join(best, "node").groupBy("bucket").agg(F.min("best")["node"].alias("pivot"))
+    asked = many.join(pivots, "bucket").select("node", "pivot", "n", "own", "root").distinct()
+    found = differences(stage_table(asked, "asked-pivots"), texts, cfg)
+    return stage_table(few.drop("texts", "hub").unionByName(found), "narrowed")
+
+
+def differences(asked: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
+    """(bucket, node, n, root, own, side): texts with a pivot that can be similar, by what they differ in.
+
+    ``d`` of a text are the k-mers that it or its pivot has alone. Two texts of ``n`` and ``m`` k-mers
+    differ in ``d + e - 2 * o`` if ``o`` of these are the same, and similar ones in at most
+    ``c * (n + m)``, where ``c = (1 - s) / (1 + s)``. So ``o`` is at least the sum of both weights ``(d - c * n) / 2``.
+    Each text goes, for each class of weights a partner can have, to the buckets of its rarest
+    differences, as many as any such partner must share one of. Differences of one text come first and
+    make no bucket. Where the sum can be 0, the class itself is a bucket. The side tells the class of less
+    weight from that of more: only texts of both can be partners.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, grams in kmers_of_pairs(batches, cfg.words):
+            found = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in grams]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:2], pa.array(found, pa.list_(pa.int64()))], ["node", "pivot", "grams"]
+            )
+
+    grams = with_texts(asked.select("node", "pivot"), texts).mapInArrow(run, "node binary, pivot binary, grams array<long>")
+    each = stage_table(
+        grams.select("node", "pivot", F.size("grams").alias("d"), F.explode_outer("grams").alias("gram")), "differences"
+    )
+    common = each.groupBy("pivot", "gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    one = F.when(F.col("texts").isNotNull(), F.struct("texts", "gram"))
+    ranked = (
+        each.join(common, ["pivot", "gram"], "left")
+        .groupBy("node", "pivot", "d")
+        .agg(F.array_sort(F.collect_list(one))["gram"].alias("shared"))
+        .join(asked, ["node", "pivot"])
+    )
+    c, s, n = (1 - cfg.similarity) / (1 + cfg.similarity), cfg.similarity, F.col("n")
+    level = lambda x: F.floor(F.log2(x) + 1e-9).cast("int")
+    # pairs meet at the level of the longer text
+    ranked = ranked.withColumn("weight", (F.col("d") - c * n) / 2).withColumn(
+        "level", F.explode(F.sequence(level(n), level(n / s)))
+    )
+    unit = F.greatest(F.pow(F.lit(2.0), F.col("level")) / 32, F.lit(1.0))
+    ranked = ranked.withColumn("unit", unit).withColumn("mine", F.floor(F.col("weight") / unit))
+    weight, shared = F.col("weight"), F.size("shared")
+    # a partner differs by c * (n + m) at most, so does its distance from the pivot
+    least = F.greatest(weight - c * n / s, -c * n / s / 2) - 1e-6
+    most = F.least(weight + c * n, shared - weight) + 1e-6
+    least, most = F.floor(least / F.col("unit")), F.floor(most / F.col("unit"))
+    ranked = ranked.withColumn("other", F.explode(F.when(least <= most, F.sequence(least, most))))
+    need = F.ceil(weight + F.col("other") * F.col("unit") - 1e-6)
+    taken = F.slice("shared", 1, F.greatest(shared - F.greatest(need, F.lit(1)) + 1, F.lit(0)).cast("int"))
+    none = F.array(F.lit(None).cast("long"))
+    met = ranked.withColumn("gram", F.explode(F.when(F.col("mine") + F.col("other") <= 0, none).otherwise(taken)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    met = stage_table(
+        met.select(
+            F.xxhash64("pivot", "level", low, high, "gram").alias("bucket"),
+            "node", "n", "root", "own", F.signum(F.col("mine") - F.col("other")).cast("int").alias("side"),
+        ),
+        "met",
+    )
+    both = met.groupBy("bucket").agg(
+        F.min("root").alias("first"), F.max("root").alias("last"), F.min("side").alias("low"), F.max("side").alias("high")
+    )
+    both = both.filter("first < last and (low < high or low = 0)")
+    return met.join(both, "bucket", "left_semi")
+
+
 def _ordered() -> list[Column]:
     return [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
 

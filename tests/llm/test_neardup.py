@@ -135,3 +135,57 @@ def test_digests_of_texts_are_made_once(spark):
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (N.sketches(rows, N.OrderMinHash()), rows)]
     assert not any("md5" in p or "regexp_replace" in p for p in plans)
     assert rows.count() == 6 and rows.select("node").distinct().count() == 2
+
+
+def copies_at_the_bound(n, seed):
+    """A text and copies with 1 to 9 changed words: half of them are just too far from it."""
+    rng = random.Random(seed)
+    base, new = [f"b{i}" for i in range(150)], [f"n{i}" for i in range(60)]
+    texts = [base]
+    for _ in range(n):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 10)):
+            copy[at] = rng.choice(new)
+        texts.append(copy)
+    return list(dict.fromkeys(map(" ".join, texts)))
+
+
+def test_pairs_of_one_original_grow_with_texts(spark, monkeypatch):
+    pairs = []
+
+    def counted(found, *args, run=N._linked):
+        pairs.append(N.compared(found).count())
+        return run(found, *args)
+
+    monkeypatch.setattr(N, "_linked", counted)
+    texts = copies_at_the_bound(300, 3)
+    classes = check_all_pairs(spark, texts)
+    far = len(set(classes)) - 1
+    assert 100 < far < 250
+    # after the sketches; 57 a text before, as each far text met most others
+    assert sum(pairs[1:]) < 5 * len(texts)
+
+
+def test_similar_texts_share_a_difference_from_any_pivot(spark):
+    rng, cfg = random.Random(5), N.OrderMinHash()
+    texts = []
+    for size in (9, 33, 64, 120, 300, 500):
+        base = [f"b{rng.randrange(size)}" for _ in range(size)]
+        for _ in range(14):
+            copy = list(base)
+            for at in rng.sample(range(size), rng.randrange(1 + size // 40 + 1)):
+                copy[at : at + 1] = rng.choice([[], ["x"], ["y", "z"], [f"e{rng.randrange(99)}"]])
+            texts.append(" ".join(copy))
+    grams = {i: N.kmers(t, cfg.words) for i, t in enumerate(dict.fromkeys(texts))}
+    nodes = [(i.to_bytes(2), t) for i, t in enumerate(dict.fromkeys(texts))]
+    pivots = rng.sample(range(len(nodes)), 3)
+    rows = [(node, nodes[p][0], len(grams[i]), 0, node) for i, (node, _) in enumerate(nodes) for p in pivots]
+    asked = spark.createDataFrame(rows, "node binary, pivot binary, n long, own long, root binary")
+    stored = spark.createDataFrame(nodes, "node binary, text string")
+    similar = {(i, j) for i, j in combinations(grams, 2) if N.alignment(grams[i], grams[j], cfg.similarity) > 0}
+    assert len(similar) > 50
+    for p in pivots:
+        met = {}
+        for r in N.differences(asked.filter(asked.pivot == nodes[p][0]), stored, cfg).collect():
+            met.setdefault(r.bucket, []).append((int.from_bytes(r.node), r.side))
+        assert similar <= {(i, j) for rows in met.values() for i, x in rows for j, y in rows if i < j and x * y <= 0}
