@@ -1,6 +1,6 @@
 """The training job: labelled texts in, model tables out.
 
-Text is cleaned and written once. Curation, class dictionaries and splits read
+Text is cleaned once and written as its slot counts (as text for a user's encoder). Curation, class dictionaries and splits read
 only the narrow columns of that table. Vectors are computed once into a
 training table, laid out by category in equal parts; every training pass
 serves the router and all heads together.
@@ -42,8 +42,12 @@ def drop_empty_texts(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.where(has_words(F.col(text_col))).withColumn(text_col, clean_text(F.col(text_col)))
 
 
-def prepare_rows(rows: DataFrame, cfg: HierConfig) -> DataFrame:
-    """Filtered, cleaned and curated rows: id, text, category, label parts."""
+def prepare_rows(rows: DataFrame, cfg: HierConfig, features: int | None = None) -> DataFrame:
+    """Filtered, cleaned and curated rows: id, text, category, label parts.
+
+    With ``features`` the text is replaced by its counts in so many slots as it is cleaned, so
+    it is never written.
+    """
     keys = [cfg.cat_col, cfg.issue_col, cfg.sub_col]
     graded = graded_rows(rows, cfg).select(
         *[c for c in [cfg.id_col] if c in rows.columns], cfg.text_col, *keys
@@ -51,7 +55,10 @@ def prepare_rows(rows: DataFrame, cfg: HierConfig) -> DataFrame:
     if cfg.id_col not in rows.columns:
         # fixed by the write below
         graded = graded.withColumn(cfg.id_col, F.monotonically_increasing_id())
-    cleaned = stage_table(drop_empty_texts(graded, cfg.text_col), "cleaned")
+    texts = drop_empty_texts(graded, cfg.text_col)
+    if features:
+        texts = texts.withColumn(cfg.text_col, HashedTfIdf.slot_counts(F.col(cfg.text_col), features))
+    cleaned = stage_table(texts, "cleaned")
     curated = taxonomy.curate(cleaned, cfg)
     if cfg.max_rows:
         curated = sampling.sample_rows(curated, cfg.id_col, cfg.max_rows, cfg.seed)
@@ -333,8 +340,11 @@ def embed_rows(prepared: DataFrame, cfg: HierConfig, encoder=None):
     """(encoder, rows with ``x``); the default encoder is fitted on the rows.
 
     ``x`` is sparse if the encoder can give it so. For the default encoder the texts are
-    counted once; the rows come without them.
+    counted once, here or by ``prepare_rows``; the rows come without them.
     """
+    if encoder is None and isinstance(prepared.schema["text"].dataType, T.ArrayType):
+        encoder = HashedTfIdf.fit(prepared, "text", cfg.features)
+        return encoder, encoder.encode_sparse(prepared, "text", "x").drop("text")
     if encoder is None:
         slots = HashedTfIdf.slot_counts(F.col("text"), cfg.features)
         counts = stage_table(prepared.withColumn("slots", slots).drop("text"), "slot-counts")
@@ -346,7 +356,9 @@ def embed_rows(prepared: DataFrame, cfg: HierConfig, encoder=None):
 
 def fit_hierarchy(rows: DataFrame, cfg: HierConfig, encoder=None) -> ModelTables:
     """The whole training job."""
-    prepared = prepare_rows(rows, cfg)
+    # of a sample, only its own texts are counted
+    counted = cfg.features if encoder is None and not cfg.max_rows else None
+    prepared = prepare_rows(rows, cfg, counted)
     encoder, embedded = embed_rows(prepared, cfg, encoder)
     data = build_training_set(embedded, F.col("x"), encoder.dim, cfg)
     return model_tables(data, fit_weights(data, cfg), cfg, encoder)

@@ -57,11 +57,13 @@ def score_requests(
     families: dict[str, list[Model]] = {}
     for model in models:
         families.setdefault(model.encoder_id, []).append(model)
-    for family in families.values():
+    for at, family in enumerate(families.values(), 1):
         encoder = encoder_of(family[0], encoders)
         mine = F.col("model_id").isin([m.model_id for m in family])
         df = encoder.encode(df, "__text", "__vec").withColumn("__x", F.when(mine, F.col("__vec")))
-        df = hier_predict(df, family, "__x", out="__found", drop=("__vec", "__x"))
+        # after the last encoder no step needs the texts
+        texts = ("text", "__text") if at == len(families) else ()
+        df = hier_predict(df, family, "__x", out="__found", drop=("__vec", "__x", *(c for c in texts if c not in keep)))
         df = df.withColumn("predictions", F.coalesce("__found", "predictions")).drop("__found")
     names = F.create_map(*[F.lit(v) for m in models for v in (m.model_id, m.encoder_id)]).cast("map<string,string>")
     answer = F.struct(
