@@ -324,11 +324,11 @@ def compared(pairs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, cfg: OrderMinHash = OrderMinHash()) -> DataFrame:
     """Verified links (a, b) between nodes, enough of them to connect each class."""
-    return _links(keyed(docs), cfg)
+    return _links(keyed(docs), cfg)[0]
 
 
-def _links(docs: DataFrame, cfg: OrderMinHash) -> DataFrame:
-    """``links`` of rows (node, text)."""
+def _links(docs: DataFrame, cfg: OrderMinHash) -> tuple[DataFrame, DataFrame]:
+    """``links`` of rows (node, text), and the components (node, root) they make."""
     base = stage_table(sketches(docs, cfg), "sketches")
     rows = base.select(F.explode("keys").alias("bucket"), "node", "n")
     # most buckets hold one text: they go before anything is chosen
@@ -346,8 +346,9 @@ def _links(docs: DataFrame, cfg: OrderMinHash) -> DataFrame:
     rest = _rooted(members.select("bucket", "node"), roots)
     open_buckets = rest.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last"))
     rest = rest.join(open_buckets.filter("first < last"), "bucket", "left_semi").select("node").distinct()
-    rows = stage_table(prefixes(texts.join(rest, "node", "left_semi"), cfg), "prefixes")
-    rows = _narrowed(_rooted(rows, roots).withColumn("side", F.lit(0)), texts, cfg)
+    shared = shared_kmers(texts.join(rest, "node", "left_semi"), cfg)
+    rows = stage_table(prefixes(shared, cfg), "prefixes")
+    rows = _narrowed(_rooted(rows, roots).withColumn("side", F.lit(0)), texts, cfg, shared)
     ends = 2
     while not rows.isEmpty():
         members = bucket_members(rows, cfg, ends)
@@ -361,7 +362,7 @@ def _links(docs: DataFrame, cfg: OrderMinHash) -> DataFrame:
             left = _rooted(left.drop("root"), roots)
         rows = stage_table(left, "rest")
         ends *= 4
-    return found
+    return found, roots
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -373,7 +374,7 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 FEW = 8
 
 
-def _narrowed(rows: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
+def _narrowed(rows: DataFrame, texts: DataFrame, cfg: OrderMinHash, shared: DataFrame) -> DataFrame:
     """``rows`` (bucket, node, n, root, own, side) of buckets with two roots, and ``differences`` in place of
     the buckets of more than ``FEW`` texts.
 
@@ -392,14 +393,16 @@ def _narrowed(rows: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFrame
     best = many.groupBy("node").agg(F.min("hub").alias("best"))
     pivots = many.join(best, "node").groupBy("bucket").agg(F.min("best")["node"].alias("pivot"))
     asked = many.join(pivots, "bucket").select("node", "pivot", "n", "own", "root").distinct()
-    found = differences(stage_table(asked, "asked-pivots"), texts, cfg)
+    found = differences(stage_table(asked, "asked-pivots"), texts, cfg, shared)
     return stage_table(few.drop("texts", "hub").unionByName(found), "narrowed")
 
 
-def differences(asked: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
+def differences(asked: DataFrame, texts: DataFrame, cfg: OrderMinHash, shared: DataFrame | None = None) -> DataFrame:
     """(bucket, node, n, root, own, side): texts with a pivot that can be similar, by what they differ in.
 
-    ``d`` of a text are the k-mers that it or its pivot has alone. Two texts of ``n`` and ``m`` k-mers
+    ``d`` of a text are the k-mers that it or the middle of its pivot has alone. The middle are those k-mers of
+    the pivot that are in more texts than half of its members; any other set would give the same pairs, this one
+    is near most members. K-mers of one text only (not in ``shared``) are counted and not listed. Two texts of ``n`` and ``m`` k-mers
     differ in ``d + e - 2 * o`` if ``o`` of these are the same, and similar ones in at most
     ``c * (n + m)``, where ``c = (1 - s) / (1 + s)``. So ``o`` is at least the sum of both weights ``(d - c * n) / 2``.
     Each text goes, for each class of weights a partner can have, to the buckets of its rarest
@@ -408,25 +411,31 @@ def differences(asked: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFr
     weight from that of more: only texts of both can be partners.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, grams in kmers_of_pairs(batches, cfg.words):
-            found = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in grams]
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:2], pa.array(found, pa.list_(pa.int64()))], ["node", "pivot", "grams"]
-            )
-
-    grams = with_texts(asked.select("node", "pivot"), texts).mapInArrow(run, "node binary, pivot binary, grams array<long>")
-    each = stage_table(
-        grams.select("node", "pivot", F.size("grams").alias("d"), F.explode_outer("grams").alias("gram")), "differences"
+    shared = shared_kmers(texts, cfg) if shared is None else shared
+    sizes = asked.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"))
+    usual = F.filter("shared", lambda x: 2 * x["texts"] > F.col("members"))["gram"]
+    middles = stage_table(
+        sizes.join(shared.select(F.col("node").alias("pivot"), "shared"), "pivot").select("pivot", usual.alias("middle")),
+        "middles",
+    )
+    none = F.array().cast("array<long>")
+    mine, middle = F.coalesce(F.col("shared")["gram"], none), F.coalesce("middle", none)
+    each = (
+        asked.join(middles, "pivot", "left")
+        .join(shared.select("node", "shared"), "node", "left")
+        .select("node", "pivot", "n", "root", "own", mine.alias("mine"), middle.alias("middle"))
+        .withColumn("grams", F.concat(F.array_except("mine", "middle"), F.array_except("middle", "mine")))
     )
-    common = each.groupBy("pivot", "gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
-    one = F.when(F.col("texts").isNotNull(), F.struct("texts", "gram"))
-    ranked = (
-        each.join(common, ["pivot", "gram"], "left")
-        .groupBy("node", "pivot", "d")
-        .agg(F.array_sort(F.collect_list(one))["gram"].alias("shared"))
-        .join(asked, ["node", "pivot"])
+    d = F.col("n") - F.size("mine") + F.size("grams")
+    each = stage_table(each.select("node", "pivot", "n", "root", "own", d.alias("d"), "grams"), "differences")
+    grams = each.select("node", "pivot", F.explode("grams").alias("gram"))
+    common = grams.groupBy("pivot", "gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    met_by = (
+        grams.join(common, ["pivot", "gram"])
+        .groupBy("node", "pivot")
+        .agg(F.array_sort(F.collect_list(F.struct("texts", "gram")))["gram"].alias("shared"))
     )
+    ranked = each.drop("grams").join(met_by, ["node", "pivot"], "left").withColumn("shared", F.coalesce("shared", none))
     c, s, n = (1 - cfg.similarity) / (1 + cfg.similarity), cfg.similarity, F.col("n")
     level = lambda x: F.floor(F.log2(x) + 1e-9).cast("int")
     # pairs meet at the level of the longer text
@@ -443,8 +452,8 @@ def differences(asked: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFr
     ranked = ranked.withColumn("other", F.explode(F.when(least <= most, F.sequence(least, most))))
     need = F.ceil(weight + F.col("other") * F.col("unit") - 1e-6)
     taken = F.slice("shared", 1, F.greatest(shared - F.greatest(need, F.lit(1)) + 1, F.lit(0)).cast("int"))
-    none = F.array(F.lit(None).cast("long"))
-    met = ranked.withColumn("gram", F.explode(F.when(F.col("mine") + F.col("other") <= 0, none).otherwise(taken)))
+    alone = F.array(F.lit(None).cast("long"))
+    met = ranked.withColumn("gram", F.explode(F.when(F.col("mine") + F.col("other") <= 0, alone).otherwise(taken)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     met = stage_table(
         met.select(
@@ -468,14 +477,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
     return stage_table(verified(compared(pairs), texts, cfg).select(*_ordered()), "links")
 
 
-def prefixes(texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
-    """(bucket, node, n, own): the rarest k-mers of each text, as many as any partner must share one of.
-
-    Texts of similarity ``s`` have at least ``s * n`` common k-mers, so in one
-    order of all k-mers two such texts meet within their first ``n - s * n + 1``.
-    With rare k-mers first, passages and phrases of many texts cause no buckets.
-    ``own`` is the number of k-mers that no other text has.
-    """
+def shared_kmers(texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
+    """(node, n, shared): the k-mers of each text that others have, too, as (texts, gram), the rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -491,16 +494,25 @@ def prefixes(texts: DataFrame, cfg: OrderMinHash) -> DataFrame:
         grams.select("node", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram")), "grams"
     )
     common = each.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
-    # k-mers of one text come first and make no bucket: they only use up the prefix
-    ranked = (
-        each.join(common, "gram")
-        .groupBy("node", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("texts", "gram"))).alias("shared"))
+    found = each.join(common, "gram").groupBy("node", "n")
+    return stage_table(
+        found.agg(F.array_sort(F.collect_list(F.struct("texts", "gram"))).alias("shared")), "shared-kmers"
     )
+
+
+def prefixes(shared: DataFrame, cfg: OrderMinHash) -> DataFrame:
+    """(bucket, node, n, own): the rarest k-mers of each text, as many as any partner must share one of.
+
+    Texts of similarity ``s`` have at least ``s * n`` common k-mers, so in one
+    order of all k-mers two such texts meet within their first ``n - s * n + 1``.
+    With rare k-mers first, passages and phrases of many texts cause no buckets.
+    ``own`` is the number of k-mers that no other text has.
+    """
+    # k-mers of one text come first and make no bucket: they only use up the prefix
     own = F.col("n") - F.size("shared")
     taken = F.col("n") - F.ceil(F.lit(cfg.similarity) * F.col("n") - 1e-9) + 1 - own
     prefix = F.slice(F.col("shared")["gram"], 1, F.greatest(taken, F.lit(0)).cast("int"))
-    return ranked.select(F.explode(prefix).alias("bucket"), "node", "n", own.alias("own"))
+    return shared.select(F.explode(prefix).alias("bucket"), "node", "n", own.alias("own"))
 
 
 def classes(docs: DataFrame, cfg: OrderMinHash = OrderMinHash()) -> DataFrame:
@@ -515,7 +527,7 @@ def _classes(docs: DataFrame, cfg: OrderMinHash) -> DataFrame:
     """``classes`` of rows (node, text, doc_id)."""
     ids = docs.select("node", F.col("doc_id").cast("long").alias("doc_id"))
     nodes = ids.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    roots = components(_links(docs, cfg))
+    _, roots = _links(docs, cfg)
     placed = stage_table(
         nodes.join(roots, "node", "left").select(
             "node", "first_id", "copies", F.coalesce("root", "node").alias("root")

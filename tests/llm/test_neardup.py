@@ -189,3 +189,32 @@ def test_similar_texts_share_a_difference_from_any_pivot(spark):
         for r in N.differences(asked.filter(asked.pivot == nodes[p][0]), stored, cfg).collect():
             met.setdefault(r.bucket, []).append((int.from_bytes(r.node), r.side))
         assert similar <= {(i, j) for rows in met.values() for i, x in rows for j, y in rows if i < j and x * y <= 0}
+
+
+def with_own_passages(n, seed):
+    """Texts of one body of different lengths, each with a passage of its own; some are alike but for two words."""
+    rng = random.Random(seed)
+    body, texts = ["so", "it", "is."] * 80, []
+    for i in range(n):
+        own = [f"o{i}_{j}" for j in range(30)]
+        texts.append([*own, *body[: 3 * rng.randrange(60, 80)]])
+        if i % 4 == 0:
+            texts.append(edited(texts[-1], 2, rng))
+    return list(map(" ".join, texts))
+
+
+def test_differences_are_few_where_texts_have_passages_of_their_own(spark, monkeypatch):
+    staged = {}
+
+    def kept(df, name, run=N.stage_table):
+        staged[name] = run(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(N, "stage_table", kept)
+    texts = with_own_passages(60, 2)
+    check_all_pairs(spark, texts)
+    rows = staged["differences"]
+    assert rows.count() >= len(texts)
+    # what one text has alone, and what the pivot has and most do not, is not listed
+    listed = rows.select(N.F.explode("grams")).count() if "grams" in rows.columns else rows.count()
+    assert listed < 60 * len(texts)
