@@ -17,16 +17,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelway.functions.vectors import PACKED, binary_parts, entries, packed
 
 class HashedTfIdf:
     """Hashed token counts times inverse document frequency, unit length.
 
     A token's slot is its MD5 modulo the size, so any engine finds the same. The
     fitted state is one weight per slot. ``encode_sparse`` gives what a
-    text holds (``struct<indices:array<int>,values:array<float>>``), ``encode`` the whole vector.
+    text holds (``struct<indices:array<int>,values:array<float>>``), ``encode_packed`` the same as bytes
+    (see ``linear.pack_sparse``), ``encode`` the whole vector.
 
-    Instead of cleaned text all three take a column of ``slot_counts``, of the same size. Texts that are
-    both fitted on and encoded are best counted once, in a staged table.
+    Instead of cleaned text all take a column of ``slot_counts`` or ``packed_counts``, of the same size. Texts
+    that are both fitted on and encoded are best counted once, in a staged table; packed counts pass
+    between Spark and Python as they are, an array goes element by element.
     """
 
     def __init__(self, weights: list[float]):
@@ -46,20 +49,41 @@ class HashedTfIdf:
 
         return count(text)
 
+    @staticmethod
+    def packed_counts(text: Column, dim: int) -> Column:
+        """``slot_counts`` as bytes: slots and numbers of 4 bytes each."""
+
+        @F.arrow_udf(PACKED)
+        def count(texts: pa.Array) -> pa.Array:
+            parts = [_packed_counts(part, dim) for part in _slices(texts)]
+            return pa.concat_arrays(parts) if parts else _packed_counts(texts, dim)
+
+        return count(text)
+
     @classmethod
     def fit(cls, df: DataFrame, text_col: str, dim: int = 1024) -> "HashedTfIdf":
         """``text_col`` holds cleaned text. Weights are ``ln((texts + 1) / (texts with the slot + 1))``."""
         counts = df.select(cls._counted(df, text_col, dim).alias("s"))
-        # one row per slot; the number of texts comes with them as slot -1
-        slots = F.concat(F.array(F.lit(-1)), F.coalesce(F.col("s")["slot"], F.array().cast("array<int>")))
-        found = counts.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(dim + 1, np.int64)  # the number of texts comes last, as slot -1
+            for batch in batches:
+                n[:-1] += np.bincount(_pairs(batch.column(0))[2], minlength=dim)
+                n[-1] += batch.num_rows
+            slots = pa.array(np.r_[0:dim, -1].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([slots, pa.array(n)], ["slot", "n"])
+
+        found = counts.mapInArrow(tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
         texts = {r["slot"]: r["n"] for r in found.collect()}
         return cls([math.log((texts.get(-1, 0) + 1) / (texts.get(i, 0) + 1)) for i in range(dim)])
 
     @classmethod
     def _counted(cls, df: DataFrame, text_col: str, dim: int) -> Column:
-        counted = isinstance(df.schema[text_col].dataType, T.ArrayType)
-        return F.col(text_col) if counted else cls.slot_counts(F.col(text_col), dim)
+        return F.col(text_col) if cls.is_counted(df, text_col) else cls.packed_counts(F.col(text_col), dim)
+
+    @staticmethod
+    def is_counted(df: DataFrame, text_col: str) -> bool:
+        return isinstance(df.schema[text_col].dataType, (T.ArrayType, T.StructType))
 
     def encode_sparse(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
         weights = np.asarray(self.weights)
@@ -73,6 +97,16 @@ class HashedTfIdf:
 
         return df.withColumn(out_col, unit(self._counted(df, text_col, self.dim)))
 
+    def encode_packed(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+        weights = np.asarray(self.weights)
+
+        @F.arrow_udf(PACKED)
+        def unit(counts: pa.Array) -> pa.Array:
+            valid, row, slot, value = _unit(counts, weights)
+            return packed(slot, value, np.bincount(row, minlength=len(counts)), valid)
+
+        return df.withColumn(out_col, unit(self._counted(df, text_col, self.dim)))
+
     def encode(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
         weights, dim = np.asarray(self.weights), self.dim
         most = max(1, DENSE_VALUES // dim)
@@ -109,36 +143,61 @@ def _slices(texts: pa.Array) -> Iterator[pa.Array]:
         at = end
 
 
-def _slot_counts(texts: pa.Array, dim: int) -> pa.Array:
-    """Each different token is hashed once."""
+def _counted_slots(texts: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, slot and number of each count. Each different token is hashed once."""
     words = pc.split_pattern(texts, " ")
     lengths = np.asarray(words.value_lengths().fill_null(0), np.int64)
     coded = words.flatten().dictionary_encode()
-    tokens = coded.dictionary.cast(pa.binary() if coded.dictionary.type == pa.string() else pa.large_binary()).to_pylist()
-    heads = b"".join(hashlib.md5(t).digest()[:4] for t in tokens)
-    slots = np.frombuffer(heads, ">u4").astype(np.int64) % dim
+    slots = _slots(coded.dictionary, dim)
     codes = np.asarray(coded.indices)
     row = np.repeat(np.arange(len(texts)), lengths)
-    if b"" in tokens:
-        solid = codes != tokens.index(b"")
+    solid = slots[codes] >= 0
+    if not solid.all():
         codes, row = codes[solid], row[solid]
     keys, n = np.unique(row * dim + slots[codes], return_counts=True)
-    ends = np.searchsorted(keys, np.arange(len(texts) + 1) * dim).astype(np.int32)
-    pairs = pa.StructArray.from_arrays(
-        [pa.array((keys % dim).astype(np.int32)), pa.array(n.astype(np.int32))], names=["slot", "n"]
-    )
+    return keys // dim, keys % dim, n
+
+
+def _slots(tokens: pa.Array, dim: int) -> np.ndarray:
+    """MD5 modulo ``dim`` of each token; -1 for the empty one."""
+    ends, flat = binary_parts(tokens)
+    flat, at, md5 = flat.tobytes(), ends.tolist(), hashlib.md5
+    heads = b"".join([md5(flat[lo:hi]).digest()[:4] for lo, hi in zip(at, at[1:])])
+    return np.where(np.diff(ends) > 0, np.frombuffer(heads, ">u4").astype(np.int64) % dim, -1)
+
+
+def _slot_counts(texts: pa.Array, dim: int) -> pa.Array:
+    row, slot, n = _counted_slots(texts, dim)
+    ends = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int32))], names=["slot", "n"])
     return pa.ListArray.from_arrays(pa.array(ends), pairs, mask=texts.is_null())
 
 
+def _packed_counts(texts: pa.Array, dim: int) -> pa.Array:
+    row, slot, n = _counted_slots(texts, dim)
+    lengths = np.bincount(row, minlength=len(texts))
+    return packed(slot.astype("<i4"), n.astype("<i4"), lengths, np.asarray(texts.is_valid()))
+
+
+def _pairs(counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which counts are not null; row, slot and number of each entry."""
+    if pa.types.is_struct(counts.type):
+        ends, slot, n = entries(counts, "<i4")
+        lengths = np.diff(ends)
+    else:
+        lengths = np.asarray(counts.value_lengths().fill_null(0), np.int64)
+        slot, n = (np.asarray(x) for x in counts.flatten().flatten())
+    return np.asarray(counts.is_valid()), np.repeat(np.arange(len(counts)), lengths), slot, n
+
+
 def _unit(counts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Which counts are not null; row, slot and value of each entry other than 0."""
-    lengths = np.asarray(counts.value_lengths().fill_null(0), np.int64)
-    slot, n = (np.asarray(x) for x in counts.flatten().flatten())
-    value, row = n * weights[slot], np.repeat(np.arange(len(counts)), lengths)
+    valid, row, slot, n = _pairs(counts)
+    value = n * weights[slot]
     some = value != 0
     value, row, slot = value[some], row[some], slot[some]
     norm = np.sqrt(np.bincount(row, value * value, minlength=len(counts)))
-    return np.asarray(counts.is_valid()), row, slot.astype(np.int32), (value / norm[row]).astype(np.float32)
+    return valid, row, slot.astype(np.int32), (value / norm[row]).astype(np.float32)
 
 
 _loaded: dict[str, Callable] = {}

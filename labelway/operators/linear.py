@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelway.functions.vectors import chunks, logits, softmax, to_matrix
+from labelway.functions.vectors import PACKED, as_bytes, chunks, logits, packed, softmax, to_matrix
 from labelway.operators.blocks import ClassRange, Piece, merged_scores, partial_scores, plan_blocks
 from labelway.session import drop_table, scratch_path, stage_table
 
@@ -97,16 +97,11 @@ def _pack(x: pa.Array) -> pa.Array:
     values = x.flatten()  # without the null vectors
     if values.null_count or len(np.unique(lengths[valid])) > 1:
         raise ValueError("vectors must have one length and no null entries")
-    return _as_bytes(values, lengths, valid, "<f4")
+    return as_bytes(_values(values, "<f4"), lengths, valid)
 
 
-def _as_bytes(values: pa.Array, lengths: np.ndarray, valid: np.ndarray, kind: str) -> pa.Array:
-    flat = np.ascontiguousarray(values.to_numpy(zero_copy_only=False), dtype=kind)
-    offsets = np.r_[0, np.cumsum(4 * lengths)].astype(np.int32)
-    bits = np.packbits(valid, bitorder="little")
-    return pa.Array.from_buffers(
-        pa.binary(), len(lengths), [pa.py_buffer(b.tobytes()) for b in (bits, offsets, flat)]
-    )
+def _values(values: pa.Array, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(values.to_numpy(zero_copy_only=False), dtype=kind)
 
 
 def pack_vectors(x: Column) -> Column:
@@ -120,7 +115,7 @@ def pack_vectors(x: Column) -> Column:
     return _pack(x)
 
 
-@F.arrow_udf(T.StructType([T.StructField("i", T.BinaryType()), T.StructField("v", T.BinaryType())]))
+@F.arrow_udf(PACKED)
 def _pack_sparse(index: pa.Array, value: pa.Array) -> pa.Array:
     valid = np.asarray(index.is_valid()) & np.asarray(value.is_valid())
     parts = []
@@ -128,10 +123,10 @@ def _pack_sparse(index: pa.Array, value: pa.Array) -> pa.Array:
         x = x.filter(pa.array(valid))
         lengths = np.zeros(len(valid), np.int64)
         lengths[valid] = np.asarray(x.value_lengths(), np.int64)
-        parts.append((_as_bytes(x.flatten(), lengths, valid, kind), lengths))
+        parts.append((_values(x.flatten(), kind), lengths))
     if (parts[0][1] != parts[1][1]).any():
         raise ValueError("a sparse vector needs as many indices as values")
-    return pa.StructArray.from_arrays([p for p, _ in parts], names=["i", "v"], mask=pa.array(~valid))
+    return packed(parts[0][0], parts[1][0], lengths, valid)
 
 
 def pack_sparse(x: Column) -> Column:

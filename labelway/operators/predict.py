@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelway.config import PREDICTIONS_TYPE
-from labelway.functions.vectors import softmax, to_matrix
+from labelway.functions.vectors import chunks, softmax, to_matrix
 from labelway.operators import linear
 from labelway.operators.blocks import ClassRange, best_logits, merged_scores, partial_scores, plan_blocks
 from labelway.operators.joins import BROADCAST_BYTES
 from labelway.session import planned_bytes, stage_table
 from labelway.sources.model_store import Head, HierModel, StoredModel
 
+# Sparse vectors of one step of prediction.
+SPARSE_ROWS = 512
+
 
 def _best(z: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flat (row, class, proba) of the k[row] best classes, best first, ties by class."""
@@ -36,10 +39,20 @@ def _offsets(owner: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
 
 
-def _predict_rows(model: HierModel, x: np.ndarray, k_cat: np.ndarray, k_sub: np.ndarray) -> pa.Array:
-    """One list of category predictions per row of ``x``."""
+def _predict(model: HierModel, x: pa.Array, k_cat: np.ndarray, k_sub: np.ndarray) -> pa.Array:
+    """One list of category predictions per vector, packed sparse ones part by part."""
+    if not pa.types.is_struct(x.type):
+        return _predict_rows(model, to_matrix(x), slice(None), k_cat, k_sub)
+    parts = chunks(x, SPARSE_ROWS)
+    return pa.concat_arrays([_predict_rows(model, matrix, columns, k_cat[p], k_sub[p]) for p, columns, matrix in parts])
+
+
+def _predict_rows(
+    model: HierModel, x: np.ndarray, columns: np.ndarray | slice, k_cat: np.ndarray, k_sub: np.ndarray
+) -> pa.Array:
+    """``x`` holds the ``columns`` of the vectors, all others are 0."""
     w, b = model.router.weights
-    row, cat, cat_p = _best(x @ w.T + b, k_cat)
+    row, cat, cat_p = _best(x @ w[:, columns].T + b, k_cat)
     owners, probas, parts = [], [], []
     for c in np.unique(cat):
         head = model.heads.get(model.router.labels[c])
@@ -47,7 +60,7 @@ def _predict_rows(model: HierModel, x: np.ndarray, k_cat: np.ndarray, k_sub: np.
             continue
         pairs = np.flatnonzero(cat == c)
         hw, hb = head.weights
-        own, cls, p = _best(x[row[pairs]] @ hw.T + hb, k_sub[row[pairs]])
+        own, cls, p = _best(x[row[pairs]] @ hw[:, columns].T + hb, k_sub[row[pairs]])
         owners.append(pairs[own])
         probas.append(p)
         parts.append((head, cls))
@@ -121,9 +134,9 @@ def _predict_batch(models: dict[str, HierModel], x: pa.Array, model_id: pa.Array
     for name, model in models.items():
         pick = np.flatnonzero(has_x & (ids == code.get(name, -2)))
         if len(pick) == len(x) and len(x):
-            return _predict_rows(model, to_matrix(x), want_c, want_s)
+            return _predict(model, x, want_c, want_s)
         if len(pick):
-            found.append(_predict_rows(model, to_matrix(x.take(pa.array(pick))), want_c[pick], want_s[pick]))
+            found.append(_predict(model, x.take(pa.array(pick)), want_c[pick], want_s[pick]))
             picks.append(pick)
     if not found:
         return pa.nulls(len(x), _predict_type())

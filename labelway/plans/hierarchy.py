@@ -57,7 +57,7 @@ def prepare_rows(rows: DataFrame, cfg: HierConfig, features: int | None = None)
         graded = graded.withColumn(cfg.id_col, F.monotonically_increasing_id())
     texts = drop_empty_texts(graded, cfg.text_col)
     if features:
-        texts = texts.withColumn(cfg.text_col, HashedTfIdf.slot_counts(F.col(cfg.text_col), features))
+        texts = texts.withColumn(cfg.text_col, HashedTfIdf.packed_counts(F.col(cfg.text_col), features))
     cleaned = stage_table(texts, "cleaned")
     curated = taxonomy.curate(cleaned, cfg)
     if cfg.max_rows:
@@ -98,7 +98,7 @@ class TrainingSet:
 
 def build_training_set(rows: DataFrame, x: Column, dim: int, cfg: HierConfig) -> TrainingSet:
     """``rows`` has row_id, category, label and whatever ``x`` needs: a dense array, or
-    a sparse ``struct<indices,values>``, of which a row stores 8 bytes an entry.
+    a sparse ``struct<indices,values>``, packed or not, of which a row stores 8 bytes an entry.
 
     Label columns are joined from small dictionaries, so no row moves before
     the one exchange that lays out the training table.
@@ -107,7 +107,9 @@ def build_training_set(rows: DataFrame, x: Column, dim: int, cfg: HierConfig) ->
     codes = stage_table(encoding.label_codes(label_sizes), "label-codes")
     total = codes.agg(F.sum("cnt")).first()[0] or 0
     sc = rows.sparkSession.sparkContext
-    parts = max(sc.defaultParallelism, math.ceil(total * dim * 4 / PART_BYTES))
+    cores = sc.defaultParallelism
+    # whole rounds of tasks: a pass waits for its last round
+    parts = cores * max(1, math.ceil(total * dim * 4 / PART_BYTES / cores))
 
     coded = attach(rows, codes.drop("kind"), ["category", "label"], "cnt", ["row_id"])
     # Both levels are split in the same passes: model -1 is the router.
@@ -145,8 +147,11 @@ def build_training_set(rows: DataFrame, x: Column, dim: int, cfg: HierConfig) ->
     inside = F.pmod(F.xxhash64("row_id"), F.lit(1 << 20)) / float(1 << 20)
     part = F.floor((F.col("before") + inside * F.col("cat_rows")) * parts / max(total, 1)).cast("int")
     column = sampling.split_column
-    sparse = isinstance(rows.select(x.alias("x")).schema["x"].dataType, T.StructType)
-    packed = linear.pack_sparse(x) if sparse else linear.pack_vectors(x)
+    kind = rows.select(x.alias("x")).schema["x"].dataType
+    if kind == linear.PACKED:
+        packed = x
+    else:
+        packed = linear.pack_sparse(x) if isinstance(kind, T.StructType) else linear.pack_vectors(x)
     table = (
         split.select(
             "row_id",
@@ -342,14 +347,14 @@ def embed_rows(prepared: DataFrame, cfg: HierConfig, encoder=None):
     ``x`` is sparse if the encoder can give it so. For the default encoder the texts are
     counted once, here or by ``prepare_rows``; the rows come without them.
     """
-    if encoder is None and isinstance(prepared.schema["text"].dataType, T.ArrayType):
+    if encoder is None and HashedTfIdf.is_counted(prepared, "text"):
         encoder = HashedTfIdf.fit(prepared, "text", cfg.features)
-        return encoder, encoder.encode_sparse(prepared, "text", "x").drop("text")
+        return encoder, encoder.encode_packed(prepared, "text", "x").drop("text")
     if encoder is None:
-        slots = HashedTfIdf.slot_counts(F.col("text"), cfg.features)
+        slots = HashedTfIdf.packed_counts(F.col("text"), cfg.features)
         counts = stage_table(prepared.withColumn("slots", slots).drop("text"), "slot-counts")
         encoder = HashedTfIdf.fit(counts, "slots", cfg.features)
-        return encoder, encoder.encode_sparse(counts, "slots", "x").drop("slots")
+        return encoder, encoder.encode_packed(counts, "slots", "x").drop("slots")
     encode = getattr(encoder, "encode_sparse", encoder.encode)
     return encoder, encode(prepared, "text", "x")
 

@@ -60,7 +60,8 @@ def score_requests(
     for at, family in enumerate(families.values(), 1):
         encoder = encoder_of(family[0], encoders)
         mine = F.col("model_id").isin([m.model_id for m in family])
-        df = encoder.encode(df, "__text", "__vec").withColumn("__x", F.when(mine, F.col("__vec")))
+        encode = getattr(encoder, "encode_packed", encoder.encode)
+        df = encode(df, "__text", "__vec").withColumn("__x", F.when(mine, F.col("__vec")))
         # after the last encoder no step needs the texts
         texts = ("text", "__text") if at == len(families) else ()
         df = hier_predict(df, family, "__x", out="__found", drop=("__vec", "__x", *(c for c in texts if c not in keep)))
